@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sentencepiece_bpe
+from . import ngram_jaccard, quality_rules, sentencepiece_bpe
 from .common import table
 
 
@@ -15,13 +15,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join by R-trees over count vectors, all documents against all."""
+    return ngram_jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding of all documents by the merge-type prefix table."""
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op8_sentencepiece": op8_sentencepiece}
+    return {"op3_quality_rules": op3_quality_rules, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
