@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, quality_rules, sentencepiece_bpe
+from . import mixing, ngram_jaccard, pii, quality_rules, sentencepiece_bpe
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature mixing of all documents' sources under a repetition limit."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules: tokeniser fertility over all documents."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed patterns, and what their contexts lead to."""
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join by R-trees over count vectors, all documents against all."""
     return ngram_jaccard.joined(table(spark, sf_dir, "documents"))
@@ -26,7 +36,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_mixing": op1_mixing, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
