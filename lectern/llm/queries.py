@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_jaccard, pii, quality_rules, sentencepiece_bpe
+from . import ann, mixing, ngram_jaccard, pii, pu_quality, quality_rules, sentencepiece_bpe
 from .common import table
 
 
@@ -35,8 +35,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by positive-unlabelled learning."""
+    return pu_quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every query vector, all vectors indexed."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_mixing": op1_mixing, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece, "op9_pu_quality": op9_pu_quality, "op10_ann": op10_ann}
 
 
 def oracle_sql() -> dict[str, str]:
