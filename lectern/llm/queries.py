@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, ngram_jaccard, pii, pu_quality, quality_rules, sentencepiece_bpe
+from . import ann, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by union-free wrappers of their hosts."""
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules: tokeniser fertility over all documents."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
@@ -30,6 +35,16 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents with a random forest's verdicts."""
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, taken as responses."""
+    return warc.built(table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding of all documents by the merge-type prefix table."""
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -46,7 +61,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_quality_rules": op3_quality_rules, "op4_pii": op4_pii, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece, "op9_pu_quality": op9_pu_quality, "op10_ann": op10_ann}
+    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann]
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
