@@ -62,6 +62,10 @@ class Spark:
     def number(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
+    def at(self, x: str, n: str) -> str:
+        """The n-th of an array, from 1."""
+        return f"element_at({x}, CAST({n} AS INT))"
+
 
 class Duck:
     """DuckDB."""
@@ -103,6 +107,9 @@ class Duck:
     def number(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
+    def at(self, x: str, n: str) -> str:
+        return f"({x})[{n}]"
+
 
 def strip(d, x: str) -> str:
     """x without white space at its ends; null stays null."""

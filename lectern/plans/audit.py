@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ EVALUATORS = {**pdfua.RULES, **wcag.RULES, **quality.RULES}
 #: Columns of findings.
 FINDINGS = "doc_id, rule_ord, check_id, name, category, standard, branch, pos, status, severity, items_count, page, object_reference, confidence, machine_testable, manual_review_required, message"
 
+FINDINGS_SCHEMA = "doc_id long, rule_ord int, check_id string, name string, category string, standard string, branch int, pos long, status string, severity string, items_count long, page int, object_reference string, confidence double, machine_testable boolean, manual_review_required boolean, message string"
+
 
 def rule_sql(d, check_id: str) -> str | None:
     """The findings of a rule as one SELECT over entities, or None for a rule that emits nothing."""
@@ -68,28 +71,29 @@ class Corpus:
         text = rule_sql(self.dialect, check_id)
         return None if text is None else self.sql(text)
 
-    def findings(self, rules: list[str] | None = None, custom: dict | None = None) -> DataFrame:
+    def audited(self, path: str, rules: list[str] | None = None, custom: dict | None = None, threads: int = 4) -> DataFrame:
         """All findings of the rules (all by default) and of custom ones (check_id -> function of the corpus).
 
-        A rule that Spark cannot plan gives an ERROR finding a document instead of failing the audit."""
-        made = []
-        for check_id in rules if rules is not None else list(RULES):
+        Each rule is a job of its own that writes its part of a findings table under path, a few at a
+        time: one plan of all rules would take longer to plan than to run, and this way a rule that
+        fails, in planning or running, gives an ERROR finding a document and harms no other."""
+        for name in self._derived:
+            self.view(name)
+
+        def work(check_id: str, evaluate, r: Rule) -> None:
+            part = f"{path}/{r.ord:03d}"
             try:
-                found = self.rule(check_id)
+                found = evaluate()
                 if found is not None:
-                    found.schema  # noqa: B018  planning errors show here
-                    made.append(found)
+                    found.select(*FINDINGS.split(", ")).write.mode("overwrite").parquet(part)
             except Exception as e:
-                made.append(self._error(RULES[check_id], e))
-        for check_id, evaluate in (custom or {}).items():
-            try:
-                made.append(evaluate(self).select(*FINDINGS.split(", ")))
-            except Exception as e:
-                made.append(self._error(Rule(len(RULES) + 1, check_id, check_id, "Custom", "Custom", HIGH), e))
-        out = made[0]
-        for m in made[1:]:
-            out = out.unionByName(m)
-        return out
+                self._error(r, e).select(*FINDINGS.split(", ")).write.mode("overwrite").parquet(part)
+
+        jobs = [(c, lambda c=c: self.rule(c), RULES[c]) for c in (rules if rules is not None else RULES)]
+        jobs += [(c, lambda f=f: f(self), Rule(len(RULES) + 1 + k, c, c, "Custom", "Custom", HIGH)) for k, (c, f) in enumerate((custom or {}).items())]
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(lambda j: work(*j), jobs))
+        return self.spark.read.schema(FINDINGS_SCHEMA).parquet(f"{path}/*")
 
     def _error(self, r: Rule, e: Exception) -> DataFrame:
         values = {"rule_ord": F.lit(r.ord), "check_id": F.lit(r.check_id), "name": F.lit(r.name), "category": F.lit(r.category), "standard": F.lit(r.standard), "branch": F.lit(0), "pos": F.lit(0).cast("long"), "status": F.lit(ERROR), "severity": F.lit(HIGH), "items_count": F.lit(1).cast("long"), "page": F.lit(None).cast("int"), "object_reference": F.lit(None).cast("string"), "confidence": F.lit(0.5), "machine_testable": F.lit(True), "manual_review_required": F.lit(False), "message": F.lit(f"The rule could not be evaluated: {str(e)[:200]}")}
