@@ -154,7 +154,11 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _with_new(_extracted(src, "text", ["doc_id"], p), p)
     base = F.col(f"{p}spans")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(k: int) -> Column:  # a default argument of the lambda would be taken for the element's index
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col(f"{p}all")).alias("spans"), (F.size(f"{p}all") - F.size(base)).cast("long").alias("n_identifier"))
 
 
