@@ -175,11 +175,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
         return rows.select("vec_id", "d", "v").mapInPandas(run, "d int, ids binary, rows binary, codes binary")
 
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-clean.count() // (block // 4))))
-    even = clean.repartition(parts, F.xxhash64("vec_id"))
+    # As few tasks as leave blocks full: what cells find, and how often codes are read, follows the
+    # number of blocks.
+    parts = max(1, clean.count() // block)
     asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0)
-    left = staged(blocks(asked.coalesce(max(1, parts // every)), queries, False).withColumn("q", F.monotonically_increasing_id()), "queries")
-    right = staged(blocks(even, block, True).withColumn("c", F.monotonically_increasing_id()), "codes")
+    left = staged(blocks(asked.coalesce(max(1, parts * block // every // queries)), queries, False).withColumn("q", F.monotonically_increasing_id()), "queries")
+    right = staged(blocks(clean.coalesce(parts), block, True).withColumn("c", F.monotonically_increasing_id()), "codes")
     cells = left.select("d", "q").join(right.select("d", "c"), "d")
     cells = cells.join(left.drop("d", "codes").select("q", F.col("ids").alias("qids"), F.col("rows").alias("qrows")), "q").join(right.select("c", "ids", "rows", "codes"), "c")
 
