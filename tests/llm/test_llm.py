@@ -1,0 +1,287 @@
+"""Training-data operators against brute force, exact round trips and held-out accuracy, and on odd rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from lectern.llm import ann, markup, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum " * 20_000
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, LONG), (6, "same text twice here and more"), (7, "same text twice here and more"), (7, "same text twice here and more"), (None, "no id for this text at all"), (8, "naïve 中文 😀 ▁   x@y.org 1.2.3.4")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", None if i == 4 else "s", 0, 1, "x") for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, row string")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_sentencepiece(docs, texts, odd, none):
+    import sentencepiece
+
+    model = sentencepiece_bpe.model_bytes()
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    for r in sentencepiece_bpe.round_trip(docs).union(sentencepiece_bpe.round_trip(odd)).collect():
+        if r.doc_id is None:
+            continue
+        text = dict(ODD).get(r.doc_id, texts.get(r.doc_id)) or "" if r.doc_id in dict(ODD) and r.doc_id not in texts else None
+        if text is None:
+            continue
+        ids = library.encode(text, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    for text in [*texts.values(), *(t or "" for _, t in ODD), "  a   b ", "▁▁x ▁ y", "\n\n\ta\n b", "<s>é</s>", "    "]:
+        ids = sentencepiece_bpe.encode(text, model)
+        assert ids == library.encode(text, add_eos=True) and sentencepiece_bpe.decode(ids, model) == library.decode(ids)
+    assert sentencepiece_bpe.round_trip(odd).count() == len(ODD) and sentencepiece_bpe.round_trip(none).count() == 0
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = collections.Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_rules(docs, texts, odd, none):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_bpe.model_bytes())
+    got = quality_rules.verdicts(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_quality(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
+    for r in got[:20]:
+        ids = [i for w in texts[r.doc_id].split() for i in library.encode(w)]
+        h = -sum(c / len(ids) * math.log2(c / len(ids)) for c in collections.Counter(ids).values())
+        assert r.n_tokens == len(ids) and abs(r.token_entropy - h) < 1e-9
+    odd_rows = quality_rules.verdicts(odd).collect()
+    assert len(odd_rows) == len(ODD) and not any(r.kept for r in odd_rows)
+    assert quality_rules.accepted(docs).columns == docs.columns and quality_rules.verdicts(none).count() == 0
+    assert quality_rules.accepted(docs).count() == sum(r.kept for r in got)
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_pii(spark, docs, texts, odd, none):
+    hard = ["a@b.c.@d.e f@g.h", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111-4111-1111-1111-1111 é😀 4111-1111-1111-1111", "+1 (2) 3 4 5 6 7 8 9-  +12345678", "1 2 3 4 5 6 7 8 9 " * 2000, "a" * 50_000 + "@b.c", "0" * 30_000, "%a@b.cc@d.e@f.g"]
+    rows = [*((i, t) for i, t in texts.items()), *((10_000 + i, t) for i, t in enumerate(hard))]
+    want = dict(rows)
+    for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base = brute_pii(want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+        assert r.n_email == base.count("email:") and r.n_card == base.count("card:")
+    assert pii.found(odd).count() == len(ODD) and pii.found(none).count() == 0
+    done = {r.doc_id: r for r in pii.masked(odd).collect()}
+    assert done[8].text.endswith("x [EMAIL] [IP]".replace("x ", "")) and done[1].text is None and done[8].row == "x" and done[8].n_chars == len(done[8].text)
+
+
+def test_pii_discovers_from_context(spark):
+    rows = [(i, f"filler words {w} customer id AB{1000 + i}-{7 * i % 10} is a b {c} mail me at user{i}@x.org today") for i, (w, c) in enumerate([("a", "b")] * 40)]
+    rows += [(100 + i, f"mail me at user{i}#x-org{i} today") for i in range(3)]
+    assert pii.found(spark.createDataFrame(rows, "doc_id long, text string")).count() == 43
+
+
+def brute_components(sets):
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b]:
+                o = len(sets[a] & sets[b])
+                if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o):
+                    x, y = find(a), find(b)
+                    up[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+@pytest.mark.parametrize("large,tile", [(2048, 1024), (4, 2)])
+def test_ngram_jaccard(spark, texts, large, tile):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    rows = list(texts.items())
+    for k in range(25):  # near copies around one text, on both sides of the threshold
+        words = list(base)
+        for j in rng.integers(0, len(words), k % 6):
+            words[j] = f"edit{k}_{j}"
+        rows.append((5000 + k, " ".join(words)))
+    rows += [(6000, "A b C"), (6001, "a B c"), (6002, None), (6003, ""), (6004, "one")]
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    want = brute_components(sets)
+    got = ngram_jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), large=large, tile=tile).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), want[d]) for d in sets}
+
+
+def test_ngram_odd_rows(odd, none):
+    got = ngram_jaccard.joined(odd).collect()
+    assert len(got) == len(ODD)
+    assert all(r.component_id == 6 for r in got if r.doc_id == 7) and [r.component_id for r in got if r.doc_id is None] == [None]
+    assert ngram_jaccard.joined(none).count() == 0
+    left = ngram_jaccard.representatives(odd)
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, 8]))
+
+
+def test_r_tree_is_exact():
+    rng = np.random.default_rng(1)
+    p = rng.poisson(rng.uniform(1, 9, (400, 1)), (400, ngram_jaccard.GROUPS)).astype(np.int32)
+    p[200:] = p[:200] + rng.integers(0, 2, (200, ngram_jaccard.GROUPS))
+    n = p.sum(1).astype(np.int64)
+    tree = ngram_jaccard.RTree(p, n, 85)
+    for i in range(0, 400, 7):
+        want = {j for j in range(400) if np.minimum(p[i], p[j]).sum() >= ngram_jaccard.needed(int(n[i]), int(n[j])) and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j])}
+        assert set(tree.search(p[i], int(n[i]))[0].tolist()) == want
+
+
+def test_mixing(docs, odd, none):
+    tokens = np.array([1000.0, 100.0, 10.0])
+    a = mixing.bisected(tokens, max_repeats=2.0)
+    assert abs(mixing.repeats(tokens, mixing.weights(tokens, a), None).max() - 2.0) < 1e-6
+    w = mixing.weights(tokens, mixing.bisected(tokens, max_repeats=None, entropy=1.0))
+    assert abs(-(w * np.log2(w)).sum() - 1.0) < 1e-6
+    got = mixing.mixed(docs).collect()
+    times = collections.Counter(r.doc_id for r in got)
+    assert set(times) == {r.doc_id for r in docs.collect()} and max(times.values()) <= 2  # all once, none beyond the limit
+    read, have = collections.Counter(), collections.Counter()
+    for r in got:
+        read[r.source] += r.n_tokens
+        have[r.source] += r.n_tokens * (r.epoch == 0)
+    assert max(read[s] / have[s] for s in have) < mixing.MAX_REPEATS + 0.25
+    assert sorted(map(str, {r.doc_id for r in mixing.mixed(odd).collect()})) == sorted(map(str, {i for i, _ in ODD}))
+    assert mixing.mixed(odd, carry=True).columns == odd.columns and mixing.mixed(none).count() == 0
+
+
+def test_wrappers(spark, none):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    import html
+
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in wrappers.extracted(pages).collect():
+        blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)(?:</article>|$)", source[r.page_id], re.S)[1])
+        want = [b for b in (" ".join(html.unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in blocks) if b]
+        assert r.text == "\n\n".join(want) and r.n_chars == len(r.text)
+    extra = [(1, "http://a.b/1", "<header><h1>Site</h1></header><main><h1>T</h1><p>One &amp; two<br>three &#233;<p>four<aside>no</aside><div class='cookie-notice'>c</div><form>f<input></form><section id=comments><p>c</p></section></main><footer>f"), (2, None, None), (3, "x", ""), (None, "http://a.b/2", "<p>just text<script>var a='<p>x</p>'</script>"), (4, "u", "<a href='x>y'>l</a> 1 < 2 & 3 &lt; 4 <!-- <p>"), (5, "u", "<p>" * 5000)]
+    odd = spark.createDataFrame([(*x, 7) for x in extra], "page_id long, url string, html string, text int")
+    got = {r.page_id: r.text for r in wrappers.extracted(odd).collect()}
+    assert got[1] == "T\n\nOne & two three é\n\nfour" and got[2] == got[3] == "" and got[None] == "just text" and got[4] == "l 1 < 2 & 3 < 4"
+    assert wrappers.extracted(odd.where("false")).count() == 0
+    known = {r.host: r.wrapper for r in wrappers.wrappers(pages).collect()}
+    assert all("<article>" in w and "+" in w for w in known.values())
+    assert wrappers.expression(wrappers.aligned(wrappers.folded(markup.Page("<ul><li>a<li>b</ul>", tree=True).root[1]), wrappers.folded(markup.Page("<h1>t</h1><ul><li>a</ul>", tree=True).root[1]))) == "(<h1>#</>)?<ul>(<li>#</>)+</>"
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(30)
+    rows = warc.built(pages).collect()
+    assert len(rows) == 60
+    for r in rows:
+        head = dict(warc.parse_header(r.header))
+        assert head["WARC-Refers-To"] == r.refers_to and head["WARC-Block-Digest"] == warc.sha1(r.block.encode()) and int(head["Content-Length"]) == len(r.block.encode())
+    by = collections.Counter((r.refers_to, r.record_type) for r in rows)
+    assert set(by.values()) == {1} and len({r.record_id for r in rows}) == 60
+    warc.written(warc.built(pages), f"file://{tmp_path}/out")
+    back = [x for f in tmp_path.glob("out/*.gz") for x in warc.records(f.read_bytes())]
+    assert sorted(dict(warc.parse_header(h))["WARC-Record-ID"] for h, _ in back) == sorted(r.record_id for r in rows)
+    assert all(warc.sha1(b) == dict(warc.parse_header(h))["WARC-Block-Digest"] for h, b in back)
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
+    assert warc.built(odd).count() == 6 and warc.built(odd.where("false")).count() == 0
+    header, block = warc.response(1, "http://a/", "<html lang=en><title>t</title><p>x", "2024-01-01T00:00:00Z")
+    (tmp_path / "in.warc").write_bytes(header.encode() + b"\r\n" + block + b"\r\n\r\n")
+    assert [r.record_type for r in warc.from_files(spark, f"file://{tmp_path}/in.warc").collect()] == ["metadata", "conversion"]
+
+
+def test_secrets(docs, texts, odd, none, spark):
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = secret_scan.scanned(more).collect()
+    want = {(i, m.start(1), m.end(1)) for i, t in {r.doc_id: r.text for r in more.collect()}.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert want and {(r.doc_id, r.start, r.end) for r in got if r.is_secret} == want
+    model = secret_scan.trained(secret_scan.labelled(spark, 3000))
+    from pyspark.ml.feature import VectorAssembler
+
+    fresh = secret_scan.described(secret_scan.labelled(spark, 6000).where("true")).collect()[3000:]
+    held = spark.createDataFrame(fresh)
+    out = model.transform(VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(held)).select("label", "prediction").collect()
+    assert np.mean([r.label == r.prediction for r in out]) > 0.95
+    assert secret_scan.scanned(none).count() == 0 and all(not r.is_secret for r in secret_scan.scanned(odd).collect())
+
+
+def test_pu_quality(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in pu_quality.classified(docs, labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert all(got[d].held_out for d in held) and np.mean([got[d].predicted == truth[d] for d in held]) > 0.93
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    assert pu_quality.classified(odd, labels).count() == len(ODD) and pu_quality.classified(none, labels).count() == 0
+    assert {r.score for r in pu_quality.classified(odd, labels.where("false")).collect()} == {0.5}
+
+
+def test_nearest(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = ann.nearest(vectors).collect()
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in vectors.collect()}
+    ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    hits = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = ann.exact(rows[q], x)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hits += len({ids[i] for i in order} & {v for v, _ in found[q]})
+        total += 20
+        assert all(abs(sc - float(np.dot(rows[q], rows[v]))) < 1e-9 for v, sc in found[q]) and [sc for _, sc in found[q]] == sorted((sc for _, sc in found[q]), reverse=True)
+    assert hits / total >= 0.9
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(odd).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 20), (0, 3, 2), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
+    assert ann.nearest(odd.where("false")).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert out and {r.doc_id for r in out} <= ids and all(r.n_tokens > 50 for r in out)
