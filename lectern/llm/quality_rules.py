@@ -30,6 +30,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BAND = 10.0
 MIN_BAND_DOCS = 100
+STEADY_WORDS = 200
 ENTROPY_FLOOR = 5.45
 ENTROPY_SHARE = 0.8
 BYTE_SHARE = {"Latin": 0.2, "Greek": 0.2, "Cyrillic": 0.2}
@@ -145,7 +146,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def bands(figures: DataFrame, prefix: str = "", band: float = BAND) -> DataFrame:
-    """Per language (per script where it is null): the range of chars_per_token that is kept.
+    """Per language (per script where it is null): middle and half width of log chars_per_token that is kept.
 
     Quartiles over all documents that pass the base rules; where fewer than MIN_BAND_DOCS do, there
     is no row and so no band."""
@@ -154,7 +155,7 @@ def bands(figures: DataFrame, prefix: str = "", band: float = BAND) -> DataFrame
     q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(20_000))
     one = figures.where(~base_failed(p)).groupBy(_group(p).alias(f"{p}band_of")).agg(q.alias("q"), F.count(F.lit(1)).alias("docs"))
     wide = F.lit(band) * F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.01))
-    return one.where(F.col("docs") >= MIN_BAND_DOCS).select(f"{p}band_of", F.exp(F.col("q")[1] - wide).alias(f"{p}least"), F.exp(F.col("q")[1] + wide).alias(f"{p}most"))
+    return one.where(F.col("docs") >= MIN_BAND_DOCS).select(f"{p}band_of", F.col("q")[1].alias(f"{p}middle"), wide.alias(f"{p}wide"))
 
 
 def _group(p: str):
@@ -175,8 +176,9 @@ def judged(figures: DataFrame, prefix: str = "") -> DataFrame:
     with_limits = figures.withColumn(f"{p}group", _group(p)).join(limits, F.col(f"{p}group") == F.col(f"{p}band_of"), "left")
     byte_bound = F.coalesce(*[F.when(F.col(f"{p}script") == s, F.lit(v)) for s, v in BYTE_SHARE.items()], F.lit(1.0))
     floor = F.least(F.lit(ENTROPY_FLOOR), F.lit(ENTROPY_SHARE) * F.log2(F.col(f"{p}n_tokens")))
-    cpt = F.col(f"{p}chars_per_token")
-    odd = (cpt < F.coalesce(F.col(f"{p}least"), cpt)) | (cpt > F.coalesce(F.col(f"{p}most"), cpt)) | (F.col(f"{p}byte_share") > byte_bound) | (F.col(f"{p}token_entropy") < floor)
+    off = F.abs(F.log(F.col(f"{p}chars_per_token")) - F.col(f"{p}middle"))
+    far = off > F.col(f"{p}wide") * F.greatest(F.lit(1.0), F.sqrt(F.lit(STEADY_WORDS) / F.greatest(F.col(f"{p}n_words"), F.lit(1))))
+    odd = F.coalesce(far, F.lit(False)) | (F.col(f"{p}byte_share") > byte_bound) | (F.col(f"{p}token_entropy") < floor)
     return with_limits.withColumn(f"{p}base_failed", base_failed(p)).withColumn(f"{p}kept", ~base_failed(p) & ~F.coalesce(odd, F.lit(True))).drop(f"{p}group", f"{p}band_of")
 
 
