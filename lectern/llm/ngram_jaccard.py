@@ -20,6 +20,7 @@ corners of their boxes.  A pair links if its overlap is at least 85/185 of the t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, staged
@@ -36,7 +38,9 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 GROUPS = 64
-SKETCH_BITS = 20
+#: Longer documents have finer points: groups from so many shingles on.  Groups nest, so any two compare.
+FINER = ((800, 256), (4000, 1024))
+SKETCH_BITS, SLICES = 22, 64
 LARGE = 2048
 TILE = 1024
 NODE = 32
@@ -70,18 +74,45 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def groups_of(n: int) -> int:
+    return next((g for least, g in reversed(FINER) if n > least), GROUPS)
+
+
 def point(s: np.ndarray) -> bytes:
     """Group counts, a byte each (two where a group has over 255; empty, bounding nothing, over 65,535)."""
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    g = groups_of(len(s))
+    c = np.bincount((s >> np.uint64(65 - g.bit_length())).astype(np.int64), minlength=g)
     top = c.max()
     return c.astype(np.uint8 if top < 256 else np.uint16).tobytes() if top < 65536 else b""
 
 
-def points(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+class Points(np.ndarray):
+    """Points of GROUPS groups, a row a member, with the members' own finer points beside them."""
+
+    fine: list
+
+
+def points(blobs: list[bytes], sizes: np.ndarray) -> Points:
+    fine = []
     out = np.empty((len(blobs), GROUPS), np.int32)
-    for i, b in enumerate(blobs):
-        out[i] = np.frombuffer(b, np.uint8 if len(b) == GROUPS else np.uint16) if b else sizes[i]
-    return out
+    for i, (b, n) in enumerate(zip(blobs, sizes.tolist())):
+        if b:
+            own = np.frombuffer(b, np.uint8 if len(b) == groups_of(n) else np.uint16).astype(np.int32)
+            out[i] = own if len(own) == GROUPS else own.reshape(GROUPS, -1).sum(1)
+            fine.append(own)
+        else:
+            out[i] = n
+            fine.append(out[i])
+    whole = out.view(Points)
+    whole.fine = fine
+    return whole
+
+
+def finer_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The bound of two members by the finest groups they share."""
+    g = min(len(a), len(b))
+    fold = lambda x: x if len(x) == g else x.reshape(g, -1).sum(1)
+    return int(np.minimum(fold(a), fold(b)).sum())
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -123,7 +154,9 @@ class RTree:
 
     def __init__(self, p: np.ndarray, sizes: np.ndarray, percent: int):
         self.order = np.lexsort((*p.T[:4], sizes))
-        self.p, self.n, self.percent = p[self.order], sizes[self.order], percent
+        self.fine = getattr(p, "fine", None)
+        self.p, self.n, self.percent = np.asarray(p)[self.order], sizes[self.order], percent
+        self._sizes = sizes
         cut = np.arange(0, len(p), NODE)
         self.hi, self.lo_n, self.hi_n = np.maximum.reduceat(self.p, cut), self.n[cut], np.maximum.reduceat(self.n, cut)
         cut = np.arange(0, len(self.hi), NODE)
@@ -137,8 +170,8 @@ class RTree:
         ok = (least <= hi_n) & (self.percent * lo_n <= 100 * n) & (np.minimum(hi, q).sum(1) >= needed(n, least, self.percent))
         return np.flatnonzero(ok) if at is None else at[ok]
 
-    def search(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members whose points leave enough room for a link with (q, n), and their bounds."""
+    def search(self, q: np.ndarray, n: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Members whose points leave enough room for a link with (q, n), and their bounds; own: q's finer point."""
         spread = lambda nodes, most: (lambda x: x[x < most])((nodes[:, None] * NODE + np.arange(NODE)).ravel())
         top = self._open(q, n, self.hi2, self.lo_n2, self.hi_n2, None)
         leaves = self._open(q, n, self.hi, self.lo_n, self.hi_n, spread(top, len(self.hi)))
@@ -146,34 +179,53 @@ class RTree:
         sizes = self.n[at]
         bound = np.minimum(self.p[at], q).sum(1)
         ok = (bound >= needed(n, sizes, self.percent)) & (100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n))
-        return self.order[at[ok]], bound[ok]
+        at, bound = self.order[at[ok]], bound[ok]
+        if own is not None and len(own) > GROUPS and self.fine is not None:
+            ok = np.array([finer_bound(own, self.fine[j]) >= needed(n, m, self.percent) for j, m in zip(at.tolist(), self._sizes[at].tolist())], bool)
+            at, bound = at[ok], bound[ok]
+        return at, bound
 
 
-def candidate_edges(p: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def _rooms(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of points, row by row, leave room for a link."""
+    return (np.minimum(p, q).sum(-1) >= needed(a, b, percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def candidate_edges(p: np.ndarray, fine: list, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Edges that connect what surviving pairs connect, one fewer than members at most."""
-    if len(sizes) == 2:
-        ok = np.minimum(p[0], p[1]).sum() >= needed(int(sizes[0]), int(sizes[1]), percent) and 100 * sizes.min() >= percent * sizes.max()
-        return [(0, 1)] if ok else []
-    tree, forest, edges = RTree(p, sizes, percent), Forest(len(sizes)), []
+    forest, edges = Forest(len(sizes)), []
+    room = lambda i, j: len(fine[i]) == GROUPS or len(fine[j]) == GROUPS or finer_bound(fine[i], fine[j]) >= needed(int(sizes[i]), int(sizes[j]), percent)
+    if len(sizes) <= NODE:  # a single leaf
+        for i in range(len(sizes) - 1):
+            ok = _rooms(p[i], p[i + 1 :], sizes[i], sizes[i + 1 :], percent)
+            for j in (np.flatnonzero(ok) + i + 1).tolist():
+                if forest.find(i) != forest.find(j) and room(i, j) and forest.join(i, j):
+                    edges.append((i, j))
+            if forest.trees == 1:
+                break
+        return edges
+    tree = RTree(p, sizes, percent)
+    tree.fine = fine
     for i in tree.order.tolist():
         if forest.trees == 1:
             break
-        for j in tree.search(p[i], int(sizes[i]))[0].tolist():
+        for j in tree.search(p[i], int(sizes[i]), fine[i])[0].tolist():
             if forest.join(i, j):
                 edges.append((i, j))
     return edges
 
 
-def verified_edges(p: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def verified_edges(p: np.ndarray, fine: list, sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links, as many as connect all members that links connect (sides: only pairs of unlike sides are looked at)."""
     m = len(sizes)
     tree, forest, edges = RTree(p, sizes, percent), Forest(m), []
+    tree.fine = fine
     postings = None
     for i in tree.order.tolist():
         if forest.trees == 1:
             break
         n, mine = int(sizes[i]), sets[i]
-        at, bound = tree.search(p[i], n)
+        at, bound = tree.search(p[i], n, fine[i])
         if sides is not None:
             ok = sides[at] != sides[i]
             at, bound = at[ok], bound[ok]
@@ -198,30 +250,41 @@ def verified_edges(p: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], per
 
 
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """log2 of how often each of 2^SKETCH_BITS hash buckets is met in all documents; 0 where unremarkable.
+    """How often each of 2^SKETCH_BITS hash buckets is met in all documents, as levels (16 a doubling).
 
-    A task sends the buckets that stand out in it (three times its mean and 8 more), at most all of
-    them; what reaches the driver has a row a bucket at most, whatever the input."""
+    Tasks send their counts as SLICES arrays, which add up slice by slice; the sketch's size is fixed
+    whatever the input, and so is what reaches the driver (4 MB)."""
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(seen, (shingles(text.as_py(), words) & np.uint64(size - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(seen > 3 * seen.mean() + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["bucket", "met"])
-
-    levels = np.zeros(size, np.uint8)
-    sums = docs.select("text").mapInArrow(count, "bucket int, met long").groupBy("bucket").agg(F.sum("met").alias("met")).toPandas()
-    levels[sums.bucket.to_numpy(np.int64)] = np.floor(np.log2(sums.met.to_numpy(np.float64))) if len(sums) else 0
-    return levels
+                # Within a document shingles are distinct, and buckets nearly so: one is enough.
+                seen[(shingles(text.as_py(), words) & np.uint64(size - 1)).astype(np.int64)] += 1
+        parts = [zlib.compress(x.tobytes(), 1) for x in seen.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                got = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+                sums[k] = sums[k] + got if k in sums else got.astype(np.uint64)
+        made = [np.minimum(255, np.round(16 * np.log2(1.0 + x.astype(np.float64)))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(made, pa.binary())], names=["slice", "levels"])
+
+    got = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").toPandas()
+    levels = np.zeros((SLICES, size // SLICES), np.uint8)
+    for k, x in zip(got.slice, got.levels):
+        levels[k] = np.frombuffer(x, np.uint8)
+    return levels.ravel()
 
 
 def _classes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n, key (128 bits of the set), point and the shards of each document."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(levels)  # 1 MB, fixed
+    order = spark.sparkContext.broadcast(levels)  # 4 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
@@ -242,18 +305,46 @@ def _classes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> D
     return docs.mapInArrow(run, "doc_id long, n long, key binary, point binary, shards array<long>")
 
 
-def _grouped(members: DataFrame, key: str, work, large: int, tile: int) -> DataFrame:
-    """Edges (a, b) that work(frame, sides) finds among the members of each key.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches sorted by their first column, cut so that no run of it is split: batch, starts and ends of runs.
 
-    Keys of up to `large` members are one piece.  The members of a larger key are dealt by hash into
-    tiles of about `tile`, and each pair of tiles is a piece of its own."""
+    At most one batch and one run are held; runs have at most LARGE members here."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+        if cut == 0 and held and held[-1].column(0)[-1].as_py() == key[0]:
+            held.append(batch)
+            continue
+        yield from _run(held + [batch.slice(0, cut)] if held and held[-1].column(0)[-1].as_py() == key[0] or cut else held)
+        held = [batch.slice(cut)]
+    yield from _run(held)
+
+
+def _run(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    parts = [p for p in parts if p.num_rows]
+    if parts:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key = whole.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        yield whole, starts, np.r_[starts[1:], len(key)]
+
+
+def _grouped(members: DataFrame, sizes: DataFrame, key: str, work, whole, large: int, tile: int) -> DataFrame:
+    """Edges (a, b) among the members of each key; sizes has a row with the key for each member.
+
+    Keys of up to `large` members stream, sorted, through whole(batches).  The members of a larger key
+    are dealt by hash into tiles of about `tile`, and each pair of tiles is a piece for work(frame, sides)."""
     schema = "a long, b long"
-    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select(F.col(key).alias("big"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+    counts = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select(F.col(key).alias("big"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
     counts = staged(counts, "large")
-    small = members.join(counts, F.col(key) == F.col("big"), "left_anti") if counts.limit(1).count() else members
-    names = members.columns
-    edges = small.groupBy(key).applyInPandas(lambda f: work(f, None), schema)
-    if small is members:
+    some = counts.limit(1).count() > 0
+    small = members.join(counts, F.col(key) == F.col("big"), "left_anti") if some else members
+    names = [key, *[c for c in members.columns if c != key]]
+    edges = small.select(*names).repartition(key).sortWithinPartitions(key, "cid").mapInArrow(whole, schema)
+    if not some:
         return edges
     cut = members.join(counts, F.col(key) == F.col("big")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ta", F.least("own", "other")).withColumn("tb", F.greatest("own", "other"))
@@ -273,24 +364,57 @@ def _edge_frame(cid: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, large: int = LARGE, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): rows doc_id, n, key; classes cid, key, n, label (smallest doc_id);
     links a, b between cids - enough of them to connect whatever all links connect, each verified."""
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(_classes(src, words, percent, _sketch(src, words)), "shingled")
-    named = rows.where("doc_id is not null and n > 0")
-    classes = staged(named.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("shards").alias("shards")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    shared = classes.select("cid", F.explode("shards").alias("shard"))
-    meet = shared.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("shard")
-    members = staged(shared.join(meet, "shard", "left_semi").join(classes.select("cid", "n", "point"), "cid"), "shards")
+    whole = staged(_classes(src, words, percent, _sketch(src, words)), "shingled")
+    named = whole.where("doc_id is not null and n > 0")
+    dealt = staged(named.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("shards").alias("shards")).withColumn("cid", F.monotonically_increasing_id()), "dealt")
+    rows = staged(whole.select("doc_id", "n", "key"), "rows")
+    dropped(spark, whole)
+    # One shuffle deals all shards; shards of one member fall away at once, and of the many shards that
+    # have the same members one stays (told by their number and two 64-bit sums of hashes).
+    same = W.partitionBy("shard")
+    met = dealt.select("cid", F.explode("shards").alias("shard")).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("s1", F.bit_xor(F.xxhash64("cid")).over(same)).withColumn("s2", F.bit_xor(F.xxhash64(F.lit(1), "cid")).over(same))
+    met = staged(met.where("size > 1"), "met")
+    classes = staged(dealt.drop("shards"), "classes")
+    dropped(spark, dealt)
+    lead = met.groupBy("size", "s1", "s2").agg(F.min("shard").alias("shard")).select("shard")
+    members = met.select("shard", "cid").join(lead, "shard", "left_semi").join(classes.select("cid", "n", "point"), "cid")
+    members = staged(members.select("shard", "cid", "n", "point"), "members")
+    dropped(spark, met)
 
     def survivors(f: pd.DataFrame, sides: np.ndarray | None) -> pd.DataFrame:
         sizes = f.n.to_numpy(np.int64)
-        return _edge_frame(f.cid.to_numpy(), candidate_edges(points(f.point.tolist(), sizes), sizes, percent))
-
-    clusters = components(_grouped(members, "shard", survivors, large, tile).where("a != b").distinct())
+        p = points(f.point.tolist(), sizes)
+        return _edge_frame(f.cid.to_numpy(), candidate_edges(p, p.fine, sizes, percent))
+
+    def survivors_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # many shards have the same members; one of them is enough
+        for b, starts, ends in _runs(batches):
+            cid, sizes = b.column(1).to_numpy(), b.column(2).to_numpy()
+            p = points(b.column(3).to_pylist(), sizes)
+            two = starts[ends - starts == 2]
+            ok = two[_rooms(p[two], p[two + 1], sizes[two], sizes[two + 1], percent)]
+            ok = np.array([i for i in ok.tolist() if min(len(p.fine[i]), len(p.fine[i + 1])) == GROUPS or finer_bound(p.fine[i], p.fine[i + 1]) >= needed(int(sizes[i]), int(sizes[i + 1]), percent)], np.int64)
+            found = [np.unique(np.stack([cid[ok], cid[ok + 1]], 1), axis=0)]
+            for lo, hi in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+                if (who := xxhash.xxh3_128_digest(cid[lo:hi].tobytes())) in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(who)
+                at = np.array(candidate_edges(p[lo:hi], p.fine[lo:hi], sizes[lo:hi], percent), np.int64).reshape(-1, 2)
+                found.append(cid[lo:hi][at])
+            out = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    clusters = components(_grouped(members, members, "shard", survivors, survivors_of_all, large, tile).where("a != b").distinct())
     inside = classes.join(clusters, F.col("cid") == F.col("node")).select("cid", "key", "n", "point", "label", F.col("component").alias("cluster"))
     inside = staged(inside, "clusters")
-    wanted = inside.select(F.col("label").alias("doc_id"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    dropped(spark, members)
+    wanted = inside.select(F.col("label").alias("doc_id")).distinct()
+    small = wanted.count() <= BROADCAST_IDS
+    near = F.broadcast if small else (lambda x: x)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,17 +422,31 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             keys = [xxhash.xxh3_128_digest(s) for s in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "of", "hashes"])
 
-    found = src.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, of binary, hashes binary")
-    # Repeated ids may bring other texts, and a text several times: one set a class, by its key.
-    held = inside.join(found, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("of"))).select("cid", "n", "point", "cluster", "hashes").dropDuplicates(["cid"])
-    held = staged(held, "sets")
+    # Repeated ids may bring other texts: the key tells.  The same set may come twice; the work skips it.
+    found = src.join(near(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, of binary, hashes binary")
+    held = found.join(near(inside), (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("of"))).select("cluster", "cid", "n", "point", "hashes")
 
     def link(f: pd.DataFrame, sides: np.ndarray | None) -> pd.DataFrame:
+        fresh = ~f.cid.duplicated().to_numpy()
+        f, sides = f[fresh], None if sides is None else sides[fresh]
         sizes = f.n.to_numpy(np.int64)
         sets_ = [np.frombuffer(h, np.uint64) for h in f.hashes]
-        return _edge_frame(f.cid.to_numpy(), verified_edges(points(f.point.tolist(), sizes), sizes, sets_, percent, sides))
-
-    links = staged(_grouped(held, "cluster", link, large, tile), "links")
+        p = points(f.point.tolist(), sizes)
+        return _edge_frame(f.cid.to_numpy(), verified_edges(p, p.fine, sizes, sets_, percent, sides))
+
+    def link_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, starts, ends in _runs(batches):
+            cid, sizes = b.column(1).to_numpy(), b.column(2).to_numpy()
+            p, sets_ = points(b.column(3).to_pylist(), sizes), [np.frombuffer(h, np.uint64) for h in b.column(4).to_pylist()]
+            found = [np.empty((0, 2), np.int64)]
+            for lo, hi in zip(starts.tolist(), ends.tolist()):
+                one = lo + np.unique(cid[lo:hi], return_index=True)[1]
+                at = np.array(verified_edges(p[one], [p.fine[i] for i in one], sizes[one], [sets_[i] for i in one], percent), np.int64).reshape(-1, 2)
+                found.append(cid[one][at])
+            out = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    links = staged(_grouped(held, inside, "cluster", link, link_all, large, tile), "links")
     return rows, classes, links
 
 
