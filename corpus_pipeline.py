@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import mixing, ngram_jaccard, pii, quality_rules, sentencepiece_bpe
-from lectern.llm.common import staged, table
+from lectern.llm.common import began, released, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    began()
     return quality_rules.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that 4-word shingles at 85 % connect."""
+    released(spark, docs)
     return ngram_jaccard.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts masked."""
+    released(spark, docs)
     return pii.masked(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those of small sources repeated as the mixture's weights say."""
+    released(spark, docs)
     return mixing.mixed(docs, carry=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mixture."""
+    released(spark, docs)
     return sentencepiece_bpe.round_trip(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,6 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
+def released(spark: SparkSession, but: DataFrame) -> None:
+    """Delete all staged tables except those that `but` reads.
+
+    A pipeline calls this when a stage begins: what earlier stages staged has done its work, since
+    their results are written.  Shuffle files that nothing refers to any more go too."""
+    reads = but.inputFiles()
+    for path in [p for p in _STAGED if not any(p.split("://")[-1].lstrip("/") in r for r in reads)]:
+        _deleted(spark, path)
+        _STAGED.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def began() -> None:
+    """Forget what was staged before, so that a pipeline releases only what its own stages stage."""
+    _STAGED.clear()
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df once to a table in the shared folder and read it back.
 
@@ -32,6 +59,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     table is compressed and columnar, so later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{what}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,5 +68,4 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
     files = df.inputFiles()
     if files:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(spark, files[0].rsplit("/", 1)[0])
