@@ -118,5 +118,7 @@ def ansi(text: str, entities: dict[str, str], base: tuple[str, ...] = ()) -> str
 
     need(text)
     named = {t: (f"e_{t}" if t in known else t) for t in [*known, *tables_in(text), *(x for k in order for x in tables_in(known[k]))]}
+    if text.lstrip().upper().startswith("WITH"):
+        text = f"SELECT * FROM ({text}) whole"
     ctes = ", ".join(f"e_{t} AS ({bound(known[t], named)})" for t in order)
     return (f"WITH {ctes} " if ctes else "") + bound(text, named)

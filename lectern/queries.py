@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.sql import Duck, Spark, bound, tables_in
 from lectern.operators import quality
-from lectern.plans import marks, report
+from lectern.plans import compare, marks, report
 from lectern.plans.audit import EVALUATORS, FINDINGS, ansi, rule_sql
+from lectern.plans.stage import written
 from lectern.sources import star
 from lectern.sources.load import star_corpus, table
 
@@ -97,6 +98,12 @@ def _run_star(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     return corpus.sql(sql)
 
 
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = star_corpus(spark, sf_dir)
+    corpus.frames["findings"] = corpus.sql(findings_sql(corpus.dialect))
+    return compare.compared(written(corpus.sql(report.engine_records()), "engine"), written(corpus.sql(ORACLE), "oracle"))
+
+
 def _run_plain(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     sql = text(Spark())
     views = {}
@@ -112,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = lambda spark, sf_dir, t=text: _run_star(spark, sf_dir, t)
     for name, text in _plain().items():
         out[name] = lambda spark, sf_dir, t=text: _run_plain(spark, sf_dir, t)
+    out["oracle_comparison"] = _compared
+    out["comparison_rollup"] = lambda spark, sf_dir: compare.rolled_up(_compared(spark, sf_dir))
     return out
 
 
