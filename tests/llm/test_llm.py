@@ -85,6 +85,53 @@ def test_quality_rules(docs, texts, odd, none):
     assert quality_rules.accepted(docs).count() == sum(r.kept for r in got)
 
 
+def brute_kept(rows):
+    """Ids kept of (verdict row, language), by sorting instead of Spark's percentiles."""
+    groups = collections.defaultdict(list)
+    for r, lang in rows:
+        if not r.base_failed:
+            for g in (lang, "script:" + r.script, "all"):
+                groups[g].append(math.log(r.chars_per_token))
+
+    def band(g):
+        low, middle, high = np.quantile(groups[g], [0.25, 0.5, 0.75], method="inverted_cdf")
+        return middle, quality_rules.BAND * max((high - low) / 1.349, 0.01)
+
+    kept = set()
+    for r, lang in rows:
+        if r.base_failed:
+            continue
+        if len(groups[lang]) >= 100 and lang:
+            middle, wide = band(lang)
+        else:
+            middle, wide = band("script:" + r.script)
+            wide = wide if len(groups["script:" + r.script]) >= 100 else band("all")[1]
+        far = abs(math.log(r.chars_per_token) - middle) > wide * max(1, math.sqrt(200 / r.n_words))
+        floor = min(quality_rules.ENTROPY_FLOOR, quality_rules.ENTROPY_SHARE * math.log2(r.n_tokens))
+        if not far and r.byte_share <= quality_rules.BYTE_SHARE.get(r.script, 1) and r.token_entropy >= floor:
+            kept.add(r.doc_id)
+    return kept
+
+
+def test_quality_bands_reject(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = np.random.default_rng(5)
+    letters = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(n))
+    greek = [" ".join(rng.choice("και το της είναι για από με που στην αυτό δεν θα ήταν μια τους πολύ όταν πρώτη χρόνια σήμερα κόσμος".split(), 90)) for _ in range(3)]
+    junk = {20_001: ("xx", letters(300)), 20_002: (None, letters(300))}  # a language of one document, and none
+    rows = [(i, "en", t) for i, t in texts.items()] + [(i, *x) for i, x in junk.items()] + [(20_010 + k, "el", t) for k, t in enumerate(greek)]
+    langs = {i: lang for i, lang, _ in rows} | {r.doc_id: r.lang for r in docs.collect()}
+    got = quality_rules.verdicts(spark.createDataFrame([(i, langs[i], t) for i, _, t in rows], "doc_id long, lang string, text string")).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert kept == brute_kept([(r, langs[r.doc_id]) for r in got])
+    passed = {r.doc_id for r in got if not r.base_failed}
+    assert not kept & set(junk) and junk.keys() <= passed
+    bad, good = ([d for d in passed if truth.get(d) == q] for q in (0, 1))
+    assert sum(d not in kept for d in bad) > 0.4 * len(bad) and sum(d in kept for d in good) > 0.98 * len(good)
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
