@@ -4,8 +4,8 @@ Fixed patterns find e-mail addresses, IP addresses, card and phone numbers; thes
 Every identifier-like string of the corpus, seed or not, is an instance with the lexical patterns it
 stands in: the word before it together with its shape, and its shape together with the word after it.
 Patterns and instances form a graph.  In each round a pattern is as sure as the mean score of its
-distinct instances, and an instance that is no seed scores one minus the chance that all of its sure
-patterns err.  After ROUNDS rounds, instances that score enough are identifiers nobody wrote a
+distinct instances - a seed's score is always 1, that of an instance without a sure pattern 0 - and an
+instance that is no seed scores one minus the chance that all of its sure patterns err.  After ROUNDS rounds, instances that score enough are identifiers nobody wrote a
 pattern for.
 """
 
@@ -118,12 +118,14 @@ def _discovered(rows: DataFrame, p: str) -> DataFrame:
     one = staged(one.withColumn("seed", F.get(F.transform(hit, lambda s: s["kind"]), F.lit(0))).drop("spans"), "instances")
     patterns = F.array(F.concat_ws("\u0001", F.lit("b"), "before", "shape"), F.concat_ws("\u0001", F.lit("a"), "after", "shape"))
     edges = staged(one.select("value", "seed", F.explode(patterns).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    scores = edges.groupBy("value").agg(F.max("seed").alias("seed")).select("value", F.col("seed").isNotNull().cast("double").alias("score"))
+    values = staged(edges.groupBy("value").agg(F.max("seed").alias("of")), "values")
+    scores = values.select("value", F.col("of").isNotNull().cast("double").alias("score"), F.lit(None).cast("int").alias("kind"))
     for _ in range(ROUNDS):
         seen = edges.join(scores, "value")
         sure = seen.groupBy("pattern").agg(F.avg("score").alias("sure"), F.count("seed").alias("seeds"), F.mode("seed").alias("kind")).where((F.col("seeds") >= SUPPORT) & (F.col("sure") >= SURE))
-        found = edges.join(sure, "pattern").groupBy("value").agg(F.max("kind").alias("kind"), F.sum(F.log(F.lit(1.000001) - F.col("sure"))).alias("doubt"), F.max(edges["seed"]).alias("seed"))
-        scores = staged(found.select("value", "kind", F.when(F.col("seed").isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0) - F.exp("doubt")).alias("score")), "scores")
+        found = edges.join(sure, "pattern").groupBy("value").agg(F.max("kind").alias("kind"), F.sum(F.log(F.lit(1.000001) - F.col("sure"))).alias("doubt"))
+        score = F.when(F.col("of").isNotNull(), F.lit(1.0)).otherwise(F.coalesce(F.lit(1.0) - F.exp("doubt"), F.lit(0.0)))
+        scores = staged(values.join(found, "value", "left").select("value", score.alias("score"), "kind"), "scores")
     new = scores.where(F.col("score") >= SCORE).select("value", "kind")
     return one.where("seed is null").join(new, "value").select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("span"), "kind")
 

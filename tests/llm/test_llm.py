@@ -163,6 +163,30 @@ def test_pii_discovers_from_context(spark):
     assert pii.found(spark.createDataFrame(rows, "doc_id long, text string")).count() == 43
 
 
+def identifiers(spark, rows):
+    """Values that are found as identifiers, by document."""
+    texts = dict(rows)
+    out = {}
+    for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        at = [x.split(":") for x in r.spans.split(",") if x.startswith("identifier:")]
+        assert len(at) == r.n_identifier
+        if at:
+            out[r.doc_id] = [texts[r.doc_id][int(a) : int(b)] for _, a, b in at]
+    return out
+
+
+def luhn(body):
+    return body + next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate((body + c)[::-1])) % 10 == 0)
+
+
+def test_pii_keeps_negative_evidence(spark):
+    cards = [luhn(f"41111111{i:07d}") for i in range(5)]
+    wrong = [x[:-1] + str((int(x[-1]) + 1) % 10) for x in (luhn(f"52222222{i:07d}") for i in range(95))]
+    rows = [(i, f"we sent order {x} home{i} soon") for i, x in enumerate(cards + wrong)]
+    rows += [(200 + i, f"please charge {x} today") for i, x in enumerate(cards)]
+    assert identifiers(spark, rows) == {}
+
+
 def brute_components(sets):
     up = {d: d for d in sets}
 
