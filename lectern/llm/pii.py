@@ -2,10 +2,11 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers; these are the seeds.
 Every identifier-like string of the corpus, seed or not, is an instance with the lexical patterns it
-stands in: the word before it together with its shape, and its shape together with the word after it.
+stands in: the word before it and the word after it, each alone and together with its coarse shape
+(whether it has an @, letters, digits).
 Patterns and instances form a graph.  In each round a pattern is as sure as the mean score of its
 distinct instances - a seed's score is always 1, that of an instance without a sure pattern 0 - and an
-instance that is no seed scores one minus the chance that all of its sure patterns err.  After ROUNDS rounds, instances that score enough are identifiers nobody wrote a
+instance that is no seed scores one minus the chance that the surest patterns of all its words err.  After ROUNDS rounds, instances that score enough are identifiers nobody wrote a
 pattern for.
 """
 
@@ -91,7 +92,7 @@ def _word(x: Column) -> Column:
 def _candidates(text: Column) -> Column:
     """Identifier-like strings: array of (start, end, value, shape, before, after)."""
     clear = F.coalesce(F.when(text.rlike("[0-9@]"), _found(text, CANDIDATE)), F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    shape = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
+    shape = lambda v: F.when(v.contains("@"), F.lit("@")).otherwise(F.concat(F.when(v.rlike(r"\p{L}"), F.lit("a")).otherwise(F.lit("")), F.when(v.rlike("[0-9]"), F.lit("9")).otherwise(F.lit(""))))
 
     def one(x: Column) -> Column:
         before = F.element_at(F.split(F.rtrim(F.substring(text, F.greatest(F.lit(1), x["start"] - 39), F.least(x["start"], F.lit(40)))), r"\s+"), -1)
@@ -116,14 +117,17 @@ def _discovered(rows: DataFrame, p: str) -> DataFrame:
     one = rows.select(F.col(r).alias("row"), F.col(spans).alias("spans"), F.explode(f"{p}candidates").alias("c")).select("row", "spans", "c.*")
     hit = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     one = staged(one.withColumn("seed", F.get(F.transform(hit, lambda s: s["kind"]), F.lit(0))).drop("spans"), "instances")
-    patterns = F.array(F.concat_ws("\u0001", F.lit("b"), "before", "shape"), F.concat_ws("\u0001", F.lit("a"), "after", "shape"))
-    edges = staged(one.select("value", "seed", F.explode(patterns).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
+    sides = [F.when(F.col(word) != "", F.concat_ws("\u0001", F.lit(side), word)) for side, word in (("b", "before"), ("a", "after"))]
+    each = [F.struct(x.alias("word"), y.alias("pattern")) for x in sides for y in (x, F.concat(x, F.lit("\u0001"), F.col("shape")))]
+    patterns = F.filter(F.array(*each), lambda x: x["word"].isNotNull())
+    edges = staged(one.select("value", "seed", F.explode(patterns).alias("p")).select("value", "seed", "p.*").groupBy("word", "pattern", "value").agg(F.max("seed").alias("seed")), "graph")
     values = staged(edges.groupBy("value").agg(F.max("seed").alias("of")), "values")
     scores = values.select("value", F.col("of").isNotNull().cast("double").alias("score"), F.lit(None).cast("int").alias("kind"))
     for _ in range(ROUNDS):
         seen = edges.join(scores, "value")
         sure = seen.groupBy("pattern").agg(F.avg("score").alias("sure"), F.count("seed").alias("seeds"), F.mode("seed").alias("kind")).where((F.col("seeds") >= SUPPORT) & (F.col("sure") >= SURE))
-        found = edges.join(sure, "pattern").groupBy("value").agg(F.max("kind").alias("kind"), F.sum(F.log(F.lit(1.000001) - F.col("sure"))).alias("doubt"))
+        best = edges.join(sure, "pattern").groupBy("value", "word").agg(F.max("kind").alias("kind"), F.max("sure").alias("sure"))
+        found = best.groupBy("value").agg(F.max("kind").alias("kind"), F.sum(F.log(F.lit(1.000001) - F.col("sure"))).alias("doubt"))
         score = F.when(F.col("of").isNotNull(), F.lit(1.0)).otherwise(F.coalesce(F.lit(1.0) - F.exp("doubt"), F.lit(0.0)))
         scores = staged(values.join(found, "value", "left").select("value", score.alias("score"), "kind"), "scores")
     new = scores.where(F.col("score") >= SCORE).select("value", "kind")

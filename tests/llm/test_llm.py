@@ -179,6 +179,15 @@ def luhn(body):
     return body + next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate((body + c)[::-1])) % 10 == 0)
 
 
+def test_pii_discovers_other_shapes(spark):
+    rows = [(i, f"reach us via phone +49 30 {5550000 + 37 * i} ext. {i} or mail to user{i}@example.org today") for i in range(20)]
+    rows += [(50 + i, f"charge card {luhn(f'41111111{i:07d}')} holder n{i}") for i in range(20)]
+    hidden = {101: ("please phone 030 5559999 ext. 3", "030 5559999"), 102: ("mail to root@localhost today", "root@localhost"), 103: ("charge card AB1234567 holder x", "AB1234567"), 104: ("via phone 5551234567 ext. 9", "5551234567")}
+    plain = {201: "order 5551234000 was packed", 202: "part AB7654321 is out", 203: "see root@elsewhere for more"}
+    rows += [(i, t) for i, (t, _) in hidden.items()] + list(plain.items())
+    assert identifiers(spark, rows) == {i: [v] for i, (_, v) in hidden.items()}
+
+
 def test_pii_keeps_negative_evidence(spark):
     cards = [luhn(f"41111111{i:07d}") for i in range(5)]
     wrong = [x[:-1] + str((int(x[-1]) + 1) % 10) for x in (luhn(f"52222222{i:07d}") for i in range(95))]
