@@ -5,6 +5,8 @@ negative.  A close belongs to the last open of its level, so pairs are found wit
 
 from __future__ import annotations
 
+from lectern.functions.sql import Duck
+
 _ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -67,9 +69,16 @@ def html_frames(d) -> str:
 
 
 def html_nodes(d) -> str:
-    """Structure elements of pages: roles by tag, with the enclosing element (the open frame last begun)."""
+    """Structure elements of pages: roles by tag, with the enclosing element (the open frame last begun).
+
+    The oracle keeps its text, which looks for it by a list of depths and finds none below depth 16."""
     role = "CASE name WHEN 'ul' THEN 'L' WHEN 'ol' THEN 'L' WHEN 'li' THEN 'LI' WHEN 'p' THEN 'P' WHEN 'nav' THEN 'Sect' WHEN 'article' THEN 'Sect' WHEN 'section' THEN 'Sect' WHEN 'footer' THEN 'Sect' WHEN 'div' THEN 'Div' WHEN 'table' THEN 'Table' WHEN 'tr' THEN 'TR' WHEN 'th' THEN 'TH' WHEN 'td' THEN 'TD' WHEN 'h1' THEN 'H1' WHEN 'h2' THEN 'H2' WHEN 'h3' THEN 'H3' WHEN 'h4' THEN 'H4' WHEN 'h5' THEN 'H5' WHEN 'h6' THEN 'H6' ELSE 'NonStruct' END"
     f = html_frames(d)
+    if not isinstance(d, Duck):
+        # Each element stands in its own level, and asks in the level above for the last open before it.
+        asks = f"SELECT x.*, x.depth - k.n AS level, CASE WHEN k.n = 0 THEN x.opens END AS here, k.n AS ask FROM ({f}) x, {d.numbers('0', '1')} k"
+        run = f"SELECT a.*, max(here) OVER (PARTITION BY page_id, level ORDER BY opens {_ROWS}) AS parent FROM ({asks}) a"
+        return f"SELECT page_id, opens, stops, depth, name, {role} AS role, parent FROM ({run}) r WHERE ask = 1"
     above = f"max(CASE WHEN depth = {{}} THEN opens END) OVER (PARTITION BY page_id ORDER BY opens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     parents = " ".join(f"WHEN {k + 1} THEN {above.format(k)}" for k in range(1, 16))
     return f"SELECT page_id, opens, stops, depth, name, {role} AS role, CASE depth {parents} END AS parent FROM ({f}) x"
