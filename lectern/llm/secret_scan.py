@@ -75,7 +75,7 @@ def labelled(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
     Half are secrets (hex, base-64 and prefixed keys and mixed passwords, mostly assigned to a telling
     name), half look-alikes: digests and revisions under their names, UUIDs, paths and file names,
-    long words and identifiers, numbers, rulers, and keys' formats in paths.  Which kind a row is and
+    long words (common and invented ones) and identifiers, numbers, rulers, and keys' formats in paths.  Which kind a row is and
     its letters follow from hashes of its number."""
     i = F.col("id")
     h = lambda k: F.sha2(F.concat_ws(":", i.cast("string"), F.lit(str(k))), 256)
@@ -84,6 +84,8 @@ def labelled(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     upper = F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(h(5))), "[^A-Za-z0-9]", ""), 1, 16))
     pick = lambda k, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
     word = lambda k: pick(k, *COMMON.split("|")[:120])
+    sound = lambda k: F.concat(pick(k, *"b d f g k l m n p r s t v z st tr br".split()), pick(k + 1, *"a e i o u ei ou an en or".split()))
+    sounds = lambda *ks: F.concat(*[sound(k) for k in ks])
     words = lambda sep, *ks: F.concat_ws(sep, *[word(k) for k in ks])
     name = pick(20, "token", "secret", "password", "api_key", "apikey", "access_key", "AUTH_TOKEN", "client_secret", "aws_secret_access_key", "passwd", "Authorization", "private_key")
     other = pick(21, "sha1", "sha256", "md5", "commit", "checksum", "digest", "revision", "etag", "hash", "build")
@@ -103,6 +105,9 @@ def labelled(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (words("", 47, 48, 49, 50), plain, F.lit(" ")), (words("_", 51, 52, 53, 54), pick(26, plain, secret_ctx), F.lit(" ")), (words("-", 55, 56, 57, 58), plain, F.lit(".")),
         (F.regexp_replace(h(6), "[a-f]", ""), plain, F.lit(" ")), (F.repeat(pick(27, "-", "=", "_", ".", "x"), 24), plain, F.lit(" ")), (hex40, F.concat(plain, F.lit("https://"), word(59), F.lit(".com/")), F.lit("/")),
         (words(".", 60, 61, 62, 63), plain, F.lit(" ")), (words("", 64, 65, 66), secret_ctx, close), (F.concat(words("", 67, 68), F.lit("@"), word(69), F.lit(".com")), plain, F.lit(" ")),
+        (sounds(100, 102, 104, 106, 108, 110, 112), pick(28, plain, ""), F.lit(" ")), (F.initcap(sounds(114, 116, 118, 120, 122, 124, 126)), pick(29, plain, ""), F.lit(" ")),
+        (F.upper(sounds(154, 156, 158, 160, 162, 164)), F.upper(plain), pick(72, " ", "!! ", ". ")),
+        (F.concat(sounds(128, 130, 132, 134), pick(70, "-", ".", "/", "_", "..."), sounds(136, 138, 140, 142)), plain, F.lit(" ")), (sounds(144, 146, 148, 150, 152), F.concat(plain, word(71), F.lit(": ")), F.lit(" ")),
     ]
     struct = lambda x, label: F.struct(x[0].alias("value"), x[1].alias("before"), x[2].alias("after"), F.lit(label).alias("label"))
     of = lambda xs, label: F.element_at(F.array(*[struct(x, label) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(99)), F.lit(len(xs))) + 1).cast("int"))
@@ -124,8 +129,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = F.when(hint, _found(t, CANDIDATE))
     each = docs.select("doc_id", "text", F.explode(found).alias("c"))
     from_at = F.greatest(F.lit(0), F.col("c.start") - NEAR)
-    out = each.select("doc_id", "c.start", "c.end", "c.value", F.substring(t, from_at + 1, F.col("c.start") - from_at).alias("before"), F.substring(t, F.col("c.end") + 1, F.lit(NEAR)).alias("after"))
-    return out.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") | F.col("value").rlike("[!@#$%^&*]"))
+    return each.select("doc_id", "c.start", "c.end", "c.value", F.substring(t, from_at + 1, F.col("c.start") - from_at).alias("before"), F.substring(t, F.col("c.end") + 1, F.lit(NEAR)).alias("after"))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
