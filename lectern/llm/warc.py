@@ -104,7 +104,7 @@ def derivatives(header: str, block: bytes) -> list[tuple]:
         }
     }
     made = []
-    for what, mime, content in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", "\n".join(b for _, b, _ in page.blocks))):
+    for what, mime, content in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", "\n".join(b for b, _ in page.blocks))):
         raw = content.encode()
         own, mark = record_id(what, ref, digest), sha1(raw)
         out = [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", ref), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", mark)]

@@ -4,22 +4,28 @@ A wrapper is a regular expression over the elements of a host's pages without al
 elements, groups, text slots, and the marks ? (not on every page) and + (repeated).  It starts as
 the first page's own structure and is aligned with one page after another: repeats inside a
 sequence fold into one element or group marked +, what only one side has is marked ?, and texts
-that differ turn a constant into a slot.  Partial wrappers of parts of a host align with each other
-in the same way, so parts are inferred where the pages are and only wrappers travel.
-
-Slots, unlike the host's constants, carry a page's own text.  Those that stand in the host's article
-element (or its main element, or else wherever running text stands), and under no navigation,
-header, footer, sidebar, notice, advert, form or comment element, are the main text.
+that differ turn a constant into a slot.  A sequence of more than LONGEST items becomes (a? b? ...)+,
+each kind of element once, which still has no alternatives and matches all that it stands for.
+Partial wrappers of parts of a host align with each other in the same way, so parts are inferred
+where the pages are and only wrappers travel.
+
+A page's main text is read off its match with the host's wrapper.  Each block lands in a slot, and
+the slot's place decides: inside the article element (else the main element, else anywhere), under
+no element that the page marks as navigation, header, footer, sidebar, notice, advert, form or
+comments, and not a constant of the template.  Without an article, slots that mostly hold links go
+too.  Marks above an article do not count, but an article in a sidebar gives way to one outside.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +34,14 @@ from .markup import Page
 
 #: Wrappers go out by broadcast up to so many bytes; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 16 << 20
-#: A constant on at least so many pages of a host is the template's.
-CONSTANT_PAGES = 3
-LONGEST_GROUP = 4
-
-#: Elements, and words in classes, ids and roles, that mark what is not main text.
+#: A slot of one text on at least so many pages is the template's: outside an article, and inside one.
+CONSTANT_PAGES, CONSTANT_IN_ARTICLE = 3, 8
+#: Items of a sequence; longer ones become bags.
+LONGEST = 128
+#: Elements that are not main text, and those of them that an article does not stand in.
 AWAY_TAGS = frozenset("nav header footer aside form menu dialog button fieldset label search".split())
-AWAY_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead topbar footer foot sidebar side aside rail widget widgets related recommended recommendations more trending "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay dialog toast "
-    "share sharing social follow subscribe subscription newsletter signup login signin register search form "
-    "comment comments reply replies respond discussion disqus reader-comments pagination pager paging toolbar tools skip copyright legal "
-    "complementary contentinfo banner-ad".split()
-)
-MAIN_MARKS = ("$articlebody", "@main")
-WORDS = re.compile(r"[a-z]+")
+ABOVE_TAGS = frozenset("nav footer aside menu dialog".split())
+SLOT, BAG = "#", "*"
 
 
 def host_of(url: str | None) -> str:
@@ -51,191 +49,275 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-# --- the wrapper's grammar: an item is [key, items, optional, repeated]; text slots have the key "#"
+class Item:
+    """A part of a wrapper: an element, a group "(keys)", a slot SLOT or a bag BAG.
+
+    stat, of slots: [pages, blocks, characters, of them in links, hash of the text or None if it
+    varies]; at, of slots of a single page: the numbers of its blocks."""
+
+    __slots__ = ("key", "kids", "optional", "repeated", "stat", "at")
+
+    def __init__(self, key: str, kids: list[Item], optional: bool = False, repeated: bool = False, stat: list | None = None, at: list | None = None):
+        self.key, self.kids, self.optional, self.repeated, self.stat, self.at = key, kids, optional, repeated, stat, at
+
+    def as_optional(self) -> Item:
+        return Item(self.key, self.kids, True, self.repeated, self.stat, self.at)
 
 
-def folded(children: list) -> list:
+def deep() -> None:
+    """Let pages nest as deep as they like: calls between Python functions take no C stack."""
+    if sys.getrecursionlimit() < 1_000_000:
+        sys.setrecursionlimit(1_000_000)
+
+
+def shape(children: list, blocks: list) -> list[Item]:
     """A page's sequence of children as items, repeats folded."""
-    items = [["#", [], False, False] if c == "#" else [c[0], folded(c[1]), False, False] for c in children]
-    items = _fold_same(items)
-    for size in range(2, LONGEST_GROUP + 1):
-        items = _fold_groups(items, size)
-    return items
-
-
-def _fold_same(items: list) -> list:
-    out: list = []
-    for item in items:
-        if out and out[-1][0] == item[0]:
-            out[-1] = [item[0], aligned(out[-1][1], item[1]), False, True]
+    items = []
+    for c in children:
+        if isinstance(c, int):
+            text, linked = blocks[c]
+            items.append(Item(SLOT, [], stat=[1, 1, len(text), min(linked, len(text)), xxhash.xxh3_64_hexdigest(text)], at=[c]))
+        else:
+            items.append(Item(c[0], shape(c[1], blocks)))
+    return _folded(items)
+
+
+def _folded(items: list[Item]) -> list[Item]:
+    items = _adjacent(items, True)
+    if len(items) > 3 and len({x.key for x in items}) < len(items):
+        size = 2
+        while 2 * size <= len(items) and size <= LONGEST // 2:
+            items = _groups(items, size)
+            size += 1
+    return items if len(items) <= LONGEST else _bag(items, True)
+
+
+def _adjacent(items: list[Item], same_page: bool) -> list[Item]:
+    """Neighbours of one key as one."""
+    out: list[Item] = []
+    for x in items:
+        if out and out[-1].key == x.key:
+            y = out[-1]
+            out[-1] = _merged(y, x, same_page)
+            out[-1].optional, out[-1].repeated = y.optional and x.optional, True
         else:
-            out.append(item)
+            out.append(x)
     return out
 
 
-def _fold_groups(items: list, size: int) -> list:
-    keys, out, i = [x[0] for x in items], [], 0
+def _groups(items: list[Item], size: int) -> list[Item]:
+    keys, out, i = [x.key for x in items], [], 0
     while i < len(items):
-        if i + 2 * size <= len(items) and keys[i : i + size] == keys[i + size : i + 2 * size]:
-            group, i = items[i : i + size], i + size
-            while keys[i : i + size] == [x[0] for x in group]:
-                group = aligned(group, items[i : i + size])
+        if keys[i] == (keys[i + size] if i + size < len(keys) else None) and keys[i : i + size] == keys[i + size : i + 2 * size]:
+            group, of = items[i : i + size], keys[i : i + size]
+            i += size
+            while keys[i : i + size] == of:
+                group = [_merged(x, y, True) for x, y in zip(group, items[i : i + size])]
                 i += size
-            out.append([f"({' '.join(x[0] for x in group)})", group, False, True])
+            out.append(Item(f"({' '.join(of)})", group, False, True))
         else:
             out.append(items[i])
             i += 1
     return out
 
 
-def aligned(a: list, b: list) -> list:
-    """Two sequences as one: the longest common run of keys merges, the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [[x[0], aligned(x[1], y[1]), x[2] or y[2], x[3] or y[3]] for x, y in zip(a, b)]
+def _merged(x: Item, y: Item, same_page: bool) -> Item:
+    """Two items of one key as one."""
+    stat = at = None
+    if x.stat is not None:
+        a, b = x.stat, y.stat
+        stat = [max(a[0], b[0]) if same_page else a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None]
+        at = x.at + y.at if same_page and x.at is not None and y.at is not None else None
+    if x.key == BAG:
+        return _bag([x, y], same_page)[0]
+    return Item(x.key, aligned(x.kids, y.kids, same_page), x.optional or y.optional, x.repeated or y.repeated, stat, at)
+
+
+def _bag(items: list[Item], same_page: bool) -> list[Item]:
+    """(a? b? ...)+ of all keys in items, groups and bags in them opened."""
+    held: dict[str, Item] = {}
+    queue = list(reversed(items))
+    while queue:
+        x = queue.pop()
+        if x.key == BAG or x.key.startswith("("):
+            queue.extend(reversed(x.kids))
+        else:
+            held[x.key] = _merged(held[x.key], x, same_page) if x.key in held else x.as_optional()
+            held[x.key].optional = held[x.key].repeated = True
+    return [Item(BAG, list(held.values()), False, True)]
+
+
+def pairs(a: list[Item], b: list[Item]) -> list[tuple[Item | None, Item | None]]:
+    """Two sequences side by side: items of one key meet along a longest common run, others stand alone.
+
+    Where one is a bag, each element of b meets its like in a."""
+    ka, kb = [x.key for x in a], [x.key for x in b]
+    if BAG in ka or BAG in kb:
+        flat = lambda s: [k for x in s for k in (flat(x.kids) if x.key == BAG or x.key.startswith("(") else [x])]
+        known = {x.key: x for x in flat(a)}
+        return [(known.get(y.key), y) for y in flat(b)]
+    if ka == kb:
+        return list(zip(a, b))
+    lo = 0
+    while lo < min(len(a), len(b)) and ka[lo] == kb[lo]:
+        lo += 1
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
-    i = j = 0
+    while n > lo and m > lo and ka[n - 1] == kb[m - 1]:
+        n, m = n - 1, m - 1
+    best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
+    for i in range(n - lo - 1, -1, -1):
+        row, below, key = best[i], best[i + 1], ka[lo + i]
+        for j in range(m - lo - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if key == kb[lo + j] else max(below[j], row[j + 1])
+    out: list[tuple[Item | None, Item | None]] = list(zip(a[:lo], b[:lo]))
+    i = j = lo
     while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append([a[i][0], aligned(a[i][1], b[j][1]), a[i][2] or b[j][2], a[i][3] or b[j][3]])
+        if i < n and j < m and ka[i] == kb[j]:
+            out.append((a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1], True, a[i][3]])
+        elif j == m or i < n and best[i + 1 - lo][j - lo] >= best[i - lo][j + 1 - lo]:
+            out.append((a[i], None))
             i += 1
         else:
-            out.append([b[j][0], b[j][1], True, b[j][3]])
+            out.append((None, b[j]))
             j += 1
-    # What was optional on both sides may now stand next to its like.
-    return _joined(out)
+    return out + list(zip(a[n:], b[m:]))
 
 
-def _joined(items: list) -> list:
-    out: list = []
-    for item in items:
-        if out and out[-1][0] == item[0]:
-            out[-1] = [item[0], aligned(out[-1][1], item[1]), out[-1][2] and item[2], True]
-        else:
-            out.append(item)
-    return out
+def aligned(a: list[Item], b: list[Item], same_page: bool = False) -> list[Item]:
+    """Two sequences as one: what meets merges, the rest is optional."""
+    if any(x.key == BAG for s in (a, b) for x in s):
+        return _bag(a + b, same_page)
+    out = [_merged(x, y, same_page) if x is not None and y is not None else (x or y).as_optional() for x, y in pairs(a, b)]
+    # What was optional on both sides may now stand next to its like.
+    out = _adjacent(out, same_page)
+    return out if len(out) <= LONGEST else _bag(out, same_page)
 
 
-def expression(items: list) -> str:
+def expression(items: list[Item]) -> str:
     """The wrapper as text."""
     parts = []
-    for key, inner, optional, repeated in items:
-        body = expression(inner) if inner else ""
-        one = body if key.startswith("(") else "#" if key == "#" else f"<{key}>{body}</>"
-        mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[optional, repeated]
+    for x in items:
+        body = expression(x.kids)
+        one = body if x.key == BAG or x.key.startswith("(") else SLOT if x.key == SLOT else f"<{x.key}>{body}</>"
+        mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[x.optional, x.repeated]
         parts.append(f"({one}){mark}" if mark else one)
     return "".join(parts)
 
 
 class Wrapper:
-    """A host's grammar, and what each text path held: [pages, blocks, characters, in links, constant text or None]."""
+    """A host's grammar and the number of its pages."""
 
-    def __init__(self, items: list | None = None, paths: dict | None = None, pages: int = 0):
-        self.items, self.paths, self.pages = items, paths or {}, pages
-        self.seen: set[str] = set()
+    def __init__(self, items: list[Item] | None = None, pages: int = 0):
+        self.items, self.pages = items, pages
 
     def page(self, page: Page) -> None:
-        shape = folded(page.root[1])
-        key = json.dumps(shape)
-        if key not in self.seen:
-            if len(self.seen) < 1000:
-                self.seen.add(key)
-            self.items = shape if self.items is None else aligned(self.items, shape)
-        mine: dict[str, list] = {}
-        for path, text, linked in page.blocks:
-            s = mine.setdefault(path, [1, 0, 0, 0, text])
-            s[1] += 1
-            s[2] += len(text)
-            s[3] += min(linked, len(text))
-            if s[4] != text:
-                s[4] = None
-        self._add(mine)
-        self.pages += 1
-
-    def _add(self, paths: dict) -> None:
-        for path, s in paths.items():
-            t = self.paths.get(path)
-            if t is None:
-                self.paths[path] = list(s)
-            else:
-                t[:4] = [x + y for x, y in zip(t[:4], s[:4])]
-                if t[4] != s[4]:
-                    t[4] = None
+        deep()
+        self.merge(Wrapper(shape(page.root[1], page.blocks), 1))
 
     def merge(self, other: Wrapper) -> None:
+        deep()
         if other.items is not None:
             self.items = other.items if self.items is None else aligned(self.items, other.items)
-        self._add(other.paths)
         self.pages += other.pages
 
     def dumped(self) -> str:
-        return json.dumps([self.items, self.paths, self.pages], ensure_ascii=False)
+        """Items in pre-order with the number of their children, so that depth costs nothing."""
+        rows, stack = [], list(reversed(self.items or []))
+        while stack:
+            x = stack.pop()
+            rows.append([x.key, len(x.kids), x.optional | x.repeated << 1, x.stat])
+            stack.extend(reversed(x.kids))
+        return json.dumps([self.pages, None if self.items is None else len(self.items), rows], ensure_ascii=False, separators=(",", ":"))
 
     @staticmethod
     def loaded(text: str) -> Wrapper:
-        return Wrapper(*json.loads(text))
-
-    def content(self) -> list[str]:
-        """Paths of the slots that carry main text."""
-        near = [p for p in self.paths if not away(p)]
-        for inside in (_in_article, _in_main):
-            own = [p for p in near if inside(p)]
-            if sum(self.paths[p][2] for p in own):
-                return sorted(own)
-        loose = [p for p in near if self.paths[p][3] * 2 <= self.paths[p][2] and not (self.paths[p][4] is not None and self.paths[p][0] >= CONSTANT_PAGES)]
-        return sorted(loose or near)
-
-
-def _away_key(key: str) -> bool:
-    name = re.match(r"[a-z0-9:-]*", key)[0]
-    marks = key[len(name) :]
-    if not marks:
-        return name in AWAY_TAGS
-    words = [w for m in re.split(r"[.#@$]", marks) if m for w in (m, *WORDS.findall(m))]
-    return name in AWAY_TAGS or any(w in AWAY_WORDS for w in words)
-
-
-def away(path: str) -> bool:
-    """Whether a path runs through an element that is not main text.  A header inside an article is the article's own."""
-    inside = False
-    for key in path.split("/"):
-        name = re.match(r"[a-z0-9:-]*", key)[0]
-        if inside and key == "header":
-            continue
-        if _away_key(key):
-            return True
-        inside = inside or name == "article"
-    return False
+        pages, n, rows = json.loads(text)
+        root = Item("", [])
+        stack = [[root, n or 0]]
+        for key, kids, marks, stat in rows:
+            while not stack[-1][1]:
+                stack.pop()
+            x = Item(key, [], bool(marks & 1), bool(marks & 2), stat)
+            stack[-1][0].kids.append(x)
+            stack[-1][1] -= 1
+            stack.append([x, kids])
+        return Wrapper(None if n is None else root.kids, pages)
+
+
+def _name(key: str) -> str:
+    return re.split(r"[.!^*]", key, maxsplit=1)[0]
+
+
+class Place:
+    """Where an item stands: inside an article or main element, and whether something marks it as no main text
+    anywhere above, since the article, since the main element, or above the article by its tag."""
+
+    __slots__ = ("article", "main", "off", "off_article", "off_main", "above")
+
+    def __init__(self, article=False, main=False, off=False, off_article=False, off_main=False, above=False):
+        self.article, self.main, self.off, self.off_article, self.off_main, self.above = article, main, off, off_article, off_main, above
+
+    def under(self, key: str) -> Place:
+        name = _name(key)
+        marked = "!" in key
+        away = name in AWAY_TAGS or marked
+        if name == "header" and not marked and (self.article or self.main):
+            away = False  # an article's header is its own
+        return Place(
+            self.article or name == "article" or "^" in key, self.main or name == "main" or key.endswith("*"), self.off or away,
+            self.off_article or self.article and away, self.off_main or self.main and away, self.above or not self.article and name in ABOVE_TAGS,
+        )
+
+
+def landed(wrapper: list[Item], page: list[Item]) -> list[tuple[int, Place, Item]]:
+    """For each block of a page: its number, its place, and the wrapper's slot (the page's own where the wrapper has none)."""
+    out: list[tuple[int, Place, Item]] = []
+    stack: list[tuple[list[Item], list[Item], Place]] = [(wrapper, page, Place())]
+    while stack:
+        w, p, place = stack.pop()
+        for x, y in pairs(w, p):
+            if y is None:
+                continue
+            if y.key == SLOT:
+                out.extend((at, place, x or y) for at in y.at)
+            elif y.key == BAG or y.key.startswith("("):
+                stack.append((x.kids if x is not None else w, y.kids, place))
+            else:
+                stack.append((x.kids if x is not None else [], y.kids, place.under(y.key)))
+    return sorted(out, key=lambda r: r[0])
 
 
-def _in_article(path: str) -> bool:
-    return any(k.split(".")[0].split("#")[0].split("@")[0].split("$")[0] == "article" or MAIN_MARKS[0] in k for k in path.split("/"))
+def main_text(page: Page, wrapper: Wrapper | None) -> str:
+    """The main text of a page by the wrapper of its host; a page without one is its own wrapper."""
+    deep()
+    if not page.blocks:
+        return ""
+    own = shape(page.root[1], page.blocks)
+    known = landed(wrapper.items if wrapper is not None and wrapper.items is not None else own, own)
 
+    def constant(slot: Item, pages: int) -> bool:
+        return slot.stat[4] is not None and slot.stat[0] >= pages
 
-def _in_main(path: str) -> bool:
-    return any(re.match(r"main(?![a-z0-9:-])", k) or MAIN_MARKS[1] in k for k in path.split("/"))
+    regions = [lambda p: p.article and not p.off_article and not p.above, lambda p: p.article and not p.off_article, lambda p: p.main and not p.off_main]
+    for region in regions:
+        inside = [r for r in known if region(r[1])]
+        own_text = [r for r in inside if not constant(r[2], CONSTANT_IN_ARTICLE)]
+        if sum(len(page.blocks[r[0]][0]) for r in own_text) * 2 < sum(len(page.blocks[r[0]][0]) for r in inside):
+            own_text = inside  # pages that repeat each other, not a template
+        if own_text:
+            return _text(page, own_text)
+    near = [r for r in known if not r[1].off]
+    loose = [r for r in near if not constant(r[2], CONSTANT_PAGES) and r[2].stat[3] * 2 <= r[2].stat[2]]
+    return _text(page, loose or near)
 
 
-def main_text(page: Page, content: frozenset[str] | set[str]) -> str:
-    """Blocks of the wrapper's content paths; a page that fills none of them is its own wrapper."""
-    kept = [text for path, text, _ in page.blocks if path in content]
-    if not kept and page.blocks:
-        alone = Wrapper()
-        alone.page(page)
-        own = set(alone.content())
-        kept = [text for path, text, _ in page.blocks if path in own and not away(path)]
-    return "\n\n".join(kept)
+def _text(page: Page, rows: list[tuple[int, Place, Item]]) -> str:
+    return "\n\n".join(page.blocks[r[0]][0] for r in rows)
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, pages, wrapper (as an expression), content (paths), of every host, over all its pages.
+    """host, pages, wrapper (as an expression), grammar (as Wrapper.loaded reads it), of every host, over all its pages.
 
     Parts of a host merge in two steps, so the largest task of a host's merge holds the square root
     of what one step would."""
@@ -264,13 +346,14 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         return pd.DataFrame({"host": [f.host.iloc[0]], "part": [whole.dumped()]})
 
     def done(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        deep()
         for f in frames:
             whole = [Wrapper.loaded(p) for p in f.part]
-            yield pd.DataFrame({"host": f.host, "pages": [w.pages for w in whole], "wrapper": [expression(w.items or []) for w in whole], "content": [w.content() for w in whole]})
+            yield pd.DataFrame({"host": f.host, "pages": [w.pages for w in whole], "wrapper": [expression(w.items or []) for w in whole], "grammar": f.part})
 
     made = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(parts, "host string, part string")
     some = made.groupBy("host", F.pmod(F.xxhash64("part"), F.lit(64)).alias("slice")).applyInPandas(merge, "host string, part string")
-    return some.groupBy("host").applyInPandas(merge, "host string, part string").mapInPandas(done, "host string, pages long, wrapper string, content array<string>")
+    return some.groupBy("host").applyInPandas(merge, "host string, part string").mapInPandas(done, "host string, pages long, wrapper string, grammar string")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -280,29 +363,39 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     "".  A null id stays null; repeated rows are extracted each; an empty table gives no rows; other
     columns are not read.  Pages are read twice and not shuffled, unless wrappers outgrow a broadcast."""
     spark = pages.sparkSession
-    known = staged(wrappers(pages, url_col, html_col), "wrappers").select("host", "content")
+    known = staged(wrappers(pages, url_col, html_col), "wrappers").select("host", "grammar")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    size = known.select(F.sum(F.length("host") + F.length(F.to_json("content")))).first()[0] or 0
+    size = known.select(F.sum(F.length("host") + F.length("grammar"))).first()[0] or 0
     schema = "page_id long, url string, text string, n_chars long"
 
-    def rows(b: pa.RecordBatch, content) -> pa.RecordBatch:
-        text = [main_text(Page(h.as_py()), c) if h.as_py() else "" for h, c in zip(b.column(2), content)]
+    def rows(b: pa.RecordBatch, grammars: list[Wrapper | None]) -> pa.RecordBatch:
+        text = [main_text(Page(h.as_py(), tree=True), w) if h.as_py() else "" for h, w in zip(b.column(2), grammars)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r.host: frozenset(r.content) for r in known.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r.host: r.grammar for r in known.toLocalIterator()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read: dict[str, Wrapper | None] = {}
             for b in batches:
-                yield rows(b, [shared.value.get(host_of(u.as_py()), frozenset()) for u in b.column(1)])
+                hosts = [host_of(u.as_py()) for u in b.column(1)]
+                for h in set(hosts) - read.keys():
+                    read[h] = Wrapper.loaded(shared.value[h]) if h in shared.value else None
+                yield rows(b, [read[h] for h in hosts])
 
         return src.mapInArrow(run, schema)
 
     host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = src.withColumn("h", F.coalesce(host, F.lit(""))).join(known, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "content")
+    joined = src.withColumn("h", F.coalesce(host, F.lit(""))).join(known, F.col("h") == F.col("host"), "left").select("page_id", "url", "html", "grammar")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str | None, Wrapper | None] = {None: None}
         for b in batches:
-            yield rows(b, [frozenset(c.as_py() or ()) for c in b.column(3)])
+            texts = b.column(3).to_pylist()
+            if len(read) > 1000:
+                read = {None: None}
+            for t in set(texts) - read.keys():
+                read[t] = Wrapper.loaded(t)
+            yield rows(b, [read[t] for t in texts])
 
     return joined.mapInArrow(run_joined, schema)
