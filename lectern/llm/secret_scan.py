@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spans import matches
+
 #: Production parameters.  FINDINGS bounds what the forest is trained on.
 FINDINGS = 6000
 TREES = 40
@@ -47,12 +49,12 @@ def described(rows: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a"), "[^9Aa]+", ".")
     near = F.right(before, F.lit(32))
     made = {
-        "length": F.least(F.length(v), F.lit(200)),
+        "length": F.least(F.length(v), F.lit(200)),  # beyond it length tells no more
         "transitions": (F.length(kinds) - 1) / F.length(v),
         "digits": _share(v, "[0-9]"),
         "uppers": _share(v, "[A-Z]"),
         "hex_only": low.rlike("^[0-9a-f]+$"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 200), ""))) / F.least(F.length(v), F.lit(40)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(F.length(v), F.lit(40)),
         "coverage": _share(low, COMMON),
         "vowels": _share(low, "[aeiou]"),
         "slashes": F.length(F.regexp_replace(v, "[^/]", "")),
@@ -121,15 +123,13 @@ def trained(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Rand
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, value, before, after of every candidate in (doc_id, text); code points, end exclusive."""
-    from .pii import _found
+    """doc_id, start, end, value, before, after of every candidate in (doc_id, text); code points, end exclusive.
 
+    before and after reach to the neighbouring candidates at most, and no candidate carries its text."""
     t = F.col("text")
     hint = t.rlike("[A-Za-z0-9+/_.=-]{16}|[:=][\\x20\"']{0,3}[A-Za-z0-9+/_.=!@#$%^&*-]{8}")
-    found = F.when(hint, _found(t, CANDIDATE))
-    each = docs.select("doc_id", "text", F.explode(found).alias("c"))
-    from_at = F.greatest(F.lit(0), F.col("c.start") - NEAR)
-    return each.select("doc_id", "c.start", "c.end", "c.value", F.substring(t, from_at + 1, F.col("c.start") - from_at).alias("before"), F.substring(t, F.col("c.end") + 1, F.lit(NEAR)).alias("after"))
+    near = F.transform(matches(t, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.right(x["left"], F.lit(NEAR)).alias("before"), F.left(x["right"], F.lit(NEAR)).alias("after")))
+    return docs.select("doc_id", F.explode(F.when(hint, near)).alias("c")).select("doc_id", "c.*")
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
