@@ -6,17 +6,21 @@ across it, since for a query with a large inner product only the former changes
 query's table holds its inner products with all 16 codewords of each subspace; a scan of the codes
 adds up table entries, and the best scanned candidates are scored exactly on the original vectors.
 
-Vectors are packed into blocks of BLOCK rows and queries into blocks of QUERIES; a task joins one
-block of each.  Work grows with queries times vectors, as the stated query set asks, but no task, row
-or message grows with the input, and each task keeps KEEP candidates a query at most.
+Only codes travel to the scans (half a byte a subspace): a task holds one block of queries, the codes
+of at most PART vectors stream past it, and the KEEP best of each query go on as row numbers.  Those
+alone are joined with their vectors for reranking.  Every code is scanned for every query, as recall
+asks where vectors do not cluster; so work grows with queries times vectors, but no task, row or
+message grows with the input.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,14 +29,19 @@ from .common import staged
 
 #: Production parameters.
 TOP = 20
-DIMS = 2
-ETA = 4.0
+DIMS = 1
+ETA = 2.5
 SAMPLE = 5_000
 ROUNDS = 6
-BLOCK = 4096
-QUERIES = 512
+BLOCK = 1024
+QUERIES = 4096
+PART = 4_000_000
 KEEP = 128
 QUERY_EVERY = 20
+#: Codebooks (128 bytes a dimension, for each length of vectors) go out by broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
+#: Keys of query blocks go out by broadcast up to so many.
+BROADCAST_BLOCKS = 1_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -122,75 +131,155 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, packed: np.ndarray, books: np.ndarray, top: int, keep: int) -> pd.DataFrame:
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(q), 128):
-        rough = scan(q[a : a + 128], packed, books)
-        for i, row in enumerate(rough):
-            at = np.argpartition(-row, keep)[: keep + 1] if len(row) > keep + 1 else np.arange(len(row))
-            at = at[xid[at] != qid[a + i]]
-            score = exact(q[a + i], x[at])
-            first = np.lexsort((xid[at], -score))[:top]
-            found.append((np.full(len(first), qid[a + i]), xid[at][first], score[first]))
-    cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
+class Scan:
+    """The best candidates of one block of queries, while codes stream past."""
 
+    def __init__(self, qid: np.ndarray, q: np.ndarray, books: np.ndarray, keep: int):
+        self.qid, self.q, self.books, self.keep = qid, q, books, keep
+        self.rid, self.score = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = 0
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY, top: int = TOP, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES, keep: int = KEEP) -> DataFrame:
-    """query_id, rank, vec_id, score: the `top` rows of largest inner product for each row whose id
-    `every` divides, out of all rows but the query's own id; score is exact.
+    def add(self, rid: np.ndarray, packed: np.ndarray) -> None:
+        self.held.append((rid, packed))
+        self.rows += len(rid)
+        if self.rows >= 16 * BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        rid, packed = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.rows = [], 0
+        best = []
+        for a in range(0, len(self.q), 128):
+            rough = scan(self.q[a : a + 128], packed, self.books)
+            rough[rid == self.qid[a : a + 128, None]] = -np.inf  # a query's own row
+            rough = np.hstack([self.score[a : a + 128], rough])
+            ids = np.hstack([self.rid[a : a + 128], np.broadcast_to(rid, (len(rough), len(rid)))])
+            if rough.shape[1] > self.keep:
+                at = np.argpartition(-rough, self.keep - 1, axis=1)[:, : self.keep]
+                rough, ids = np.take_along_axis(rough, at, 1), np.take_along_axis(ids, at, 1)
+            best.append((ids, rough))
+        self.rid, self.score = (np.vstack(x) for x in zip(*best))
+
+    def found(self) -> pa.RecordBatch:
+        """query, candidate, rough score; row numbers."""
+        self.flush()
+        ok = np.isfinite(self.score)
+        qid = np.repeat(self.qid, ok.sum(1))
+        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(self.rid[ok]), pa.array(self.score[ok])], names=["query", "rid", "rough"])
+
+
+def _books(clean: DataFrame, sample: int) -> DataFrame:
+    """d and the codebooks of vectors of that length, each fitted in one task on at most `sample` of them."""
+    first = W.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id", "rid")
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [f.d.iloc[0]], "books": [train(np.array(f.sort_values("rid").v.tolist(), np.float64)).tobytes()]})
+
+    return clean.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("d", "rid", "v").groupBy("d").applyInPandas(one, "d int, books binary")
+
+
+def _book(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(-1, 16, DIMS)
+
+
+def _codes(clean: DataFrame, books: DataFrame) -> DataFrame:
+    """d, ids, codes: all vectors in blocks of up to BLOCK of one length."""
+    schema = "d int, ids binary, codes binary"
+
+    def blocks(frames: Iterator[tuple], book_of) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+        def row(d: int, part: list) -> pd.DataFrame:
+            ids = np.array([i for i, _ in part], np.int64)
+            return pd.DataFrame({"d": [d], "ids": [ids.tobytes()], "codes": [pack(encode(np.array([v for _, v in part], np.float64), book_of[d])).tobytes()]})
+
+        for i, d, v in frames:
+            part = held.setdefault(d, [])
+            part.append((i, v))
+            if len(part) == BLOCK:
+                yield row(d, held.pop(d))
+        for d, part in held.items():
+            yield row(d, part)
+
+    if (books.select(F.sum(F.length("books"))).first()[0] or 0) <= BROADCAST_BYTES:
+        shared = clean.sparkSession.sparkContext.broadcast({r.d: r.books for r in books.collect()})
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    null ids.  Vectors of unlike lengths are searched apart.  Ties go to the smaller id; equal
-    vectors are candidates each; a repeated (id, vector) counts once.  Fewer candidates than `top`
-    give fewer rows; no vectors give none.  The codebooks are fitted on at most `sample` vectors, the
-    smallest by a hash of their ids; every vector is indexed."""
-    spark = vectors.sparkSession
-    clean = staged(usable(vectors, id_col, vec_col).dropDuplicates().withColumn("d", F.size("v")), "vectors")
-    lengths = [r.d for r in clean.select("d").distinct().orderBy("d").limit(1000).collect()]
-    books: dict[int, np.ndarray] = {}
-    for d in lengths:
-        some = clean.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas().v
-        books[d] = train(np.array(some.tolist(), np.float64))
-    shared = spark.sparkContext.broadcast(books)  # 16 codewords a subspace, at most 1,000 lengths
-
-    def blocks(rows: DataFrame, size: int, coded: bool) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, list[tuple[int, np.ndarray]]] = {}
+            known = {d: _book(b) for d, b in shared.value.items()}
+            yield from blocks((x for f in frames for x in zip(f.rid, f.d, f.v)), known)
 
-            def row(d: int, part: list) -> dict:
-                ids = np.array([i for i, _ in part], np.int64)
-                x = np.array([v for _, v in part], np.float64)
-                out = {"d": d, "ids": ids.tobytes(), "rows": x.tobytes(), "codes": pack(encode(x, shared.value[d])).tobytes() if coded else b""}
-                return out
+        return clean.select("rid", "d", "v").mapInPandas(run, schema)
 
+    def run_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+
+        def rows():
             for f in frames:
-                for i, d, v in zip(f.vec_id, f.d, f.v):
-                    part = held.setdefault(d, [])
-                    part.append((i, v))
-                    if len(part) == size:
-                        yield pd.DataFrame([row(d, held.pop(d))])
-            for d, part in held.items():
-                yield pd.DataFrame([row(d, part)])
-
-        return rows.select("vec_id", "d", "v").mapInPandas(run, "d int, ids binary, rows binary, codes binary")
-
-    # As few tasks as leave blocks full: what cells find, and how often codes are read, follows the
-    # number of blocks.
-    parts = max(1, clean.count() // block)
+                for i, d, v, b in zip(f.rid, f.d, f.v, f.books):
+                    if d not in known:
+                        known[d] = _book(b)
+                    yield i, d, v
+
+        yield from blocks(rows(), known)
+
+    return clean.select("rid", "d", "v").join(books, "d").select("rid", "d", "v", "books").mapInPandas(run_joined, schema)
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY, top: int = TOP, sample: int = SAMPLE, part: int = PART, queries: int | None = None, keep: int = KEEP) -> DataFrame:
+    """query_id, rank, vec_id, score: the `top` rows of largest inner product for each row whose id
+    `every` divides, out of all rows but that row itself; score is exact.
+
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
+    null ids.  Vectors of unlike lengths are searched apart.  Ties go to the smaller id; equal
+    vectors are candidates each, and so are rows that repeat an id; a query row that repeats an id
+    has a list of its own.  Fewer candidates than `top` give fewer rows; no vectors give none; other
+    columns are not read.  The codebooks are fitted on at most `sample` vectors of a length, the
+    first by a hash of their ids; every vector is indexed.  queries: of a block, by default so many
+    that all cores have a block, QUERIES at most."""
+    spark = vectors.sparkSession
+    clean = staged(usable(vectors, id_col, vec_col).withColumn("d", F.size("v")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0)
-    left = staged(blocks(asked.coalesce(max(1, parts * block // every // queries)), queries, False).withColumn("q", F.monotonically_increasing_id()), "queries")
-    right = staged(blocks(clean.coalesce(parts), block, True).withColumn("c", F.monotonically_increasing_id()), "codes")
-    cells = left.select("d", "q").join(right.select("d", "c"), "d")
-    cells = cells.join(left.drop("d", "codes").select("q", F.col("ids").alias("qids"), F.col("rows").alias("qrows")), "q").join(right.select("c", "ids", "rows", "codes"), "c")
-
-    def cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples():
-                get = lambda b, kind, n: np.frombuffer(b, kind).reshape(n, -1)
-                qid, xid = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
-                yield _best(get(r.qrows, np.float64, len(qid)), qid, get(r.rows, np.float64, len(xid)), xid, get(r.codes, np.uint8, len(xid)), shared.value[r.d], top, keep)
-
-    each = cells.mapInPandas(cell, "query_id long, vec_id long, score double")
-    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    total, n_asked = clean.agg(F.count(F.lit(1)), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
+    size = queries or min(QUERIES, max(128, -(-n_asked // spark.sparkContext.defaultParallelism)))
+    blocks, parts = max(1, -(-n_asked // size)), max(1, -(-total // part))
+    books = staged(_books(clean, sample), "books")
+    codes = staged(_codes(clean, books), "codes")
+
+    def packed(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [f.d.iloc[0]], "q": [f.q.iloc[0]], "ids": [f.rid.to_numpy(np.int64).tobytes()], "rows": [np.array(f.v.tolist(), np.float64).tobytes()]})
+
+    block = F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("q")
+    left = asked.select("d", block, "rid", "v").groupBy("d", "q").applyInPandas(packed, "d int, q long, ids binary, rows binary")
+    left = staged(left.join(books, "d"), "queries")
+    keys = left.select("d", "q")
+    if blocks <= BROADCAST_BLOCKS and books.count() <= 1:
+        keys = F.broadcast(keys)
+    none = F.lit(None).cast("binary")
+    asks = left.select("d", "q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "ids", "rows", "books")
+    answers = codes.join(keys, "d").select("d", "q", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", F.col("codes").alias("rows"), none.alias("books"))
+    cells = asks.unionByName(answers).repartition(min(blocks * parts, 100_000), "d", "q", "part").sortWithinPartitions("d", "q", "part", "kind").select("kind", "ids", "rows", "books")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Scan | None = None
+        for b in batches:
+            for kind, ids, rows, book in zip(*(c for c in b.columns)):
+                at = np.frombuffer(ids.as_py(), np.int64)
+                if kind.as_py() == 0:
+                    if now is not None:
+                        yield now.found()
+                    now = Scan(at, np.frombuffer(rows.as_py(), np.float64).reshape(len(at), -1), _book(book.as_py()), keep)
+                else:
+                    now.add(at, np.frombuffer(rows.as_py(), np.uint8).reshape(len(at), -1))
+        if now is not None:
+            yield now.found()
+
+    near = cells.mapInArrow(run, "query long, rid long, rough float")
+    if parts > 1:
+        near = near.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rough"), "rid"))).where(F.col("n") <= keep)
+    pairs = near.select("query", "rid").join(clean.select("rid", "vec_id", "v"), "rid").join(asked.select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query")
+    score = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    ranked = pairs.select("query", "query_id", "vec_id", "rid", score.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid")))
     return ranked.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

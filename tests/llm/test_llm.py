@@ -418,8 +418,23 @@ def test_nearest(spark):
         assert all(abs(sc - float(np.dot(rows[q], rows[v]))) < 1e-9 for v, sc in found[q]) and [sc for _, sc in found[q]] == sorted((sc for _, sc in found[q]), reverse=True)
     assert hits / total >= 0.9
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(odd).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 20), (0, 3, 2), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
+    lists = {0: [1, 20, 20, 2], 20: [0, 1, 20, 2]}
+    want = sorted((q, k + 1, v) for q, n in ((0, 1), (20, 2)) for k, v in enumerate(lists[q]) for _ in range(n))
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(odd).collect()) == want
     assert ann.nearest(odd.where("false")).count() == 0
+    # Blocks and parts change nothing; vectors of unlike lengths are searched apart; clashing columns are not read.
+    few = vectors.limit(400)
+    rows = [(r.vec_id, list(r.embedding)) for r in few.collect()] + [(1000 + i, [float(i % 7 - 3), 1.0, float(i)]) for i in range(60)]
+    mixed = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rid int, d string")
+    key = lambda r: (r.query_id, r.rank, r.vec_id, r.score)
+    whole = sorted(map(key, ann.nearest(mixed).collect()))
+    assert whole == sorted(map(key, ann.nearest(mixed, part=100, queries=7).collect()))
+    for q, v in rows[400:]:
+        if q % 20 == 0:
+            s = sorted(((sum(a * b for a, b in zip(v, w)), -i) for i, w in rows[400:] if i != q), reverse=True)[:20]
+            assert [(x[3], -x[2]) for x in whole if x[0] == q] == s
+    long = spark.createDataFrame([(i, [float((i * j) % 11 - 5) for j in range(3000)]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert ann.nearest(long).count() == 40
 
 
 def test_pipeline(spark):
