@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) a local folder is made and recorded."""
+    Only a session of one machine (master local) may go without that setting: a local folder is then
+    made and recorded.  On a cluster its absence is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{os.path.join(tempfile.gettempdir(), 'lectern-shared')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

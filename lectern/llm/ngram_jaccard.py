@@ -14,8 +14,12 @@ corners of their boxes.  A pair links if its overlap is at least 85/185 of the t
    are clusters.  Links never leave a cluster, and a class lies in one cluster only, so each set of
    shingles moves once.
 4. Inside a cluster a tree over its points proposes pairs, and the sets verify them; pairs that are
-   already connected are not looked at again.  Groups of more than LARGE members are cut into tiles
-   that are joined pairwise in separate tasks.
+   already connected are not looked at again.
+
+Groups of more than LARGE members, in steps 3 and 4, are dealt into tiles, a task each, and PIVOTS
+members of the group stand in every tile.  Where members are alike, the pivots connect them, and each
+member has moved once.  Only members outside the group's largest connected piece then meet the other
+tiles, so no pair of pieces goes unlooked at.
 """
 
 from __future__ import annotations
@@ -41,11 +45,13 @@ GROUPS = 64
 #: Longer documents have finer points: groups from so many shingles on.  Groups nest, so any two compare.
 FINER = ((800, 256), (4000, 1024))
 SKETCH_BITS, SLICES = 22, 64
-LARGE = 2048
-TILE = 1024
+LARGE = 512
+TILE = 512
+PIVOTS = 4
 NODE = 32
-#: Ids up to this many go out by broadcast (16 MB); beyond it the join shuffles.
+#: Ids up to this many go out by broadcast (16 MB), and tables of up to so many bytes; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
+BROADCAST_BYTES = 16 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -191,15 +197,16 @@ def _rooms(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, percent:
     return (np.minimum(p, q).sum(-1) >= needed(a, b, percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
 
 
-def candidate_edges(p: np.ndarray, fine: list, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that connect what surviving pairs connect, one fewer than members at most."""
+def candidate_edges(p: np.ndarray, fine: list, sizes: np.ndarray, percent: int = PERCENT, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what surviving pairs connect, one fewer than members at most (sides: only pairs of unlike sides are looked at)."""
     forest, edges = Forest(len(sizes)), []
+    apart = (lambda i, j: True) if sides is None else (lambda i, j: sides[i] != sides[j])
     room = lambda i, j: len(fine[i]) == GROUPS or len(fine[j]) == GROUPS or finer_bound(fine[i], fine[j]) >= needed(int(sizes[i]), int(sizes[j]), percent)
     if len(sizes) <= NODE:  # a single leaf
         for i in range(len(sizes) - 1):
             ok = _rooms(p[i], p[i + 1 :], sizes[i], sizes[i + 1 :], percent)
             for j in (np.flatnonzero(ok) + i + 1).tolist():
-                if forest.find(i) != forest.find(j) and room(i, j) and forest.join(i, j):
+                if forest.find(i) != forest.find(j) and apart(i, j) and room(i, j) and forest.join(i, j):
                     edges.append((i, j))
             if forest.trees == 1:
                 break
@@ -210,7 +217,7 @@ def candidate_edges(p: np.ndarray, fine: list, sizes: np.ndarray, percent: int =
         if forest.trees == 1:
             break
         for j in tree.search(p[i], int(sizes[i]), fine[i])[0].tolist():
-            if forest.join(i, j):
+            if apart(i, j) and forest.join(i, j):
                 edges.append((i, j))
     return edges
 
@@ -336,7 +343,8 @@ def _grouped(members: DataFrame, sizes: DataFrame, key: str, work, whole, large:
     """Edges (a, b) among the members of each key; sizes has a row with the key for each member.
 
     Keys of up to `large` members stream, sorted, through whole(batches).  The members of a larger key
-    are dealt by hash into tiles of about `tile`, and each pair of tiles is a piece for work(frame, sides)."""
+    are dealt by hash into tiles of about `tile` with the key's pivots, for work(frame, sides); then
+    what the largest piece leaves out meets all tiles, pairs of unlike pieces only."""
     schema = "a long, b long"
     counts = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select(F.col(key).alias("big"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
     counts = staged(counts, "large")
@@ -346,14 +354,30 @@ def _grouped(members: DataFrame, sizes: DataFrame, key: str, work, whole, large:
     edges = small.select(*names).repartition(key).sortWithinPartitions(key, "cid").mapInArrow(whole, schema)
     if not some:
         return edges
-    cut = members.join(counts, F.col(key) == F.col("big")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ta", F.least("own", "other")).withColumn("tb", F.greatest("own", "other"))
-    cut = cut.select(*names, "own", "ta", "tb")
-
-    def pair(f: pd.DataFrame) -> pd.DataFrame:
-        return work(f, f.own.to_numpy() if f.ta.iloc[0] != f.tb.iloc[0] else None)
-
-    return edges.union(cut.groupBy(key, "ta", "tb").applyInPandas(pair, schema))
+    dealt = staged(members.join(counts, F.col(key) == F.col("big")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).select(*names, "tiles", "own"), "tiles")
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.lit(1), "cid"), "cid"))
+    pivots = staged(dealt.withColumn("nth", first).where(F.col("nth") <= PIVOTS).drop("nth", "own"), "pivots").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = dealt.unionByName(pivots.select(*dealt.columns)).drop("tiles")
+    inner = staged(tiles.groupBy(key, "own").applyInPandas(lambda f: work(f[~f.cid.duplicated()], None), schema).where("a != b"), "inner")
+    pieces = components(inner)
+    told = dealt.select(key, "cid", "tiles").distinct().join(pieces, F.col("cid") == F.col("node"), "left").select(key, "cid", "tiles", F.coalesce("component", "cid").alias("piece"))
+    told = staged(told, "pieces")
+    most = told.groupBy(key, "piece").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max_by("piece", F.struct("n", "piece")).alias("largest"))
+    rest = staged(told.join(most.withColumnRenamed(key, "of"), (F.col(key) == F.col("of")) & (F.col("piece") != F.col("largest"))).select(key, "cid", "piece", "tiles"), "rest")
+    if rest.limit(1).count():
+        blocks = rest.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+        full = dealt.join(told.select(F.col(key).alias("of"), F.col("cid").alias("who"), "piece"), (F.col(key) == F.col("of")) & (F.col("cid") == F.col("who"))).drop("of", "who")
+        aside = full.join(rest.select(F.col(key).alias("of"), F.col("cid").alias("who")).distinct(), (F.col(key) == F.col("of")) & (F.col("cid") == F.col("who")), "left_semi")
+        aside = aside.join(blocks.withColumnRenamed(key, "of"), F.col(key) == F.col("of")).drop("of").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("blocks")).cast("int"))
+        one = aside.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*names, "piece", "own", "block")
+        two = full.join(blocks.withColumnRenamed(key, "of"), F.col(key) == F.col("of")).drop("of").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*names, "piece", "own", "block")
+
+        def across(f: pd.DataFrame) -> pd.DataFrame:
+            f = f[~f.cid.duplicated()]
+            return work(f, f.piece.to_numpy())
+
+        edges = edges.union(one.unionByName(two).groupBy(key, "own", "block").applyInPandas(across, schema))
+    return edges.union(inner)
 
 
 def _edge_frame(cid: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
@@ -371,22 +395,23 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = staged(named.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("shards").alias("shards")).withColumn("cid", F.monotonically_increasing_id()), "dealt")
     rows = staged(whole.select("doc_id", "n", "key"), "rows")
     dropped(spark, whole)
-    # One shuffle deals all shards; shards of one member fall away at once, and of the many shards that
-    # have the same members one stays (told by their number and two 64-bit sums of hashes).
-    same = W.partitionBy("shard")
-    met = dealt.select("cid", F.explode("shards").alias("shard")).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("s1", F.bit_xor(F.xxhash64("cid")).over(same)).withColumn("s2", F.bit_xor(F.xxhash64(F.lit(1), "cid")).over(same))
-    met = staged(met.where("size > 1"), "met")
+    # Shards are told by counts that combine before they travel; shards of one member fall away, and of
+    # the many shards that have the same members one stays (told by their number and two 64-bit sums
+    # of hashes).  What stays is few, and picks its members out of the classes where they lie.
     classes = staged(dealt.drop("shards"), "classes")
-    dropped(spark, dealt)
-    lead = met.groupBy("size", "s1", "s2").agg(F.min("shard").alias("shard")).select("shard")
-    members = met.select("shard", "cid").join(lead, "shard", "left_semi").join(classes.select("cid", "n", "point"), "cid")
+    met = dealt.select("cid", F.explode("shards").alias("shard"))
+    told = met.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("s2")).where("size > 1")
+    lead = staged(told.groupBy("size", "s1", "s2").agg(F.min("shard").alias("shard")).select("shard"), "lead")
+    if lead.count() <= BROADCAST_IDS:
+        lead = F.broadcast(lead)
+    members = met.join(lead, "shard", "left_semi").join(classes.select("cid", "n", "point"), "cid")
     members = staged(members.select("shard", "cid", "n", "point"), "members")
-    dropped(spark, met)
+    dropped(spark, dealt)
 
     def survivors(f: pd.DataFrame, sides: np.ndarray | None) -> pd.DataFrame:
         sizes = f.n.to_numpy(np.int64)
         p = points(f.point.tolist(), sizes)
-        return _edge_frame(f.cid.to_numpy(), candidate_edges(p, p.fine, sizes, percent))
+        return _edge_frame(f.cid.to_numpy(), candidate_edges(p, p.fine, sizes, percent, sides))
 
     def survivors_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # many shards have the same members; one of them is enough
@@ -413,8 +438,9 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     inside = staged(inside, "clusters")
     dropped(spark, members)
     wanted = inside.select(F.col("label").alias("doc_id")).distinct()
-    small = wanted.count() <= BROADCAST_IDS
-    near = F.broadcast if small else (lambda x: x)
+    small = lambda x, bytes_of: (x.select(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES
+    ids = F.broadcast(wanted) if small(wanted, F.lit(16)) else wanted
+    owners = inside if not small(inside, 40 + F.length("key") + F.length("point")) else F.broadcast(inside)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,8 +449,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "of", "hashes"])
 
     # Repeated ids may bring other texts: the key tells.  The same set may come twice; the work skips it.
-    found = src.join(near(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, of binary, hashes binary")
-    held = found.join(near(inside), (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("of"))).select("cluster", "cid", "n", "point", "hashes")
+    found = src.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, of binary, hashes binary")
+    held = found.join(owners, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("of"))).select("cluster", "cid", "n", "point", "hashes")
 
     def link(f: pd.DataFrame, sides: np.ndarray | None) -> pd.DataFrame:
         fresh = ~f.cid.duplicated().to_numpy()

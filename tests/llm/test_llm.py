@@ -224,7 +224,7 @@ def brute_components(sets):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("large,tile", [(2048, 1024), (4, 2)])
+@pytest.mark.parametrize("large,tile", [(512, 512), (4, 2), (9, 5)])
 def test_ngram_jaccard(spark, texts, large, tile):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
