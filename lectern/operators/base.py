@@ -26,11 +26,13 @@ def capped(found: str, status: str, message: str, k: int, rest: str | None = "su
 
     rest: "sum", one more row with the rest's number; "one", one more row; None, nothing."""
     ranked = f"(SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.pos) AS rn, count(*) OVER (PARTITION BY f.doc_id) AS cnt FROM ({found}) f)"
-    out = [rows(ranked, status, message, f"s.rn <= {k}", items, "s.page", "s.ref", severity, confidence, branch, "s.rn")]
-    if rest:
-        left = f"(s.cnt - {k})" if rest == "sum" else "1"
-        out.append(rows(ranked, status, f"Further elements: {message}", f"s.rn = {k + 1}", left if items == "1" else f"{left} * ({items})", "s.page" if rest_page else NO_PAGE, NO_REF, severity, rest_confidence, branch, f"{k + 1}"))
-    return out
+    if not rest:
+        return [rows(ranked, status, message, f"s.rn <= {k}", items, "s.page", "s.ref", severity, confidence, branch, "s.rn")]
+    # The rest's row is made of the first row beyond the cap, so found is worked out once.
+    one = lambda x, y: f"CASE WHEN s.rn <= {k} THEN {x} ELSE {y} END"
+    left = f"(s.cnt - {k})" if rest == "sum" else "1"
+    text = rows(ranked, status, message, f"s.rn <= {k + 1}", one(items, left if items == "1" else f"{left} * ({items})"), one("s.page", "s.page" if rest_page else NO_PAGE), one("s.ref", NO_REF), severity, one(confidence, rest_confidence), branch, "s.rn")
+    return [text.replace(f"{quoted(message)} AS message", f"{one(quoted(message), quoted('Further elements: ' + message))} AS message")]
 
 
 def counted(docs: str, *found: str) -> str:

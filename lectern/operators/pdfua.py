@@ -197,19 +197,20 @@ LOOSE_INLINE = f"n.role IN {one_of(ILLUSTRATION_ROLES + INLINE_ROLES)} AND (n.pa
 
 
 def tree_integrity(d) -> list[str]:
+    """Every node once, with the numbers of the branches it meets; headings out of order come last."""
     n = f"$nf n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree AND t.is_tagged {SPANNED}"
-    cols = lambda branch: f"n.doc_id, CAST(n.pos AS BIGINT) * 10 + {branch} AS pos, {_first_page('n')} AS page, concat('<', n.tag, ' id=''', n.node_id, '''>') AS ref"
-    bad = f"SELECT {cols(0)} FROM {n} WHERE NOT n.is_root AND ({UNTYPED} OR {ARTIFACT_NODE})"
     sound = f"NOT n.is_root AND NOT {UNTYPED} AND NOT {ARTIFACT_NODE}"
-    inside = " OR ".join(f"(n.parent_std = '{p}' AND n.role IN {one_of(kids.split())})" for p, kids in INADMISSIBLE.items())
+    inside = " OR ".join(f"(coalesce(nullif(n.parent_std, ''), 'Span') = '{p}' AND n.role IN {one_of(kids)})" for p, kids in INADMISSIBLE.items())
+    level = "CASE WHEN n.std_up IN ('H1', 'H2', 'H3', 'H4', 'H5', 'H6') THEN CAST(substr(n.std_up, 2, 1) AS INT) END"
+    marked = f"SELECT n.doc_id, n.pos AS spot, {_first_page('n')} AS page, concat('<', n.tag, ' id=''', n.node_id, '''>') AS ref, n.is_root, {level} AS level, NOT n.is_root AND ({UNTYPED} OR {ARTIFACT_NODE}) AS b0, {sound} AND n.parent_id IS NOT NULL AND coalesce(n.parent_tag, '') <> 'StructTreeRoot' AND ({inside}) AS b1, {sound} AND {LOOSE_INLINE} AS b2, {sound} AND n.role IN {one_of(CONTAINERS)} AND n.n_children = 0 AND n.n_mcids = 0 AS b3 FROM {n}"
+    # The level of the numbered heading before, by a running count of headings, in the same order as the nodes.
+    headed = f"SELECT m.*, last_level AS before FROM (SELECT m.*, max(CASE WHEN level IS NOT NULL THEN spot * 8 + level END) OVER (PARTITION BY doc_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) % 8 AS last_level FROM ({marked}) m) m"
     last = 100_000_000_000
-    odd = " UNION ALL ".join([
-        f"SELECT {cols(1)} FROM {n} WHERE {sound} AND n.parent_tag <> 'StructTreeRoot' AND ({inside})",
-        f"SELECT {cols(2)} FROM {n} WHERE {sound} AND {LOOSE_INLINE}",
-        f"SELECT {cols(3)} FROM {n} WHERE {sound} AND n.role IN {one_of(CONTAINERS)} AND n.n_children = 0 AND n.n_mcids = 0",
-        f"SELECT n.doc_id, {last} + n.pos AS pos, {_first_page('n')} AS page, concat('<', n.tag, ' id=''', n.node_id, '''>') AS ref FROM $headings n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree AND t.is_tagged {SPANNED} WHERE (n.before IS NULL AND n.level <> 1) OR n.level > n.before + 1",
-    ])
-    docs = counted(TAGGED_TREE, "SELECT * FROM $nf WHERE NOT is_root", bad, odd)
+    # One row for each branch that a node meets (0 is an error, the rest are warnings), found in one pass.
+    met = f"SELECT m.doc_id, m.page, m.ref, k.n AS branch_no, CASE WHEN k.n = 4 THEN {last} + m.spot ELSE CAST(m.spot AS BIGINT) * 10 + k.n END AS pos FROM (SELECT h.*, coalesce((before IS NULL AND level <> 1) OR level > before + 1, false) AS b4 FROM ({headed}) h WHERE NOT is_root) m, {d.numbers('0', '4')} k WHERE CASE k.n WHEN 0 THEN m.b0 WHEN 1 THEN m.b1 WHEN 2 THEN m.b2 WHEN 3 THEN m.b3 ELSE m.b4 END"
+    bad, odd = f"SELECT * FROM ({met}) b WHERE branch_no = 0", f"SELECT * FROM ({met}) o WHERE branch_no > 0"
+    sums = f"SELECT doc_id, count(CASE WHEN branch_no = 0 THEN 1 END) AS n1, count(CASE WHEN branch_no > 0 THEN 1 END) AS n2 FROM ({met}) a GROUP BY doc_id"
+    docs = f"(SELECT c.*, coalesce(a.n1, 0) AS n1, coalesce(a.n2, 0) AS n2 FROM {counted(TAGGED_TREE, 'SELECT * FROM $nodes WHERE parent_id IS NOT NULL')} c LEFT JOIN ({sums}) a ON a.doc_id = c.doc_id)"
     return [
         rows(docs, FAIL, "The structure tree is empty.", "s.n0 = 0", branch=1),
         *capped(bad, FAIL, "An element of the tree has no type or is an artifact.", 5, "sum", 2, HIGH),

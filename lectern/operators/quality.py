@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.functions.sql import SPACE, filled, one_of, strip, truthy
+from lectern.plans.derive import AFTER, BEFORE, inside
 from lectern.schema import FAIL, FILE_NAME, GENERIC_TITLES, HEADINGS, HIGH, INFO, LIST_ITEM_DISALLOWED, LOW, MATH_OR_CODE, MEDIUM, PAGINATION, PASS, PLACEHOLDER_QUALITY, REDUNDANT_ALT, TEXT_ROLES, TEXT_ROLES_WIDE, VAGUE_LINK, WARNING
 
 from .base import DOCS, NAMED, WITH_TREE, capped, counted, rows
@@ -60,19 +61,19 @@ def page_bounds(d) -> list[str]:
 
 
 def toc_links(d) -> list[str]:
-    toci = f"SELECT n.*, {REF} FROM {TREE} WHERE {_is('TOCI')}"
-    linked = f"SELECT DISTINCT i.doc_id, i.node_id FROM ({toci}) i JOIN $nf n ON n.doc_id = i.doc_id AND n.pos > i.pos AND n.pos <= i.subtree_end AND {_is('LINK')}"
-    bad = f"SELECT i.doc_id, i.pos, coalesce(nullif(i.page, 0), 1) AS page, i.ref FROM ({toci}) i LEFT JOIN ({linked}) l ON l.doc_id = i.doc_id AND l.node_id = i.node_id WHERE l.doc_id IS NULL"
-    return [*capped(bad, FAIL, "The contents entry has no link.", 5, "sum", 1, HIGH), rows(counted(DOCS, linked), PASS, "Contents entries have links.", "s.n0 > 0", "s.n0", branch=2)]
+    ahead = f"SELECT n.*, min(CASE WHEN {_is('LINK')} THEN pos END) {AFTER} AS next_link FROM $nf n"
+    toci = f"SELECT n.*, {REF}, coalesce(n.next_link <= n.subtree_end, false) AS linked FROM ({ahead}) n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE {_is('TOCI')}"
+    bad = f"SELECT i.doc_id, i.pos, coalesce(nullif(i.page, 0), 1) AS page, i.ref FROM ({toci}) i WHERE NOT i.linked"
+    return [*capped(bad, FAIL, "The contents entry has no link.", 5, "sum", 1, HIGH), rows(counted(DOCS, f"SELECT * FROM ({toci}) i WHERE i.linked"), PASS, "Contents entries have links.", "s.n0 > 0", "s.n0", branch=2)]
 
 
 def toc_destinations(d) -> list[str]:
-    toci = f"SELECT n.*, {REF} FROM {TREE} WHERE {_is('TOCI')}"
-    link = "upper(coalesce(nullif(n.standard_tag, ''), n.tag, '')) = 'LINK'"
-    ranked = f"SELECT i.doc_id, i.node_id, n.attr_dest, row_number() OVER (PARTITION BY i.doc_id, i.node_id ORDER BY CASE WHEN n.parent_id = i.node_id THEN 0 ELSE 1 END, n.pos) AS rn FROM ({toci}) i JOIN $nodes n ON n.doc_id = i.doc_id AND n.pos > i.pos AND n.pos <= i.subtree_end AND {link}"
-    good = f"SELECT doc_id, node_id FROM ({ranked}) r WHERE rn = 1 AND {truthy('attr_dest')}"
-    bad = f"SELECT i.doc_id, i.pos, coalesce(nullif(i.page, 0), 1) AS page, i.ref FROM ({toci}) i LEFT JOIN ({good}) g ON g.doc_id = i.doc_id AND g.node_id = i.node_id WHERE g.doc_id IS NULL"
-    return [*capped(bad, WARNING, "The contents entry leads to no heading.", 5, "sum", 1, MEDIUM), rows(counted(DOCS, good), PASS, "Contents entries lead to headings.", "s.n0 > 0", "s.n0", branch=2)]
+    link = "role_up = 'LINK'"
+    ahead = f"SELECT n.*, min(CASE WHEN {link} THEN pos END) {AFTER} AS next_link FROM $nf n"
+    first = f"SELECT doc_id, parent_id, min(pos) AS pos FROM $nf WHERE {link} GROUP BY doc_id, parent_id"
+    toci = f"SELECT i.doc_id, i.pos, i.page, {REF.replace('n.', 'i.')}, {truthy('l.attr_dest')} AS ok FROM ({ahead}) i JOIN $documents t ON t.doc_id = i.doc_id AND t.has_structure_tree LEFT JOIN ({first}) c ON c.doc_id = i.doc_id AND c.parent_id = i.node_id LEFT JOIN $nodes l ON l.doc_id = i.doc_id AND l.pos = coalesce(c.pos, CASE WHEN i.next_link <= i.subtree_end THEN i.next_link END) WHERE {_is('TOCI').replace('n.', 'i.')}"
+    bad = f"SELECT i.doc_id, i.pos, coalesce(nullif(i.page, 0), 1) AS page, i.ref FROM ({toci}) i WHERE NOT i.ok"
+    return [*capped(bad, WARNING, "The contents entry leads to no heading.", 5, "sum", 1, MEDIUM), rows(counted(DOCS, f"SELECT * FROM ({toci}) i WHERE i.ok"), PASS, "Contents entries lead to headings.", "s.n0 > 0", "s.n0", branch=2)]
 
 
 def alt_on_text(d) -> list[str]:
@@ -110,8 +111,9 @@ def _noted(bad_or_good: str, good: str, message: str, severity: str, status: str
 def note_references(d) -> list[str]:
     refs = f"SELECT n.doc_id, n.node_id, n.attr_ref, n.text_content, concat_ws(' ', n.attr_o, n.attr_type, n.attr_placement, n.attr_ref, n.attr_dest) AS attrs FROM {TREE} WHERE {_is('REFERENCE')}"
     ids = f"SELECT doc_id, attr_ref AS id FROM ({refs}) a WHERE {truthy('attr_ref')} UNION SELECT doc_id, node_id FROM ({refs}) b"
-    # Equality is a hash join; containment is checked only against the references of the same document.
-    good = f"SELECT DISTINCT i.doc_id, i.node_id FROM ({_notes()}) i JOIN ({ids}) x ON x.doc_id = i.doc_id AND (x.id = i.node_id OR x.id = CAST(i.obj_num AS STRING)) UNION SELECT i.doc_id, i.node_id FROM ({_notes()}) i JOIN ({refs}) r ON r.doc_id = i.doc_id WHERE instr(coalesce(r.text_content, ''), i.node_id) > 0 OR instr(r.attrs, i.node_id) > 0"
+    # Equality is a hash join; for containment all that a document's references say is one text.
+    said = f"SELECT doc_id, {d.joined("concat(coalesce(text_content, ''), ' | ', attrs)", ' | ', 'node_id')} AS said FROM ({refs}) r GROUP BY doc_id"
+    good = f"SELECT i.doc_id, i.node_id FROM ({_notes()}) i JOIN ({ids}) x ON x.doc_id = i.doc_id AND x.id = i.node_id UNION SELECT i.doc_id, i.node_id FROM ({_notes()}) i JOIN ({ids}) x ON x.doc_id = i.doc_id AND x.id = CAST(i.obj_num AS STRING) UNION SELECT i.doc_id, i.node_id FROM ({_notes()}) i JOIN ({said}) r ON r.doc_id = i.doc_id WHERE instr(r.said, i.node_id) > 0"
     return _noted("Notes are referenced.", good, "A note is not referenced.", HIGH)
 
 
@@ -121,8 +123,8 @@ def note_labels(d) -> list[str]:
 
 
 def notes_in_paragraphs(d) -> list[str]:
-    inside = f"SELECT DISTINCT i.doc_id, i.node_id FROM ({_notes()}) i JOIN $nf a ON a.doc_id = i.doc_id AND a.pos < i.pos AND i.pos <= a.subtree_end AND a.role_up = 'P'"
-    good = f"SELECT i.doc_id, i.node_id FROM ({_notes()}) i LEFT JOIN ({inside}) x ON x.doc_id = i.doc_id AND x.node_id = i.node_id WHERE x.doc_id IS NULL"
+    placed = f"SELECT n.*, {inside("role_up = 'P'")} AS in_p FROM $nf n"
+    good = f"SELECT n.doc_id, n.node_id FROM ({placed}) n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE {_is('NOTE')} AND NOT n.in_p"
     return _noted("Notes stand outside paragraphs.", good, "A note stands inside a paragraph.", LOW)
 
 
@@ -146,7 +148,7 @@ def whitespace_only(d) -> list[str]:
     marked = f"SELECT r.doc_id, r.node_id, {d.joined('m.text', '', 'r.ord')} AS txt FROM (SELECT m.doc_id, m.node_id, m.ord, m.mcid, coalesce(nullif(n.page, 0), 1) AS page FROM $node_mcids m JOIN $nodes n ON n.doc_id = m.doc_id AND n.node_id = m.node_id WHERE NOT m.is_entry OR m.explicit_page = coalesce(nullif(n.page, 0), 1)) r JOIN $page_mcids m ON m.doc_id = r.doc_id AND m.page_number = r.page AND m.mcid = r.mcid GROUP BY r.doc_id, r.node_id"
     flagged = f"SELECT n.doc_id, n.node_id, n.tag, n.pos, n.subtree_end, n.page FROM {TREE} LEFT JOIN ({marked}) k ON k.doc_id = n.doc_id AND k.node_id = n.node_id WHERE NOT n.is_root AND n.role_up IN {one_of(TEXT_ROLES_WIDE)} AND CASE WHEN n.actual_text IS NOT NULL THEN {own('n.actual_text')} WHEN n.alt_text IS NOT NULL THEN {own('n.alt_text')} WHEN coalesce(length(n.text_content), 0) > 0 THEN {own('n.text_content')} AND {kept} WHEN n.n_children = 0 AND n.n_mcids > 0 THEN {own('k.txt')} AND {kept} ELSE false END"
     # Below a flagged element nothing is flagged: what has a flagged candidate above it falls away.
-    bad = f"SELECT f.* FROM ({flagged}) f LEFT JOIN (SELECT DISTINCT x.doc_id, x.node_id FROM ({flagged}) x JOIN ({flagged}) a ON a.doc_id = x.doc_id AND a.pos < x.pos AND x.pos <= a.subtree_end) u ON u.doc_id = f.doc_id AND u.node_id = f.node_id WHERE u.doc_id IS NULL"
+    bad = f"SELECT * FROM (SELECT f.*, max(subtree_end) {BEFORE} AS reach FROM ({flagged}) f) u WHERE coalesce(reach < pos, true)"
     return [rows(f"({bad})", WARNING, "The element's text is only white space.", page="coalesce(nullif(s.page, 0), 1)", ref=NAMED, severity=HIGH, branch=1, pos="s.pos"), rows(counted(WITH_TREE, bad), PASS, "No element's text is only white space.", "s.n0 = 0", "0", branch=2)]
 
 

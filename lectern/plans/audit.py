@@ -35,6 +35,10 @@ def rule_sql(d, check_id: str) -> str | None:
     )
 
 
+#: Derived tables in an order in which each can read those before it.
+WAVES = [["nf", "headings", "table_view", "list_view", "roles", "mcid_refs"], ["node_roles", "flags"]]
+
+
 class Corpus:
     """Entity tables of any number of documents, as DataFrames; derived tables are views over them."""
 
@@ -60,12 +64,28 @@ class Corpus:
         """A SELECT over entities and derived tables ($name)."""
         return self.spark.sql(bound(text, {t: self.view(t) for t in tables_in(text)}))
 
-    def kept(self) -> Corpus:
-        """The same corpus with derived tables computed once and kept for the rules to share."""
-        frames = dict(self.frames)
-        for name in self._derived:
-            frames[name] = self.sql(self._derived[name]).persist()
-        return Corpus(self.spark, frames)
+    def written(self, path: str, threads: int = 8) -> Corpus:
+        """The same corpus from tables under path: entities first, then what is derived from them, for rules to share."""
+
+        def write(frame: DataFrame, name: str) -> None:
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(lambda x: write(x[1], x[0]), [(n, f) for n, f in self.frames.items() if n in ENTITIES]))
+        whole = Corpus(self.spark, {n: self.spark.read.schema(f.schema).parquet(f"{path}/{n}") for n, f in self.frames.items() if n in ENTITIES})
+        for wave in WAVES:
+            views = [(n, whole.sql(whole._derived[n])) for n in wave]
+            with ThreadPoolExecutor(threads) as pool:
+                list(pool.map(lambda x: write(x[1], x[0]), views))
+            for n, f in views:
+                whole.frames[n] = self.spark.read.schema(f.schema).parquet(f"{path}/{n}")
+                whole._views.pop(n, None)
+        return whole
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+        """Frames of the tables that written left under path."""
+        return {n: spark.read.parquet(f"{path}/{n}") for n in [*ENTITIES, *(n for w in WAVES for n in w)]}
 
     def rule(self, check_id: str) -> DataFrame | None:
         text = rule_sql(self.dialect, check_id)
@@ -77,7 +97,7 @@ class Corpus:
         Each rule is a job of its own that writes its part of a findings table under path, a few at a
         time: one plan of all rules would take longer to plan than to run, and this way a rule that
         fails, in planning or running, gives an ERROR finding a document and harms no other."""
-        for name in self._derived:
+        for name in [*self.frames, *self._derived]:
             self.view(name)
 
         def work(check_id: str, evaluate, r: Rule) -> None:

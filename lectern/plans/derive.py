@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.functions.sql import one_of
+from lectern.functions.sql import Spark, one_of
 from lectern.schema import STANDARD_TYPES
 
 DECORATIVE = "(n.is_artifact OR upper(coalesce(n.standard_tag, '')) = 'ARTIFACT' OR lower(coalesce(n.tag, '')) = 'artifact' OR coalesce(n.attr_o, '') = '/Artifact' OR coalesce(n.attr_type, '') = '/Pagination' OR coalesce(n.attr_placement, '') = '/Background')"
@@ -29,20 +29,29 @@ FROM (SELECT doc_id, node_id, tag, pos, page, try_cast(substr(standard_tag, 2, 1
 def table_view(d) -> str:
     """Tables: rows, columns, header and data cells over all descendants, and whether every row is as wide.
 
-    A cell takes col_span columns in its own and the following row_span - 1 rows that exist."""
+    A cell takes col_span columns in its own and the following row_span - 1 rows that exist.  Rows and
+    cells of nested tables count for the outer ones too: a row asks at each level of tables open above
+    it for the last table begun there, and numbers are differences of running counts."""
     numbers = d.numbers("c.r", "least(c.r + c.row_span - 1, t.n_rows)")
-    return f"""WITH t0 AS (SELECT doc_id, node_id, tag, page, pos, subtree_end FROM $nodes WHERE upper(standard_tag) = 'TABLE'),
-tr AS (SELECT t.doc_id, t.node_id AS table_id, r.node_id AS row_id, r.pos, row_number() OVER (PARTITION BY t.doc_id, t.node_id ORDER BY r.pos) AS r
-  FROM t0 t JOIN $nodes r ON r.doc_id = t.doc_id AND r.pos > t.pos AND r.pos <= t.subtree_end AND upper(r.standard_tag) = 'TR'),
-counts AS (SELECT t.doc_id, t.node_id, count(CASE WHEN upper(x.standard_tag) = 'TR' THEN 1 END) AS n_rows, count(CASE WHEN upper(x.standard_tag) = 'TH' THEN 1 END) AS n_th, count(CASE WHEN upper(x.standard_tag) = 'TD' THEN 1 END) AS n_td
-  FROM t0 t LEFT JOIN $nodes x ON x.doc_id = t.doc_id AND x.pos > t.pos AND x.pos <= t.subtree_end AND upper(x.standard_tag) IN ('TR', 'TH', 'TD') GROUP BY t.doc_id, t.node_id),
+    run = "OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    count = lambda tag: f"count(CASE WHEN std = '{tag}' THEN 1 END) {run}"
+    return f"""WITH n0 AS (SELECT doc_id, node_id, parent_id, tag, page, pos, subtree_end, row_span, col_span, upper(standard_tag) AS std FROM $nodes),
+c0 AS (SELECT n0.*, {count("TR")} AS c_tr, {count("TH")} AS c_th, {count("TD")} AS c_td FROM n0),
+t0 AS (SELECT a.doc_id, a.node_id, a.page, a.pos, a.subtree_end, a.c_tr AS tr_before, b.c_tr - a.c_tr AS n_rows, b.c_th - a.c_th AS n_th, b.c_td - a.c_td AS n_td FROM c0 a JOIN c0 b ON b.doc_id = a.doc_id AND b.pos = a.subtree_end WHERE a.std = 'TABLE'),
+ends AS (SELECT doc_id, pos, 1 AS step FROM t0 UNION ALL SELECT doc_id, subtree_end + 1, -1 FROM t0),
+steps AS (SELECT doc_id, pos, sum(step) AS step FROM ends GROUP BY doc_id, pos),
+x0 AS (SELECT c.doc_id, c.node_id, c.pos, c.std, c.c_tr, coalesce(s.step, 0) AS step FROM c0 c LEFT JOIN steps s ON s.doc_id = c.doc_id AND s.pos = c.pos),
+x1 AS (SELECT x0.*, CAST(sum(step) {run} AS BIGINT) AS level FROM x0),
+asks AS (SELECT x.doc_id, x.node_id, x.pos, x.c_tr, x.std, k.n AS level FROM (SELECT * FROM x1 WHERE std IN ('TABLE', 'TR') AND level > 0) x, {d.numbers("CASE WHEN x.std = 'TABLE' THEN x.level ELSE CAST(1 AS BIGINT) END", "x.level")} k),
+under AS (SELECT doc_id, node_id AS row_id, c_tr, std, max(CASE WHEN std = 'TABLE' THEN pos END) OVER (PARTITION BY doc_id, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS table_pos FROM asks),
+tr AS (SELECT u.doc_id, t.node_id AS table_id, u.row_id, CAST(u.c_tr - t.tr_before AS BIGINT) AS r FROM under u JOIN t0 t ON t.doc_id = u.doc_id AND t.pos = u.table_pos WHERE u.std = 'TR'),
 cell AS (SELECT tr.doc_id, tr.table_id, tr.r, greatest(coalesce(x.row_span, 1), 1) AS row_span, greatest(coalesce(x.col_span, 1), 1) AS col_span
-  FROM tr JOIN $nodes x ON x.doc_id = tr.doc_id AND x.parent_id = tr.row_id AND upper(x.standard_tag) IN ('TH', 'TD')),
-covered AS (SELECT c.doc_id, c.table_id, k.n AS r, c.col_span FROM cell c JOIN counts t ON t.doc_id = c.doc_id AND t.node_id = c.table_id, {numbers} k),
+  FROM tr JOIN n0 x ON x.doc_id = tr.doc_id AND x.parent_id = tr.row_id AND x.std IN ('TH', 'TD')),
+covered AS (SELECT c.doc_id, c.table_id, k.n AS r, c.col_span FROM cell c JOIN t0 t ON t.doc_id = c.doc_id AND t.node_id = c.table_id, {numbers} k),
 width AS (SELECT tr.doc_id, tr.table_id, tr.r, coalesce(sum(v.col_span), 0) AS w FROM tr LEFT JOIN covered v ON v.doc_id = tr.doc_id AND v.table_id = tr.table_id AND v.r = tr.r GROUP BY tr.doc_id, tr.table_id, tr.r),
 shape AS (SELECT doc_id, table_id, max(w) AS n_cols, count(DISTINCT w) AS widths FROM width GROUP BY doc_id, table_id)
-SELECT t.doc_id, t.node_id AS table_id, t.page, t.pos, c.n_rows, c.n_th, c.n_td, CAST(coalesce(s.n_cols, 0) AS BIGINT) AS n_cols, coalesce(s.widths, 0) <= 1 AS is_regular, c.n_th > 0 AS has_headers
-FROM t0 t JOIN counts c ON c.doc_id = t.doc_id AND c.node_id = t.node_id LEFT JOIN shape s ON s.doc_id = t.doc_id AND s.table_id = t.node_id"""
+SELECT t.doc_id, t.node_id AS table_id, t.page, t.pos, t.n_rows, t.n_th, t.n_td, CAST(coalesce(s.n_cols, 0) AS BIGINT) AS n_cols, coalesce(s.widths, 0) <= 1 AS is_regular, t.n_th > 0 AS has_headers
+FROM t0 t LEFT JOIN shape s ON s.doc_id = t.doc_id AND s.table_id = t.node_id"""
 
 
 def list_view() -> str:
@@ -57,18 +66,27 @@ FROM $nodes l LEFT JOIN (
 WHERE upper(l.standard_tag) = 'L'"""
 
 
-def roles(hops: int = 5) -> str:
+def roles(d) -> str:
     """What custom tags resolve to: doc_id, tag, resolved, is_circular, is_standard.
 
-    Each step composes the map with itself, so 2^hops links of a chain are followed without recursion."""
+    A document's map is followed until a standard type, a tag it does not map, or as many links as it
+    has entries, after which the chain must be a circle.  Spark folds over the map of the document;
+    an ANSI engine walks it by recursion."""
     standard = one_of(STANDARD_TYPES)
-    ctes = ["m0 AS (SELECT doc_id, custom_tag AS tag, mapped_tag AS cur FROM $role_map)"]
-    for k in range(hops):
-        ctes.append(f"m{k + 1} AS (SELECT a.doc_id, a.tag, CASE WHEN a.cur IN {standard} THEN a.cur ELSE coalesce(b.cur, a.cur) END AS cur FROM m{k} a LEFT JOIN m{k} b ON b.doc_id = a.doc_id AND b.tag = a.cur)")
-    return f"""WITH {", ".join(ctes)}
-SELECT a.doc_id, a.tag, CASE WHEN a.tag IN {standard} THEN a.tag WHEN a.cur IN {standard} THEN a.cur WHEN r.custom_tag IS NOT NULL THEN f.mapped_tag ELSE a.tag END AS resolved,
-  a.tag NOT IN {standard} AND a.cur NOT IN {standard} AND r.custom_tag IS NOT NULL AS is_circular, a.tag IN {standard} OR a.cur IN {standard} AS is_standard, a.tag NOT IN {standard} AS is_mapped
-FROM m{hops} a JOIN $role_map f ON f.doc_id = a.doc_id AND f.custom_tag = a.tag LEFT JOIN $role_map r ON r.doc_id = a.doc_id AND r.custom_tag = a.cur"""
+    if isinstance(d, Spark):
+        maps = "SELECT doc_id, map_from_entries(collect_list(struct(custom_tag, mapped_tag))) AS m FROM (SELECT doc_id, custom_tag, max(mapped_tag) AS mapped_tag FROM $role_map WHERE custom_tag IS NOT NULL GROUP BY doc_id, custom_tag) r GROUP BY doc_id"
+        walked = f"SELECT doc_id, tag, first_tag, m, aggregate(sequence(1, size(m)), first_tag, (c, i) -> CASE WHEN c IN {standard} THEN c ELSE coalesce(m[c], c) END) AS cur FROM (SELECT doc_id, m, explode(m) AS (tag, first_tag) FROM ({maps}) a) b"
+        ends = f"SELECT doc_id, tag, first_tag, cur, m[cur] IS NOT NULL AS goes_on FROM ({walked}) w"
+        return f"SELECT {_OUTCOME.format(standard=standard)} FROM ({ends}) e"
+    return f"""WITH RECURSIVE entries AS (SELECT doc_id, custom_tag, max(mapped_tag) AS mapped_tag FROM $role_map WHERE custom_tag IS NOT NULL GROUP BY doc_id, custom_tag),
+sizes AS (SELECT doc_id, count(*) AS n FROM entries GROUP BY doc_id),
+walk AS (SELECT doc_id, custom_tag AS tag, mapped_tag AS first_tag, mapped_tag AS cur, 0 AS k FROM entries
+  UNION ALL SELECT w.doc_id, w.tag, w.first_tag, r.mapped_tag, w.k + 1 FROM walk w JOIN entries r ON r.doc_id = w.doc_id AND r.custom_tag = w.cur JOIN sizes s ON s.doc_id = w.doc_id WHERE w.cur NOT IN {standard} AND w.k < s.n),
+ends AS (SELECT w.doc_id, w.tag, w.first_tag, w.cur, r.custom_tag IS NOT NULL AS goes_on FROM (SELECT w.*, row_number() OVER (PARTITION BY doc_id, tag ORDER BY k DESC) AS rn FROM walk w) w LEFT JOIN entries r ON r.doc_id = w.doc_id AND r.custom_tag = w.cur WHERE rn = 1)
+SELECT {_OUTCOME.format(standard=standard)} FROM ends"""
+
+
+_OUTCOME = "doc_id, tag, CASE WHEN tag IN {standard} THEN tag WHEN cur IN {standard} THEN cur WHEN goes_on THEN first_tag ELSE tag END AS resolved, tag NOT IN {standard} AND cur NOT IN {standard} AND goes_on AS is_circular, tag IN {standard} OR cur IN {standard} AS is_standard, tag NOT IN {standard} AS is_mapped"
 
 
 def node_roles() -> str:
@@ -79,13 +97,25 @@ def node_roles() -> str:
 FROM $nodes n LEFT JOIN $roles r ON r.doc_id = n.doc_id AND r.tag = n.tag WHERE n.tag <> 'StructTreeRoot' OR n.tag IS NULL"""
 
 
+#: Pre-order intervals nest, so a node has an ancestor of some kind exactly if the furthest end of those
+#: begun so far reaches it: one running maximum a document instead of a join of intervals.
+UP_TO = "OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BEFORE = "OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: The same backwards: the first of what follows a node.
+AFTER = "OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def inside(cond: str, window: str = BEFORE) -> str:
+    """Whether a node has an ancestor (with UP_TO: or is a node) that meets cond."""
+    return f"coalesce(max(CASE WHEN {cond} THEN subtree_end END) {window} >= pos, false)"
+
+
 def flags(d) -> str:
     """For every node: whether it or an ancestor is a formula, has a replacement text, is decorative."""
     from lectern.functions.sql import filled
 
-    return f"""SELECT n.doc_id, n.node_id, max(CASE WHEN upper(coalesce(nullif(a.standard_tag, ''), a.tag, '')) IN ('FORMULA', 'MATH') THEN 1 ELSE 0 END) = 1 AS in_formula,
-  max(CASE WHEN {filled(d, 'a.actual_text')} OR {filled(d, 'a.alt_text')} THEN 1 ELSE 0 END) = 1 AS has_text, max(CASE WHEN a.decorative THEN 1 ELSE 0 END) = 1 AS in_artifact
-FROM $nodes n JOIN $nf a ON a.doc_id = n.doc_id AND a.pos <= n.pos AND n.pos <= a.subtree_end GROUP BY n.doc_id, n.node_id"""
+    return f"""SELECT doc_id, node_id, {inside("role_up IN ('FORMULA', 'MATH')", UP_TO)} AS in_formula,
+  {inside(f"{filled(d, 'actual_text')} OR {filled(d, 'alt_text')}", UP_TO)} AS has_text, {inside("decorative", UP_TO)} AS in_artifact FROM $nf"""
 
 
 def mcid_refs() -> str:
@@ -95,4 +125,4 @@ FROM $node_mcids m JOIN $nodes n ON n.doc_id = m.doc_id AND n.node_id = m.node_i
 
 
 def derived(d) -> dict[str, str]:
-    return {"nf": features(), "headings": headings(), "table_view": table_view(d), "list_view": list_view(), "roles": roles(), "node_roles": node_roles(), "flags": flags(d), "mcid_refs": mcid_refs()}
+    return {"nf": features(), "headings": headings(), "table_view": table_view(d), "list_view": list_view(), "roles": roles(d), "node_roles": node_roles(), "flags": flags(d), "mcid_refs": mcid_refs()}

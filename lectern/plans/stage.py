@@ -6,13 +6,37 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a local one if the session is of one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{os.path.join(tempfile.gettempdir(), 'lectern-audit')}"
+    return f"{named.rstrip('/')}/audit"
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A path for a table that nobody else uses."""
+    return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written once under spark.checkpoint.dir (a temporary folder where that is unset, as in tests) and read back."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lectern-audit')}"
-    path = f"{shared.rstrip('/')}/audit/{what}-{uuid.uuid4().hex}"
+    """df written once to the shared folder and read back."""
+    path = folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, path: str, names: list[str]) -> tuple:
+    """What tells whether tables under path are still the same: their sizes and times."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")
+        s = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)

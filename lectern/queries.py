@@ -10,16 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.functions.sql import Duck, Spark, bound, tables_in
+from lectern.functions.sql import Duck, Spark, bound, strip, tables_in
 from lectern.operators import quality
 from lectern.plans import compare, marks, report
 from lectern.plans.audit import EVALUATORS, FINDINGS, ansi, rule_sql
 from lectern.plans.stage import written
 from lectern.sources import star
-from lectern.sources.load import star_corpus, table
-
-#: The rules whose findings the report queries are made of (an audit of all rules is Corpus.audited).
-REPORTED = ["PDFUA-FONT-001", "PDFUA-ANNOT-002", "PDFUA-EMBEDDED-001", "PDFUA-LANG-001", "PDFUA-META-002", "PDFUA-SETTINGS-001", "PDFUA-SETTINGS-003", "WCAG-1.4", "WCAG-2.4", "QUAL-HEAD-001", "QUAL-TITLE-001", "QUAL-BOOKMARK-001", "AI-OUTLINE-001"]
+from lectern.sources.load import audited_corpus, prepared_corpus, table
 
 #: Oracle records (synthetic): what another checker might say of the same documents.
 ORACLE = "SELECT doc_id, category, check_name, page, status, row_number() OVER (PARTITION BY doc_id ORDER BY category, check_name, page, status) AS ord FROM (" + " UNION ALL ".join([
@@ -31,7 +28,9 @@ ORACLE = "SELECT doc_id, category, check_name, page, status, row_number() OVER (
 
 
 def findings_sql(d) -> str:
-    return " UNION ALL ".join(f"SELECT {FINDINGS} FROM ({rule_sql(d, r)}) f" for r in REPORTED)
+    """The findings of all rules as one text."""
+    texts = [rule_sql(d, r) for r in EVALUATORS]
+    return " UNION ALL ".join(f"SELECT {FINDINGS} FROM ({t}) f" for t in texts if t)
 
 
 def _star() -> dict[str, Callable[[object], str]]:
@@ -43,13 +42,18 @@ def _star() -> dict[str, Callable[[object], str]]:
     for name, text in (("role_resolution", "SELECT * FROM $roles"), ("table_regularity", "SELECT * FROM $table_view"), ("list_structure", "SELECT * FROM $list_view"), ("ancestor_flags", "SELECT * FROM $flags"), ("heading_order", "SELECT * FROM $headings"), ("mcid_page_resolution", "SELECT * FROM $mcid_refs"),
         ("node_features", "SELECT doc_id, node_id, parent_tag, parent_std, role, role_up, n_children, n_mcids, decorative FROM $nf"),
         ("text_bbox_union", "SELECT r.doc_id, r.node_id, min(m.x0) AS x0, min(m.y0) AS y0, max(m.x1) AS x1, max(m.y1) AS y1, count(*) AS parts FROM $mcid_refs r JOIN $page_mcids m ON m.doc_id = r.doc_id AND m.page_number = r.page AND m.mcid = r.mcid WHERE m.x0 > 0 OR m.y0 > 0 OR m.x1 > 0 OR m.y1 > 0 GROUP BY r.doc_id, r.node_id"),
-        ("image_occurrences", "SELECT doc_id, image_id, page, concat(image_id, '_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS STRING)) AS occurrence FROM $images"),
-        ("figure_alt_of_page", "SELECT i.doc_id, i.image_id, i.page, f.alt_text FROM $images i LEFT JOIN (SELECT doc_id, page, alt_text, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS rn FROM $nodes WHERE upper(standard_tag) = 'FIGURE' AND page IS NOT NULL) f ON f.doc_id = i.doc_id AND f.page = i.page AND f.rn = 1"),
+        ("image_occurrences", "SELECT doc_id, image_id, page, concat('img_p', CAST(page AS STRING), '_', CAST(xref AS STRING), CASE WHEN k > 1 THEN concat('_', CAST(k AS STRING)) ELSE '' END) AS occurrence FROM (SELECT i.*, row_number() OVER (PARTITION BY doc_id, page, xref ORDER BY ord) AS k FROM $images i) i"),
         ("element_inventory", "SELECT doc_id, standard_tag, CAST(count(*) AS BIGINT) AS n FROM $nodes GROUP BY doc_id, standard_tag"),
     ):
         out[name] = lambda d, t=text: t
-    anomaly = "[\\x{FFFD}\\x{E000}-\\x{F8FF}]"
-    out["decoding_anomalies"] = lambda d: f"SELECT n.doc_id, n.node_id, {d.matches('concat(coalesce(n.actual_text, chr(32)), n.text_content)', anomaly)} AND NOT (f.in_formula OR f.in_artifact) AS has_decoding_error FROM $nodes n JOIN $flags f ON f.doc_id = n.doc_id AND f.node_id = n.node_id"
+    # The first figure of the page, else the first of those without a page, lends every image its text.
+    first = "SELECT doc_id, page, alt, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS rn FROM (SELECT doc_id, coalesce(page, 0) AS page, pos, coalesce(nullif(alt_text, ''), actual_text, '') AS alt FROM $nodes WHERE upper(standard_tag) = 'FIGURE') a"
+    figure = lambda d: f"SELECT i.doc_id, i.image_id, i.page, {strip(d, 'coalesce(f.alt, z.alt)')} AS alt_text, coalesce(coalesce(f.alt, z.alt) <> '', false) AS has_alt FROM $images i LEFT JOIN ({first}) f ON f.doc_id = i.doc_id AND f.page = i.page AND f.rn = 1 LEFT JOIN ({first}) z ON z.doc_id = i.doc_id AND z.page = 0 AND z.rn = 1"
+    out["figure_alt_of_page"] = figure
+    # Replacement characters always count; private-use ones unless a replacement text, a formula or an artifact exempts them.
+    lost, private = "[\\x{FFFD}]", "[\\x{E000}-\\x{F8FF}]"
+    own = "coalesce(n.text_content, '')"
+    out["decoding_anomalies"] = lambda d: f"SELECT n.doc_id, n.node_id, {d.matches(f"concat(coalesce(n.actual_text, ''), {own})", lost)} OR ({d.matches(own, private)} AND NOT (f.in_formula OR f.in_artifact OR f.has_text OR coalesce(n.actual_text <> '', false))) AS has_decoding_error FROM $nodes n JOIN $flags f ON f.doc_id = n.doc_id AND f.node_id = n.node_id"
     out["document_info"] = lambda d: report.document_info()
     out["tag_tree"] = lambda d: report.tag_tree()
     out["metadata_sheet"] = lambda d: report.metadata_sheet()
@@ -91,17 +95,14 @@ def _plain() -> dict[str, Callable[[object], str]]:
 
 
 def _run_star(spark: SparkSession, sf_dir: str, text) -> DataFrame:
-    corpus = star_corpus(spark, sf_dir)
-    sql = text(corpus.dialect)
-    if "findings" in tables_in(sql):
-        corpus.frames["findings"] = corpus.sql(findings_sql(corpus.dialect))
+    sql = text(Spark())
+    corpus = audited_corpus(spark, sf_dir) if "findings" in tables_in(sql) else prepared_corpus(spark, sf_dir)
     return corpus.sql(sql)
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = star_corpus(spark, sf_dir)
-    corpus.frames["findings"] = corpus.sql(findings_sql(corpus.dialect))
-    return compare.compared(written(corpus.sql(report.engine_records()), "engine"), written(corpus.sql(ORACLE), "oracle"))
+    corpus = audited_corpus(spark, sf_dir)
+    return compare.compared(corpus.sql(report.engine_records()), written(corpus.sql(ORACLE), "oracle"))
 
 
 def _run_plain(spark: SparkSession, sf_dir: str, text) -> DataFrame:

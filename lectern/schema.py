@@ -21,7 +21,7 @@ ENTITIES = {
     "artifacts": "doc_id long, page_number int, ord int, is_inside_tagged boolean, text_snippet string",
     "fonts": "doc_id long, ord int, name string, is_embedded boolean, has_tounicode boolean, has_standard_encoding boolean, encoding string, is_used boolean",
     "font_pages": "doc_id long, font_ord int, idx int, page int",
-    "images": "doc_id long, ord int, image_id string, page int, is_artifact boolean, has_alt boolean, alt_text string, structure_element_id string",
+    "images": "doc_id long, ord int, image_id string, xref int, page int, is_artifact boolean, has_alt boolean, alt_text string, structure_element_id string",
     "links": "doc_id long, ord int, page int, text string, uri string",
     "form_fields": "doc_id long, ord int, name string, page int, tooltip string",
     "annotations": "doc_id long, ord int, annot_id string, subtype string, page int, is_tagged boolean",
@@ -41,27 +41,32 @@ CONTAINERS = "Sect Div Part Art".split()
 BLOCK_PARENTS = "DOCUMENT PART ART SECT DIV".split()
 HEADINGS = "H H1 H2 H3 H4 H5 H6".split()
 
-#: Roles that must not stand directly inside a role (fixed values).
-_GROUPS = "Document Part Art Sect"
-_HEADS = "H1 H2 H3 H4 H5 H6"
-_IN_PARAGRAPH = f"{_GROUPS} Table L H {_HEADS} P"
-_IN_INLINE = f"{_GROUPS} Div P {_HEADS} Table L"
+#: Roles that must not stand directly inside a role (fixed values; they go beyond the standard's clause 14.8.4 in places).
 INADMISSIBLE = {
-    **{role: _IN_PARAGRAPH for role in f"P H {_HEADS}".split()},
-    "Span": f"{_GROUPS} Div P H {_HEADS} Table L TR TH TD LI",
-    "Quote": f"{_GROUPS} Table L {_HEADS}",
-    **{role: _IN_INLINE for role in ("Code", "Link", "Annot")},
-    "Lbl": f"{_GROUPS} Div P H {_HEADS} Table L LI",
-    "LBody": _GROUPS,
-    "L": f"{_GROUPS} Div P H {_HEADS} Table Span Link Quote",
-    "LI": f"{_GROUPS} Div P H {_HEADS} Table L Span Link",
-    "Table": f"{_GROUPS} Div P H {_HEADS} L Span Link TH TD",
-    "TR": f"{_GROUPS} Div P H {_HEADS} Table L Span Link TR",
-    "TH": _GROUPS,
-    "TD": _GROUPS,
-    "Caption": f"{_GROUPS} Table L",
-    "Note": _GROUPS,
-}
+    "P": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H1": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H2": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H3": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H4": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H5": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "H6": ["Document", "Part", "Art", "Sect", "Table", "L", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P"],
+    "Span": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L", "TR", "TH", "TD", "LI"],
+    "Quote": ["Document", "Part", "Art", "Sect", "Table", "L", "H1", "H2", "H3", "H4", "H5", "H6"],
+    "Code": ["Document", "Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L"],
+    "Link": ["Document", "Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L"],
+    "Annot": ["Document", "Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L"],
+    "Lbl": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L", "LI"],
+    "LBody": ["Document", "Part", "Art", "Sect"],
+    "L": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "Span", "Link", "Quote"],
+    "LI": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L", "Span", "Link"],
+    "Table": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Span", "Link", "TH", "TD"],
+    "TR": ["Document", "Part", "Art", "Sect", "Div", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "Table", "L", "Span", "Link", "TR"],
+    "TH": ["Document", "Part", "Art", "Sect"],
+    "TD": ["Document", "Part", "Art", "Sect"],
+    "Caption": ["Document", "Part", "Art", "Sect", "Table", "L"],
+    "Note": ["Document", "Part", "Art", "Sect"],
+}
 
 #: Patterns and word lists (fixed values).
 BCP47 = r"^[a-zA-Z]{2,3}(-[a-zA-Z0-9]{2,8})*$"
@@ -91,90 +96,77 @@ class Rule:
     machine_testable: bool = True
 
 
-def _rules() -> list[Rule]:
-    # check_id | name | category | severity | F where a person must look (fixed values)
-    listed = {
-        "PDF/UA": """
-PDFUA-SYNTAX-001|PDF Syntax (ISO 32000-1) Core|PDF Syntax (ISO 32000-1)|CRITICAL
-PDFUA-FONT-001|Fonts Embedded|Fonts|HIGH
-PDFUA-FONT-002|ToUnicode CMaps|Fonts|HIGH
-PDFUA-UNICODE-001|Unicode Private Use Area|Natural language|HIGH
-PDFUA-UNICODE-002|Replacement Characters|Natural language|HIGH
-PDFUA-CONTENT-001|Tagged PDF|Content|CRITICAL
-PDFUA-CONTENT-002|Real Content Tagged|Content|HIGH
-PDFUA-CONTENT-004|Tagged Content inside Artifact|Content|HIGH
-PDFUA-CONTENT-005|MCID Reference Integrity|Content|HIGH
-PDFUA-CONTENT-006|Structure Element MCID Existence|Content|HIGH
-PDFUA-CONTENT-007|Nested Marked Content|Content|HIGH
-PDFUA-ARTIFACT-001|Artifacts in Structure Tree|Content|HIGH
-PDFUA-ART-003|Artifacts inside tagged content|Content|HIGH
-PDFUA-ANNOT-001|Annotations Tagged|Content|HIGH
-PDFUA-ANNOT-002|Page Tab Order|Annotations|HIGH
-PDFUA-FORM-001|Form Field Tooltips & Names|Forms|HIGH
-PDFUA-EMBEDDED-001|Embedded Files|Embedded Files|MEDIUM
-PDFUA-LANG-001|Document Language|Natural language|HIGH
-PDFUA-LANG-002|Language Shifts|Natural language|MEDIUM
-PDFUA-TREE-001|Structure Tree Hierarchy & Containment|Structure tree|CRITICAL
-PDFUA-TREE-002|ParentTree Integrity|Structure tree|HIGH
-PDFUA-STRUCT-001|Structure Elements Validation & Nesting|Structure elements|HIGH
-PDFUA-FIG-001|Figure Bounding Box|Structure elements|HIGH
-PDFUA-LIST-001|List Structure Hierarchy|Structure elements|HIGH
-PDFUA-TABLE-001|Table Headers & Structure|Tables|HIGH
-PDFUA-STRUCT-002|Empty Structure Elements|Structure elements|HIGH
-PDFUA-ROLE-001|Role Mapping|Role mapping|HIGH
-PDFUA-ALT-001|Alternative Descriptions|Alternative Descriptions|HIGH
-PDFUA-META-001|XMP Metadata Stream|Metadata|HIGH
-PDFUA-META-002|XMP Document Title|Metadata|HIGH
-PDFUA-META-003|PDF/UA Identifier|Metadata|HIGH
-PDFUA-SETTINGS-001|DisplayDocTitle|Document settings|HIGH
-PDFUA-SETTINGS-003|Document Bookmarks|Document settings|MEDIUM""",
-        "WCAG": """
-WCAG-1.1.1|1.1 Text Alternatives|1.1 Text Alternatives|HIGH
-WCAG-1.2|1.2 Time-based Media|1.2 Time-based Media|MEDIUM
-WCAG-1.3|1.3 Adaptable|1.3 Adaptable|HIGH
-WCAG-1.4|1.4 Distinguishable|1.4 Distinguishable|MEDIUM|F
-WCAG-2.1|2.1 Keyboard Accessible|2.1 Keyboard Accessible|HIGH
-WCAG-2.2|2.2 Enough Time|2.2 Enough Time|LOW
-WCAG-2.3|2.3 Seizures and Physical Reactions|2.3 Seizures and Physical Reactions|CRITICAL
-WCAG-2.4|2.4 Navigable|2.4 Navigable|HIGH
-WCAG-2.5|2.5 Input Modalities|2.5 Input Modalities|LOW
-WCAG-3.1|3.1 Readable|3.1 Readable|HIGH
-WCAG-3.2|3.2 Predictable|3.2 Predictable|MEDIUM
-WCAG-3.3|3.3 Input Assistance|3.3 Input Assistance|HIGH
-WCAG-4.1|4.1 Compatible|4.1 Compatible|HIGH""",
-        "Quality": """
-QUAL-HEAD-001|Heading Hierarchy Integrity|Heading Structure|MEDIUM|F
-QUAL-STRUCT-001|Structural Quality & Ergonomics|Structure Quality|LOW|F
-QUAL-TABLE-001|Completeness of Table Elements|Table Quality|HIGH
-QUAL-LINK-001|Meaningful Link Labels|Link Quality|LOW|F
-QUAL-BOUND-001|Tagged Content Page Boundaries|Content Quality|HIGH
-QUAL-TOC-001|TOCI Elements Contain Link Elements|Heading & Navigation Quality|HIGH
-QUAL-TOC-002|TOCI Elements Linked to Headings|Heading & Navigation Quality|MEDIUM
-QUAL-TEXT-001|Alternative Text on Text Elements|Alternative Text Quality|MEDIUM
-QUAL-ALT-001|Validity of Alternate Text|Alternative Text Quality|HIGH
-QUAL-NOTE-001|Note Elements are Referenced|Structure & Note Quality|HIGH
-QUAL-NOTE-002|Note Elements Contain Lbl Elements|Structure & Note Quality|MEDIUM
-QUAL-NOTE-003|P Elements Contain Note Elements|Structure & Note Quality|LOW
-QUAL-ART-001|Artifacted Content on Page Body|Content Quality|HIGH
-QUAL-LINK-002|Completeness of Link Elements|Link Quality|HIGH
-QUAL-WHITE-001|Tagged text consists of only whitespace|Content Quality|HIGH
-QUAL-TITLE-001|Validity of Document Title|Validity of document title|HIGH
-QUAL-BOOKMARK-001|Bookmarks If Headings Present|Presence of bookmarks (document outline) if there are headings|MEDIUM
-QUAL-LIST-001|Formal Correctness of LI Elements|Formal correctness of "LI" elements|HIGH""",
-        "AI": """
-AI-ALT-001|Alt-Text Semantic Quality|AI Alt-Text Evaluation|MEDIUM
-AI-READ-001|Cognitive Readability Score|Cognitive Accessibility|INFO
-AI-OUTLINE-001|Structural Outline Consistency|Structural AI|INFO""",
-    }
-    out: list[Rule] = []
-    for standard, text in listed.items():
-        for line in text.strip().split("\n"):
-            check_id, name, category, severity, *person = line.split("|")
-            out.append(Rule(len(out) + 1, check_id, name, category, standard, severity, not person))
-    return out
-
-
-RULES = {r.check_id: r for r in _rules()}
+#: The rule catalogue in registry order (fixed values).
+CATALOGUE = [
+    Rule(1, "PDFUA-SYNTAX-001", "PDF Syntax (ISO 32000-1) Core", "PDF Syntax (ISO 32000-1)", "PDF/UA", "CRITICAL"),
+    Rule(2, "PDFUA-FONT-001", "Fonts Embedded", "Fonts", "PDF/UA", "HIGH"),
+    Rule(3, "PDFUA-FONT-002", "ToUnicode CMaps", "Fonts", "PDF/UA", "HIGH"),
+    Rule(4, "PDFUA-UNICODE-001", "Unicode Private Use Area", "Natural language", "PDF/UA", "HIGH"),
+    Rule(5, "PDFUA-UNICODE-002", "Replacement Characters", "Natural language", "PDF/UA", "HIGH"),
+    Rule(6, "PDFUA-CONTENT-001", "Tagged PDF", "Content", "PDF/UA", "CRITICAL"),
+    Rule(7, "PDFUA-CONTENT-002", "Real Content Tagged", "Content", "PDF/UA", "HIGH"),
+    Rule(8, "PDFUA-CONTENT-004", "Tagged Content inside Artifact", "Content", "PDF/UA", "HIGH"),
+    Rule(9, "PDFUA-CONTENT-005", "MCID Reference Integrity", "Content", "PDF/UA", "HIGH"),
+    Rule(10, "PDFUA-CONTENT-006", "Structure Element MCID Existence", "Content", "PDF/UA", "HIGH"),
+    Rule(11, "PDFUA-CONTENT-007", "Nested Marked Content", "Content", "PDF/UA", "HIGH"),
+    Rule(12, "PDFUA-ARTIFACT-001", "Artifacts in Structure Tree", "Content", "PDF/UA", "HIGH"),
+    Rule(13, "PDFUA-ART-003", "Artifacts inside tagged content", "Content", "PDF/UA", "HIGH"),
+    Rule(14, "PDFUA-ANNOT-001", "Annotations Tagged", "Content", "PDF/UA", "HIGH"),
+    Rule(15, "PDFUA-ANNOT-002", "Page Tab Order", "Annotations", "PDF/UA", "HIGH"),
+    Rule(16, "PDFUA-FORM-001", "Form Field Tooltips & Names", "Forms", "PDF/UA", "HIGH"),
+    Rule(17, "PDFUA-EMBEDDED-001", "Embedded Files", "Embedded Files", "PDF/UA", "MEDIUM"),
+    Rule(18, "PDFUA-LANG-001", "Document Language", "Natural language", "PDF/UA", "HIGH"),
+    Rule(19, "PDFUA-LANG-002", "Language Shifts", "Natural language", "PDF/UA", "MEDIUM"),
+    Rule(20, "PDFUA-TREE-001", "Structure Tree Hierarchy & Containment", "Structure tree", "PDF/UA", "CRITICAL"),
+    Rule(21, "PDFUA-TREE-002", "ParentTree Integrity", "Structure tree", "PDF/UA", "HIGH"),
+    Rule(22, "PDFUA-STRUCT-001", "Structure Elements Validation & Nesting", "Structure elements", "PDF/UA", "HIGH"),
+    Rule(23, "PDFUA-FIG-001", "Figure Bounding Box", "Structure elements", "PDF/UA", "HIGH"),
+    Rule(24, "PDFUA-LIST-001", "List Structure Hierarchy", "Structure elements", "PDF/UA", "HIGH"),
+    Rule(25, "PDFUA-TABLE-001", "Table Headers & Structure", "Tables", "PDF/UA", "HIGH"),
+    Rule(26, "PDFUA-STRUCT-002", "Empty Structure Elements", "Structure elements", "PDF/UA", "HIGH"),
+    Rule(27, "PDFUA-ROLE-001", "Role Mapping", "Role mapping", "PDF/UA", "HIGH"),
+    Rule(28, "PDFUA-ALT-001", "Alternative Descriptions", "Alternative Descriptions", "PDF/UA", "HIGH"),
+    Rule(29, "PDFUA-META-001", "XMP Metadata Stream", "Metadata", "PDF/UA", "HIGH"),
+    Rule(30, "PDFUA-META-002", "XMP Document Title", "Metadata", "PDF/UA", "HIGH"),
+    Rule(31, "PDFUA-META-003", "PDF/UA Identifier", "Metadata", "PDF/UA", "HIGH"),
+    Rule(32, "PDFUA-SETTINGS-001", "DisplayDocTitle", "Document settings", "PDF/UA", "HIGH"),
+    Rule(33, "PDFUA-SETTINGS-003", "Document Bookmarks", "Document settings", "PDF/UA", "MEDIUM"),
+    Rule(34, "WCAG-1.1.1", "1.1 Text Alternatives", "1.1 Text Alternatives", "WCAG", "HIGH"),
+    Rule(35, "WCAG-1.2", "1.2 Time-based Media", "1.2 Time-based Media", "WCAG", "MEDIUM"),
+    Rule(36, "WCAG-1.3", "1.3 Adaptable", "1.3 Adaptable", "WCAG", "HIGH"),
+    Rule(37, "WCAG-1.4", "1.4 Distinguishable", "1.4 Distinguishable", "WCAG", "MEDIUM", machine_testable=False),
+    Rule(38, "WCAG-2.1", "2.1 Keyboard Accessible", "2.1 Keyboard Accessible", "WCAG", "HIGH"),
+    Rule(39, "WCAG-2.2", "2.2 Enough Time", "2.2 Enough Time", "WCAG", "LOW"),
+    Rule(40, "WCAG-2.3", "2.3 Seizures and Physical Reactions", "2.3 Seizures and Physical Reactions", "WCAG", "CRITICAL"),
+    Rule(41, "WCAG-2.4", "2.4 Navigable", "2.4 Navigable", "WCAG", "HIGH"),
+    Rule(42, "WCAG-2.5", "2.5 Input Modalities", "2.5 Input Modalities", "WCAG", "LOW"),
+    Rule(43, "WCAG-3.1", "3.1 Readable", "3.1 Readable", "WCAG", "HIGH"),
+    Rule(44, "WCAG-3.2", "3.2 Predictable", "3.2 Predictable", "WCAG", "MEDIUM"),
+    Rule(45, "WCAG-3.3", "3.3 Input Assistance", "3.3 Input Assistance", "WCAG", "HIGH"),
+    Rule(46, "WCAG-4.1", "4.1 Compatible", "4.1 Compatible", "WCAG", "HIGH"),
+    Rule(47, "QUAL-HEAD-001", "Heading Hierarchy Integrity", "Heading Structure", "Quality", "MEDIUM", machine_testable=False),
+    Rule(48, "QUAL-STRUCT-001", "Structural Quality & Ergonomics", "Structure Quality", "Quality", "LOW", machine_testable=False),
+    Rule(49, "QUAL-TABLE-001", "Completeness of Table Elements", "Table Quality", "Quality", "HIGH"),
+    Rule(50, "QUAL-LINK-001", "Meaningful Link Labels", "Link Quality", "Quality", "LOW", machine_testable=False),
+    Rule(51, "QUAL-BOUND-001", "Tagged Content Page Boundaries", "Content Quality", "Quality", "HIGH"),
+    Rule(52, "QUAL-TOC-001", "TOCI Elements Contain Link Elements", "Heading & Navigation Quality", "Quality", "HIGH"),
+    Rule(53, "QUAL-TOC-002", "TOCI Elements Linked to Headings", "Heading & Navigation Quality", "Quality", "MEDIUM"),
+    Rule(54, "QUAL-TEXT-001", "Alternative Text on Text Elements", "Alternative Text Quality", "Quality", "MEDIUM"),
+    Rule(55, "QUAL-ALT-001", "Validity of Alternate Text", "Alternative Text Quality", "Quality", "HIGH"),
+    Rule(56, "QUAL-NOTE-001", "Note Elements are Referenced", "Structure & Note Quality", "Quality", "HIGH"),
+    Rule(57, "QUAL-NOTE-002", "Note Elements Contain Lbl Elements", "Structure & Note Quality", "Quality", "MEDIUM"),
+    Rule(58, "QUAL-NOTE-003", "P Elements Contain Note Elements", "Structure & Note Quality", "Quality", "LOW"),
+    Rule(59, "QUAL-ART-001", "Artifacted Content on Page Body", "Content Quality", "Quality", "HIGH"),
+    Rule(60, "QUAL-LINK-002", "Completeness of Link Elements", "Link Quality", "Quality", "HIGH"),
+    Rule(61, "QUAL-WHITE-001", "Tagged text consists of only whitespace", "Content Quality", "Quality", "HIGH"),
+    Rule(62, "QUAL-TITLE-001", "Validity of Document Title", "Validity of document title", "Quality", "HIGH"),
+    Rule(63, "QUAL-BOOKMARK-001", "Bookmarks If Headings Present", "Presence of bookmarks (document outline) if there are headings", "Quality", "MEDIUM"),
+    Rule(64, "QUAL-LIST-001", "Formal Correctness of LI Elements", 'Formal correctness of "LI" elements', "Quality", "HIGH"),
+    Rule(65, "AI-ALT-001", "Alt-Text Semantic Quality", "AI Alt-Text Evaluation", "AI", "MEDIUM"),
+    Rule(66, "AI-READ-001", "Cognitive Readability Score", "Cognitive Accessibility", "AI", "INFO"),
+    Rule(67, "AI-OUTLINE-001", "Structural Outline Consistency", "Structural AI", "AI", "INFO"),
+]
+RULES = {r.check_id: r for r in CATALOGUE}
 
 #: Matrix categories in their order (fixed values), and where findings go.
 CATEGORIES = {
@@ -188,7 +180,24 @@ CATEGORIES = {
     "AI": ["Classification of the elements", "Unrecognized structural elements", "Missing structural elements"],
 }
 PDFUA_MOVES = {"Tables": "Structure elements", "Forms": "Structure elements", "Artifacts": "Content", "Syntax": "PDF Syntax (ISO 32000-1)", "PDF Syntax": "PDF Syntax (ISO 32000-1)"}
-QUALITY_OF = dict(zip("QUAL-TITLE-001 QUAL-ART-001 QUAL-WHITE-001 QUAL-BOUND-001 QUAL-HEAD-001 QUAL-BOOKMARK-001 QUAL-TOC-001 QUAL-TOC-002 QUAL-TEXT-001 QUAL-ALT-001 QUAL-LINK-002 QUAL-LIST-001 QUAL-TABLE-001 QUAL-NOTE-001 QUAL-NOTE-002 QUAL-NOTE-003".split(), CATEGORIES["Quality"]))
+QUALITY_OF = {
+    "QUAL-TITLE-001": 'Validity of document title',
+    "QUAL-ART-001": 'Artifacted content on page body',
+    "QUAL-WHITE-001": 'Tagged text consists of only whitespace',
+    "QUAL-BOUND-001": 'Tagged content exists outside of the page boundaries',
+    "QUAL-HEAD-001": 'Presence of headings',
+    "QUAL-BOOKMARK-001": 'Presence of bookmarks (document outline) if there are headings',
+    "QUAL-TOC-001": '"TOCI" elements contain "Link" elements',
+    "QUAL-TOC-002": '"TOCI" elements correctly linked to headings',
+    "QUAL-TEXT-001": 'Alternative text on text elements',
+    "QUAL-ALT-001": 'Validity of alternate text',
+    "QUAL-LINK-002": 'Completeness of "Link" elements',
+    "QUAL-LIST-001": 'Formal correctness of "LI" elements',
+    "QUAL-TABLE-001": 'Completeness of "Table" elements',
+    "QUAL-NOTE-001": '"Note" elements are referenced',
+    "QUAL-NOTE-002": '"Note" elements contain "Lbl" elements',
+    "QUAL-NOTE-003": '"P" elements contain "Note" elements',
+}
 AI_MOVES = {"AI Alt-Text Evaluation": CATEGORIES["AI"][0], "Cognitive Accessibility": CATEGORIES["AI"][1], "Structural AI": CATEGORIES["AI"][2]}
 
 #: Categories and names under which an external oracle lists the engine's rules (fixed values).
