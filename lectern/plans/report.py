@@ -58,8 +58,15 @@ def matrix(standard: str) -> str:
     else:
         # A category that is not in the list goes to the one whose first three characters it shares.
         found = f"SELECT f.doc_id, coalesce(c.category, f.category) AS category, f.status, f.items_count FROM $findings f LEFT JOIN {_seed(standard)} c ON substr(c.category, 1, 3) = substr(f.category, 1, 3) WHERE lower(f.standard) = 'wcag'"
-    extra = ", CAST(coalesce(sum(CASE WHEN status = 'NOT APPLICABLE' THEN greatest(items_count, 1) ELSE 0 END), 0) AS BIGINT) AS not_applicable" if standard == "WCAG" else ""
-    return f"SELECT d.doc_id, c.ord, c.category, {COUNTS}{extra} FROM $documents d CROSS JOIN {_seed(standard)} c LEFT JOIN ({found}) f ON f.doc_id = d.doc_id AND f.category = c.category GROUP BY d.doc_id, c.ord, c.category"
+    names = ["passed", "warned", "failed", "manual"]
+    extra = ""
+    if standard == "WCAG":
+        names.append("not_applicable")
+        extra = ", CAST(coalesce(sum(CASE WHEN status = 'NOT APPLICABLE' THEN greatest(items_count, 1) ELSE 0 END), 0) AS BIGINT) AS not_applicable"
+    # Findings are added up before they meet the seed of categories.
+    sums = f"SELECT doc_id, category, {COUNTS}{extra} FROM ({found}) f GROUP BY doc_id, category"
+    cols = ", ".join(f"coalesce(f.{n}, 0) AS {n}" for n in names)
+    return f"SELECT d.doc_id, c.ord, c.category, {cols} FROM $documents d CROSS JOIN {_seed(standard)} c LEFT JOIN ({sums}) f ON f.doc_id = d.doc_id AND f.category = c.category"
 
 
 def icons(standard: str) -> str:

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.sql import Duck, Spark, bound, strip, tables_in
-from lectern.operators import quality
+from lectern.operators import quality, reading
 from lectern.plans import compare, marks, report
 from lectern.plans.audit import EVALUATORS, FINDINGS, ansi, rule_sql
 from lectern.plans.stage import written
-from lectern.sources import star
+from lectern.sources import pdf, pdf_writer, star
 from lectern.sources.load import audited_corpus, prepared_corpus, table
 
 #: Oracle records (synthetic): what another checker might say of the same documents.
@@ -105,6 +105,30 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compared(corpus.sql(report.engine_records()), written(corpus.sql(ORACLE), "oracle"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """PDF files made of the star projection's trees (a file a document) and read again from their bytes."""
+    corpus = prepared_corpus(spark, sf_dir)
+    return pdf.extracted(pdf_writer.tagged_files(corpus.sql("SELECT doc_id, pos, depth, tag, alt_text, title, row_span, col_span, text_content FROM $nodes WHERE tag <> 'StructTreeRoot'")))
+
+
+def pdf_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure elements that the PDF reader finds in those files."""
+    return _files(spark, sf_dir)["nodes"].where("pos > 0").select("doc_id", "pos", "depth", "subtree_end", "tag", "alt_text", "title", "row_span", "col_span")
+
+
+def pdf_marked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked content that the PDF reader finds in those files."""
+    return _files(spark, sf_dir)["page_mcids"].select("doc_id", "page_number", "mcid", "text")
+
+
+#: What the files were made of, so what reading them must give: ranks of elements, and their texts
+#: (content under an artifact's tag is none).
+PDF_ORACLES = {
+    "pdf_structure": "SELECT n.doc_id, n.pos, n.depth_in_file AS depth, n.subtree_end, n.tag, n.alt_text, n.title, n.row_span, n.col_span FROM (SELECT a.*, 1 + (SELECT count(*) FROM $nodes b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND a.pos <= b.subtree_end AND b.tag <> 'StructTreeRoot') AS depth_in_file FROM $nodes a) n WHERE n.tag <> 'StructTreeRoot'",
+    "pdf_marked_content": "SELECT doc_id, 1 AS page_number, pos AS mcid, text_content AS text FROM $nodes WHERE tag NOT IN ('StructTreeRoot', 'Artifact')",
+}
+
+
 def _run_plain(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     sql = text(Spark())
     views = {}
@@ -120,6 +144,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = lambda spark, sf_dir, t=text: _run_star(spark, sf_dir, t)
     for name, text in _plain().items():
         out[name] = lambda spark, sf_dir, t=text: _run_plain(spark, sf_dir, t)
+    out["reading_order"] = lambda spark, sf_dir: reading.reading(prepared_corpus(spark, sf_dir))
+    out["reading_totals"] = lambda spark, sf_dir: reading.totals(reading.reading(prepared_corpus(spark, sf_dir)))
+    out["reading_transcript"] = lambda spark, sf_dir: reading.transcript(reading.reading(prepared_corpus(spark, sf_dir)))
+    out["pdf_structure"] = pdf_structure
+    out["pdf_marked_content"] = pdf_marked_content
     out["oracle_comparison"] = _compared
     out["comparison_rollup"] = lambda spark, sf_dir: compare.rolled_up(_compared(spark, sf_dir))
     return out
@@ -129,4 +158,5 @@ def oracle_sql() -> dict[str, str]:
     d = Duck()
     known = {**star.ENTITIES, "findings": findings_sql(d)}
     out = {name: ansi(text(d), known) for name, text in _star().items()}
+    out |= {name: ansi(text, known) for name, text in PDF_ORACLES.items()}
     return out | {name: bound(text(d), {t: t for t in tables_in(text(d))}) for name, text in _plain().items()}

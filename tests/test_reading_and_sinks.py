@@ -17,6 +17,24 @@ def test_reading(spark):
     assert "LIST ITEM 1." in said[1] and "A bridge" in said[1] and "HEADING LEVEL 3: c" in said[2] and "untagged" in said[3]
 
 
+def test_reading_cases(spark):
+    c = corpus(spark, {
+        1: {"tree": [("H", {"text_content": "bare"}), ("L", ("LI", ("LBody", ("H", {"text_content": "inner"}))))]},
+        2: {"tree": [("P", {"text_content": "x", "is_artifact": True}, ("Span", {"text_content": "gone"})), ("Sect", {"is_artifact": True}, ("P", {"text_content": "kept"})), ("MATH", {"alt_text": " "}), ("Figure", {"is_artifact": True})]},
+        3: {"tree": [("L", ("LI", {"text_content": "1. own words"})), ("Table", {"title": "T"}, ("Caption", {"text_content": "Cap"}), ("TR", ("TH", {"text_content": "a"}), ("TD", {"text_content": "b"})))]},
+        4: {"tree": [("P", {"text_content": "same"}, ("Span", {"text_content": "same"}), ("Span", {"text_content": "more"}))]},
+        5: {"tree": [("P", {"text_content": "lead"}, ("Figure", {"alt_text": "fig"}))]},
+    })
+    got = {}
+    for r in reading.reading(c).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.depth, r.text))
+    assert got[1] == [("heading1", 0, "bare"), ("list", 0, "1"), ("list_item", 1, ""), ("heading3", 2, "inner")]
+    assert [k for k, _, _ in got[2]] == ["artifact", "paragraph", "formula_empty", "figure_artifact"] and got[2][1][2] == "kept"
+    assert got[3] == [("list", 0, "1"), ("list_item", 1, ""), ("body", 2, "1. own words"), ("table", 0, "Cap"), ("header_cell", 1, "a"), ("cell", 1, "b")]
+    assert got[4] == [("paragraph", 0, "same more")]
+    assert got[5] == [("paragraph", 0, ""), ("figure", 0, "fig")]
+
+
 def test_sinks(spark, tmp_path):
     c = corpus(spark, {1: {"tree": ["H1"]}, 2: {"tree": []}})
     found = c.audited(f"file://{tmp_path}/f", rules=["QUAL-HEAD-001", "PDFUA-META-001"])
