@@ -54,9 +54,12 @@ def _star() -> dict[str, Callable[[object], str]]:
     lost, private = "[\\x{FFFD}]", "[\\x{E000}-\\x{F8FF}]"
     own = "coalesce(n.text_content, '')"
     out["decoding_anomalies"] = lambda d: f"SELECT n.doc_id, n.node_id, {d.matches(f"concat(coalesce(n.actual_text, ''), {own})", lost)} OR ({d.matches(own, private)} AND NOT (f.in_formula OR f.in_artifact OR f.has_text OR coalesce(n.actual_text <> '', false))) AS has_decoding_error FROM $nodes n JOIN $flags f ON f.doc_id = n.doc_id AND f.node_id = n.node_id"
+    out["bbox_states"] = lambda d: "SELECT doc_id, bbox_state, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN struct_bbox_valid THEN 1 END) AS BIGINT) AS boxed FROM $nodes GROUP BY doc_id, bbox_state"
+    out["html_report_filter"] = lambda d: report.search(statuses=("FAIL",))
+    out["problem_list"] = lambda d: report.search(statuses=("FAIL", "WARNING", "ERROR"))
     out["document_info"] = lambda d: report.document_info()
     out["tag_tree"] = lambda d: report.tag_tree()
-    out["metadata_sheet"] = lambda d: report.metadata_sheet()
+    out["metadata_sheet"] = lambda d: report.metadata_sheet(d)
     out["batch_summary"] = lambda d: report.batch_summary()
     out["totals"] = lambda d: report.totals()
     for standard, short in (("PDF/UA", "pdfua"), ("WCAG", "wcag"), ("Quality", "quality"), ("AI", "heuristics")):

@@ -11,7 +11,7 @@ PROBLEMS = (FAIL, WARNING, ERROR)
 
 #: Entity tables and their columns, all keyed by doc_id.  Ordered lists carry an ordinal.
 ENTITIES = {
-    "documents": "doc_id long, filename string, pdf_version string, page_count int, title string, doc_info_title string, xmp_dc_title string, language string, is_tagged boolean, has_structure_tree boolean, is_encrypted boolean, allows_extraction boolean, display_doc_title boolean, has_suspects boolean, xmp_metadata_present boolean, pdfua_identifier_present boolean, pdfua_part int, has_parent_tree boolean, parent_tree_valid boolean, parent_tree_entries_count int, embedded_files_count int, bookmarks_count int, stream_text_strings int",
+    "documents": "doc_id long, filename string, pdf_version string, page_count int, title string, doc_info_title string, xmp_dc_title string, language string, is_tagged boolean, has_structure_tree boolean, is_encrypted boolean, allows_extraction boolean, display_doc_title boolean, has_suspects boolean, xmp_metadata_present boolean, pdfua_identifier_present boolean, pdfua_part int, has_parent_tree boolean, parent_tree_valid boolean, parent_tree_entries_count int, embedded_files_count int, bookmarks_count int, stream_text_strings int, filepath string, filesize long, author string, subject string, xmp_dc_description string, keywords string, creator string, producer string, creation_date string, modification_date string",
     "nodes": "doc_id long, node_id string, parent_id string, pos int, subtree_end int, depth int, tag string, standard_tag string, title string, alt_text string, actual_text string, lang string, page int, attr_o string, attr_type string, attr_placement string, attr_ref string, attr_dest string, bbox_state string, struct_bbox_valid boolean, has_area boolean, has_explicit_bbox boolean, placement string, obj_num int, has_pg_attr boolean, is_artifact boolean, text_content string, row_span int, col_span int",
     "node_mcids": "doc_id long, node_id string, ord int, mcid int, explicit_page int, is_entry boolean",
     "node_pages": "doc_id long, node_id string, page int",

@@ -53,3 +53,20 @@ def oracle_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"pdf_id": [r[0].strip() for r in rows], "page": pages, "category": [r[2].strip() for r in rows], "check_name": [r[3].strip() for r in rows], "status": status, "ord": range(len(rows))})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content").mapInPandas(run, SCHEMA)
+
+
+REFERENCE = "pdf_id string, page int, category string, check_name string, status string, severity string, ord int"
+
+
+def reference_records(spark: SparkSession, path: str) -> DataFrame:
+    """The same records as they stand in the sheets, statuses only upper-cased, with the severity of a sixth cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for data in f.content:
+                rows = [r for r in sheet_rows(data)[1:] if len(r) >= 5 and r[0].strip()]
+                pages = pd.array([int(float(r[1])) if re.fullmatch(r"\s*\d+(\.0*)?\s*", r[1]) else None for r in rows], dtype="Int32")
+                cell = lambda k: [r[k].strip() if len(r) > k else "" for r in rows]
+                yield pd.DataFrame({"pdf_id": cell(0), "page": pages, "category": cell(2), "check_name": cell(3), "status": [x.upper() for x in cell(4)], "severity": cell(5), "ord": range(len(rows))})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content").mapInPandas(run, REFERENCE)

@@ -657,7 +657,8 @@ class Reader:
         get, at, root = self.file.get, self.file.at, self.file.root
         packet = self.file.content(root.get("Metadata")).decode("utf-8", "replace") if root.get("Metadata") is not None else ""
         said = xmp(packet)
-        title = self.file.text(at(self.file.trailer.get("Info"), "Title"))
+        info = lambda k: self.file.text(at(self.file.trailer.get("Info"), k))
+        title = info("Title")
         version = get(root.get("Version"))
         entries = [r for r in self.rows["parent_tree"]]
         names = at(root, "Names", "EmbeddedFiles")
@@ -666,6 +667,7 @@ class Reader:
             is_tagged=at(root, "MarkInfo", "Marked") is True, has_structure_tree=self.tree is not None, is_encrypted=False, allows_extraction=True, display_doc_title=at(root, "ViewerPreferences", "DisplayDocTitle") is True, has_suspects=at(root, "MarkInfo", "Suspects") is True,
             xmp_metadata_present=bool(packet), pdfua_identifier_present=said["part"] is not None, pdfua_part=said["part"], has_parent_tree=isinstance(at(self.tree, "ParentTree"), dict), parent_tree_valid=bool(entries), parent_tree_entries_count=len({r["sp_id"] for r in entries}),
             embedded_files_count=len(get(names.get("Names")) or []) // 2 if isinstance(names, dict) else 0, bookmarks_count=self._bookmarks(), stream_text_strings=self.strings,
+            filesize=len(self.file.data), author=info("Author"), subject=info("Subject"), xmp_dc_description=said["description"], keywords=info("Keywords"), creator=info("Creator"), producer=info("Producer"), creation_date=info("CreationDate"), modification_date=info("ModDate"),
         )
 
 

@@ -15,11 +15,12 @@ def audit_stream(spark: SparkSession, arriving: str, entities: str, out: str, ch
     Each batch writes out/batch=N anew, so a batch that runs again after a failure replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession  # a micro-batch lives in a session of its own, and so must its views
         frames = {"documents": batch.persist()}
         for name in ENTITIES:
             if name != "documents":
-                frames[name] = spark.read.schema(ENTITIES[name]).parquet(f"{entities}/{name}").join(frames["documents"].select("doc_id"), "doc_id", "left_semi")
-        Corpus(spark, frames).audited(f"{out}/batch={number}", rules)
+                frames[name] = own.read.schema(ENTITIES[name]).parquet(f"{entities}/{name}").join(frames["documents"].select("doc_id"), "doc_id", "left_semi")
+        Corpus(own, frames).audited(f"{out}/batch={number}", rules)
         batch.unpersist()
 
     stream = spark.readStream.schema(ENTITIES["documents"]).parquet(arriving)

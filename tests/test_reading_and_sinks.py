@@ -46,6 +46,41 @@ def test_sinks(spark, tmp_path):
     assert sinks.html_rows(found).count() == 2
 
 
+def test_more_sinks(spark, tmp_path):
+    from lectern.plans import compare
+    from lectern.sources import pdf
+
+    c = corpus(spark, {1: {"tree": ["H1"]}, 2: {"tree": [], "xmp_metadata_present": False}}, pages=[{"doc_id": 1, "page_number": 1}], page_mcids=[{"doc_id": 1, "page_number": 1, "ord": i, "mcid": i} for i in range(30)])
+    found = c.audited(f"file://{tmp_path}/f", rules=["QUAL-HEAD-001", "PDFUA-META-001"])
+    data = {r.doc_id: json.loads(r.report) for r in sinks.json_reports(c, found).collect()}
+    cells = {x["category"]: x for x in data[2]["category_breakdown"]["PDF/UA"]}
+    assert list(data[2]["category_breakdown"]) == ["PDF/UA", "WCAG", "Quality", "AI"] and len(cells) == 11 and cells["Metadata"]["failed"] == 1
+    dump = {r.doc_id: json.loads(r.dump) for r in sinks.diagnostics(c).collect()}
+    assert dump[1]["structure"]["total_elements"] == 2 and dump[1]["pages"][0]["mcids"] == list(range(20))
+    files = {r.doc_id: bytes(r.content) for r in sinks.pdf_reports(c, found).collect()}
+    text = pdf.rows_of(files[2], 2, "r.pdf")["pages"][0]["text"]
+    assert "Audit of a.pdf" in text and "PDFUA-META-001" in text and "PDFUA-META-001" not in pdf.rows_of(files[1], 1, "r.pdf")["pages"][0]["text"]
+    side = "doc_id long, category string, check_name string, page int, status string, ord int"
+    made = compare.compared(spark.createDataFrame([(1, "Fonts", "F", 1, "FAIL", 1), (1, "Own", "O", 1, "PASS", 2)], side), spark.createDataFrame([(1, "Fonts", "F", 1, "PASS", 1)], side))
+    whole, said = sinks.regression_report(made)
+    assert json.loads(whole)["totals"] == {"ENGINE_ONLY": 1, "STATUS_MISMATCH": 1} and "| 1 | 1 | F | STATUS_MISMATCH | PASS | FAIL |" in said
+    assert "show('WARNING')" in sinks.html_rows(found).first().html
+
+
+def test_stream_of_documents(spark, tmp_path):
+    from lectern.schema import ENTITIES
+    from lectern.streaming.incremental import audit_stream
+
+    c = corpus(spark, {1: {"tree": ["H1"]}, 2: {"tree": ["H2"]}})
+    for name in ENTITIES:
+        c.frames[name].write.parquet(f"file://{tmp_path}/in/{name}")
+    go = lambda: audit_stream(spark, f"file://{tmp_path}/in/documents", f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/ck", ["QUAL-HEAD-001"]).awaitTermination()
+    go()
+    go()  # nothing new: nothing again
+    got = spark.read.parquet(*[f"file://{p}" for p in tmp_path.glob("out/batch=*/*")]).collect()
+    assert sorted((r.doc_id, r.status) for r in got) == [(1, "PASS"), (2, "WARNING")]
+
+
 def test_sheet():
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     f = io.BytesIO()
