@@ -26,8 +26,9 @@ THRESHOLD = 0.5
 #: Code points of context kept on each side of a candidate.
 NEAR = 48
 
-#: A run of 16 or more characters keys are made of, or 8 or more after an assignment to a telling name.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}|(?<=[:=][\x20\"']{0,3})(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=!@#$%^&*-]{8,}"
+#: A run of 16 or more characters keys are made of, padding at its end, or 8 or more after an assignment
+#: to a name.  A name and its = are no part of the value.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}(?:={1,2}(?![A-Za-z0-9+/=]))?|(?<=[:=][\x20\"']{0,3})(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.=!@#$%^&*-]{8,}"
 #: Words that name a secret, words that name something else of that look, and formats.
 SECRET_NAMES = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|client.?secret|signature|license.?key"
 OTHER_NAMES = "sha1|sha256|sha512|md5|hash|digest|checksum|commit|revision|etag|uuid|guid|serial|isbn|build|version|image|path|file|src|href|url|http"
