@@ -42,14 +42,11 @@ def test_sentencepiece(docs, texts, odd, none):
 
     model = sentencepiece_bpe.model_bytes()
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
-    for r in sentencepiece_bpe.round_trip(docs).union(sentencepiece_bpe.round_trip(odd)).collect():
-        if r.doc_id is None:
-            continue
-        text = dict(ODD).get(r.doc_id, texts.get(r.doc_id)) or "" if r.doc_id in dict(ODD) and r.doc_id not in texts else None
-        if text is None:
-            continue
-        ids = library.encode(text, add_eos=True)
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    for source, table in ((texts, docs), (dict(ODD), odd)):
+        for r in sentencepiece_bpe.round_trip(table).collect():
+            text = source[r.doc_id] or ""
+            ids = library.encode(text, add_eos=True)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
     for text in [*texts.values(), *(t or "" for _, t in ODD), "  a   b ", "▁▁x ▁ y", "\n\n\ta\n b", "<s>é</s>", "    "]:
         ids = sentencepiece_bpe.encode(text, model)
         assert ids == library.encode(text, add_eos=True) and sentencepiece_bpe.decode(ids, model) == library.decode(ids)
