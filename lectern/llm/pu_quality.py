@@ -50,8 +50,11 @@ def features(text: str | None) -> np.ndarray:
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     again = 0.0
     if n > 3 and len(number) < n:
-        k = min(len(number), 2_000_000)
-        code = (w[:-2] % k * k + w[1:-1] % k) * k + w[2:] % k
+        k = len(number)
+        pairs = w[:-2] * k + w[1:-1]
+        if k > 2_000_000:  # three numbers of words no longer fit into one integer: number the pairs
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        code = pairs * k + w[2:]
         again = 1 - len(np.unique(code)) / len(code)
     return np.array([
         np.log1p(n), lengths.mean(), lengths.std(), share(UPPER), share(DIGITS), share(SYMBOLS), share(STOPS), share(b"!"), share(b"|"),
