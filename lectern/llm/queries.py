@@ -65,5 +65,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+#: op5 by its definition: all pairs that share a shingle, their exact overlaps, and who reaches whom.
+OP5_SQL = r"""
+WITH RECURSIVE
+bags AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+each_word AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS place, len(words) AS many FROM bags),
+windows AS (SELECT rid, many, place, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM each_word WINDOW o AS (PARTITION BY rid ORDER BY place)),
+grams AS (SELECT DISTINCT rid, concat_ws(' ', w1, w2, w3, w4) AS gram FROM windows WHERE w4 IS NOT NULL OR many < 4 AND place = 1),
+sizes AS (SELECT b.rid, b.doc_id, count(g.gram) AS n FROM bags b LEFT JOIN grams g USING (rid) GROUP BY ALL),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM common c JOIN sizes x ON x.rid = c.a JOIN sizes y ON y.rid = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+paired AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, p.b FROM reach r JOIN paired p ON p.a = r.b)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, m.component_id FROM sizes s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard": OP5_SQL}
