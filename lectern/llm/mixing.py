@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +23,8 @@ MAX_REPEATS = 1.5
 BLOCKS = 1024
 SEED = 20240601
 BROADCAST_ROWS = 200_000
-MAX_SOURCES = 1_000_000
+#: The exponent is found to within 2 ** -HALVINGS, AHEAD halvings in a job.
+HALVINGS, AHEAD = 40, 5
 
 NO_SOURCE = "\u0000"
 
@@ -35,58 +35,75 @@ def n_tokens(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def weights(tokens: np.ndarray, exponent: float) -> np.ndarray:
-    logs = np.where(tokens > 0, np.log(np.maximum(tokens, 1)), -np.inf) * 1.0
-    logs = np.where(tokens > 0, exponent * (logs - logs[tokens > 0].max()), -np.inf)
-    w = np.exp(logs)
-    return w / w.sum()
+class Curve:
+    """What weights of one exponent come to, over all sources of (tokens): their normaliser and entropy.
 
+    Sources stay where they are.  An exponent's figures are two sums over them, in logarithms relative
+    to the largest source, and one job gives the figures of many exponents, a row each."""
 
-def repeats(tokens: np.ndarray, w: np.ndarray, budget: float | None) -> np.ndarray:
-    """Times each source is read.  Without a budget it is the least that reads every source whole."""
-    live = tokens > 0
-    total = budget if budget is not None else (tokens[live] / w[live]).max()
-    return np.where(live, total * w / np.maximum(tokens, 1), 0.0)
+    def __init__(self, totals: DataFrame):
+        self.live = totals.where("tokens > 0").select(F.log(F.col("tokens").cast("double")).alias("log"))
+        got = self.live.agg(F.min("log").alias("low"), F.max("log").alias("high")).first()
+        self.low, self.high = got["low"], got["high"]
+        self.known: dict[float, tuple[float, float]] = {}
 
+    def at(self, exponents: list[float]) -> dict[float, tuple[float, float]]:
+        """Per exponent: the sum of the weights before they are normalised, and their entropy in bits."""
+        new = [x for x in exponents if x not in self.known]
+        if new:
+            rel = F.col("x") * (F.col("log") - F.lit(self.high))
+            each = self.live.select("log", F.explode(F.array(*[F.lit(x) for x in new])).alias("x"))
+            for r in each.groupBy("x").agg(F.sum(F.exp(rel)).alias("s"), F.sum(rel * F.exp(rel)).alias("e")).collect():
+                self.known[r["x"]] = (r["s"], math.log2(r["s"]) - r["e"] / r["s"] / math.log(2))
+        return {x: self.known[x] for x in exponents}
 
-def bisected(tokens: np.ndarray, budget: float | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> float:
+    def total(self, x: float, budget: float | None) -> float:
+        """The mixture's tokens.  Without a budget it is the least that reads every source whole: as a
+        weight grows no faster than its source, the largest source is the last to be."""
+        return budget if budget is not None else math.exp(self.high) * self.known[x][0]
+
+    def most_repeats(self, x: float, budget: float | None) -> float:
+        """Times the smallest source is read, which is the most any source is."""
+        return self.total(x, budget) / self.known[x][0] * math.exp(x * (self.low - self.high) - self.low)
+
+
+def bisected(curve: Curve, budget: float | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> float:
     """The exponent: the least whose largest repetition is within max_repeats, or the one whose
-    weights have the given entropy in bits (clamped to what exponents from 0 to 1 can reach)."""
+    weights have the given entropy in bits (clamped to what exponents from 0 to 1 can reach).
+
+    Each job takes the midpoints that the next AHEAD bisections can come to."""
 
     def too_flat(x: float) -> bool:
-        w = weights(tokens, x)
-        if entropy is not None:
-            v = w[w > 0]
-            return float(-(v * np.log2(v)).sum()) > entropy
-        return float(repeats(tokens, w, budget).max()) > max_repeats
+        return curve.known[x][1] > entropy if entropy is not None else curve.most_repeats(x, budget) > max_repeats
 
     low, high = 0.0, 1.0
+    curve.at([low, high])
     if not too_flat(low):
         return low
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if too_flat(mid) else (low, mid)
+    for _ in range(0, HALVINGS, AHEAD):
+        parts = 2**AHEAD
+        curve.at([low + (high - low) * k / parts for k in range(1, parts)])
+        for step in range(AHEAD):
+            mid = (low + high) / 2
+            low, high = (mid, high) if too_flat(mid) else (low, mid)
     return high
 
 
 def _plan(docs: DataFrame, p: str, budget, max_repeats, entropy) -> DataFrame:
     """Which block of which source is read in which epoch, and where: source, block, epoch,
     block_rank, order_key.  At most BLOCKS rows a source and epoch."""
-    spark = docs.sparkSession
     blocks = staged(docs.groupBy(f"{p}source", f"{p}block").agg(F.sum(f"{p}tokens").alias("tokens")), "blocks")
-    totals = blocks.groupBy(f"{p}source").agg(F.sum("tokens").alias("tokens"))
-    if totals.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = totals.orderBy(f"{p}source").toPandas()
-    tokens = sources.tokens.to_numpy(np.float64)
-    if not (tokens > 0).any():
-        rows = [(s, 1, 0.0) for s in sources[f"{p}source"]]
-    else:
-        w = weights(tokens, bisected(tokens, budget, max_repeats, entropy))
-        times = repeats(tokens, w, budget)
-        # A source of no tokens costs no budget: once.  Whole epochs keep a hair of rounding.
-        rows = [(s, 1, 0.0) if not t else (s, math.floor(x + 1e-9), max(0.0, x - math.floor(x + 1e-9)) * t) for s, t, x in zip(sources[f"{p}source"], tokens.tolist(), times.tolist())]
-    shares = spark.createDataFrame(rows, f"`{p}source` string, epochs int, rest double") if rows else spark.createDataFrame([], f"`{p}source` string, epochs int, rest double")
+    totals = staged(blocks.groupBy(f"{p}source").agg(F.sum("tokens").alias("tokens")), "sources")
+    curve = Curve(totals)
+    times = F.lit(0.0)
+    if curve.high is not None:
+        x = bisected(curve, budget, max_repeats, entropy)
+        log = F.log(F.col("tokens").cast("double"))
+        times = F.when(F.col("tokens") > 0, F.exp(F.lit(x) * (log - F.lit(curve.high)) - log) * F.lit(curve.total(x, budget) / curve.known[x][0])).otherwise(F.lit(0.0))
+    # A source of no tokens costs no budget: once.  Whole epochs keep a hair of rounding.
+    whole_epochs = F.floor(F.col("times") + F.lit(1e-9))
+    rest = F.greatest(F.lit(0.0), F.col("times") - whole_epochs) * F.col("tokens")
+    shares = totals.withColumn("times", times).select(f"{p}source", F.when(F.col("tokens") > 0, whole_epochs).otherwise(F.lit(1)).cast("int").alias("epochs"), F.when(F.col("tokens") > 0, rest).otherwise(F.lit(0.0)).alias("rest"))
     each = blocks.join(shares, f"{p}source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
     shuffled = W.partitionBy(f"{p}source", "epoch").orderBy(F.xxhash64(F.lit(SEED), f"{p}source", "epoch", f"{p}block"), f"{p}block")
     ranked = each.withColumn("block_rank", F.row_number().over(shuffled)).withColumn("before", F.sum("tokens").over(shuffled) - F.col("tokens"))

@@ -241,6 +241,18 @@ def test_ngram_jaccard(spark, texts, large, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), want[d]) for d in sets}
 
 
+def test_ngram_jaccard_oracle(spark):
+    import duckdb
+
+    from lectern.llm import queries
+
+    for sf_dir in (SF, "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        want = con.execute(queries.oracle_sql()["op5_ngram_jaccard"]).fetchall()
+        assert sorted(want) == sorted(map(tuple, queries.op5_ngram_jaccard(spark, sf_dir).collect()))
+
+
 def test_ngram_odd_rows(odd, none):
     got = ngram_jaccard.joined(odd).collect()
     assert len(got) == len(ODD)
@@ -261,12 +273,71 @@ def test_r_tree_is_exact():
         assert set(tree.search(p[i], int(n[i]))[0].tolist()) == want
 
 
+def brute_weights(tokens, exponent):
+    w = np.where(tokens > 0, tokens, 1.0) ** exponent * (tokens > 0)
+    return w / w.sum()
+
+
+def brute_exponent(tokens, max_repeats=None, entropy=None):
+    """The least of a fine grid of exponents that meets the target."""
+    for x in np.linspace(0, 1, 4001):
+        w = brute_weights(tokens, x)
+        live = tokens > 0
+        if entropy is not None and -(w[live] * np.log2(w[live])).sum() <= entropy:
+            return x
+        if entropy is None and (((tokens[live] / w[live]).max() * w[live]) / tokens[live]).max() <= max_repeats + 1e-12:
+            return x
+    return 1.0
+
+
+@pytest.mark.parametrize("tokens", [[1000, 100, 10], [7], [5, 5, 5], [900, 900, 30, 1, 0], [10**9, 3, 2**20]])
+def test_mixing_exponent(spark, tokens):
+    t = np.array(tokens, np.float64)
+    totals = spark.createDataFrame([(x,) for x in tokens], "tokens long")
+    for aim in ({"max_repeats": 1.0}, {"max_repeats": 2.0}, {"max_repeats": 50.0}, {"max_repeats": None, "entropy": 1.0}):
+        curve = mixing.Curve(totals)
+        x = mixing.bisected(curve, **aim)
+        assert abs(x - brute_exponent(t, **aim)) <= 1 / 4000 + 1e-9
+        w = brute_weights(t, x)
+        assert abs(curve.known[x][1] + (w[t > 0] * np.log2(w[t > 0])).sum()) < 1e-9
+        assert abs(curve.total(x, None) / (t[t > 0] / w[t > 0]).max() - 1) < 1e-9
+
+
+def brute_mixture(rows, max_repeats):
+    """How often each (source, block) is read, from rows of (source, block, tokens)."""
+    blocks, have = collections.Counter(), collections.Counter()
+    for source, block, n in rows:
+        blocks[source, block] += n
+        have[source] += n
+    names = sorted(have)
+    tokens = np.array([have[n] for n in names], np.float64)
+    w = brute_weights(tokens, brute_exponent(tokens, max_repeats))
+    times = (tokens[tokens > 0] / w[tokens > 0]).max() * w / np.maximum(tokens, 1)
+    return {n: (t if k else 1.0) for n, t, k in zip(names, times, tokens)}, blocks, have
+
+
+def test_mixing_budgets(spark):
+    """Each source comes within half a block of its budget, each block a whole or one more time."""
+    rows = [(i, " ".join(["w"] * (i % 13)), s) for k, (s, n) in enumerate((("big", 3000), ("mid", 400), ("tie", 400), ("small", 40), (None, 25))) for i in range(k * 10000, k * 10000 + n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, max_repeats=3.0).collect()
+    at = {r.doc_id: (r.source, r.block) for r in got}
+    want, blocks, have = brute_mixture([(str(s), at[i][1], i % 13) for i, _, s in rows], 3.0)
+    read, epochs = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in got:
+        read[str(r.source)] += r.n_tokens
+        epochs[str(r.source), r.block][r.doc_id, r.epoch] += 1
+    for s, t in want.items():
+        largest = max(n for (x, _), n in blocks.items() if x == s)
+        assert abs(read[s] - t * have[s]) <= largest / 2 + have[s] / 4000 * 8
+    for (s, b), seen in epochs.items():
+        assert set(seen.values()) == {1}  # a document once an epoch
+        per = collections.Counter(d for d, _ in seen)
+        assert len(set(per.values())) == 1 and math.floor(want[s] + 1e-3) <= next(iter(per.values())) <= math.floor(want[s] + 1e-3) + 1
+    assert {r.doc_id for r in got} == {i for i, _, _ in rows}
+
+
 def test_mixing(docs, odd, none):
-    tokens = np.array([1000.0, 100.0, 10.0])
-    a = mixing.bisected(tokens, max_repeats=2.0)
-    assert abs(mixing.repeats(tokens, mixing.weights(tokens, a), None).max() - 2.0) < 1e-6
-    w = mixing.weights(tokens, mixing.bisected(tokens, max_repeats=None, entropy=1.0))
-    assert abs(-(w * np.log2(w)).sum() - 1.0) < 1e-6
     got = mixing.mixed(docs).collect()
     times = collections.Counter(r.doc_id for r in got)
     assert set(times) == {r.doc_id for r in docs.collect()} and max(times.values()) <= 2  # all once, none beyond the limit
@@ -387,6 +458,21 @@ def test_secrets_scores_every_candidate(spark):
     assert found == values and not any(r.is_secret for r in rows if r.doc_id == 4)
 
 
+def test_pu_figures():
+    """Figures against plain counting, words and trigrams by what they are."""
+    for text in ["a b c a b c a b d", "x", "one two\n\none two\nthree | four !", "a a a a", LONG, "", None, " \n", "é é é é 中文"]:
+        got = dict(zip(pu_quality.NAMES, pu_quality.features(text)))
+        words = (text or "").encode().split()
+        if not words:
+            assert set(got.values()) == {0.0}
+            continue
+        grams = list(zip(words, words[1:], words[2:]))
+        lines = [x for x in (text or "").encode().split(b"\n") if x.strip()]
+        want = {"log_words": math.log1p(len(words)), "word_length": np.mean([len(w) for w in words]), "distinct": len(set(words)) / len(words), "top_word": max(collections.Counter(words).values()) / len(words),
+                "repeat_trigram": 1 - len(set(grams)) / len(grams) if grams else 0.0, "dup_lines": 1 - len(set(lines)) / len(lines), "one_char_words": np.mean([len(w) == 1 for w in words])}
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_pu_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in pu_quality.classified(docs, labels).collect()}
