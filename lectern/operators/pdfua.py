@@ -55,7 +55,10 @@ def font_unicode(d) -> list[str]:
 def private_use(d) -> list[str]:
     count = lambda x: d.size(d.found(f"coalesce({x}, '')", PRIVATE_USE))
     nodes = f"SELECT n.doc_id, n.pos, coalesce(nullif(n.page, 0), 1) AS page, concat('<', n.tag, ' id=''', n.node_id, '''>') AS ref, {count('n.text_content')} AS cnt0 FROM $nodes n JOIN $flags f ON f.doc_id = n.doc_id AND f.node_id = n.node_id JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE {count('n.text_content')} > 0 AND NOT f.in_formula AND NOT f.has_text AND NOT f.in_artifact"
-    pages = f"SELECT p.doc_id, p.page_number AS pos, p.page_number AS page, concat('Page ', CAST(p.page_number AS STRING)) AS ref, {count('p.text')} AS cnt0 FROM $pages p JOIN $documents t ON t.doc_id = p.doc_id AND NOT t.has_structure_tree WHERE {count('p.text')} > 0"
+    # On pages without structure, characters that an artifact of the page shows are its own.
+    shown = "(SELECT doc_id, page_number, string_agg(text_snippet, '') AS chars FROM $artifacts WHERE text_snippet <> '' GROUP BY doc_id, page_number)"
+    bare = f"(SELECT p.doc_id, p.page_number, CASE WHEN a.chars IS NULL THEN p.text ELSE translate(p.text, a.chars, '') END AS text FROM $pages p JOIN $documents t ON t.doc_id = p.doc_id AND NOT t.has_structure_tree LEFT JOIN {shown} a ON a.doc_id = p.doc_id AND a.page_number = p.page_number WHERE {count('p.text')} > 0)"
+    pages = f"SELECT p.doc_id, p.page_number AS pos, p.page_number AS page, concat('Page ', CAST(p.page_number AS STRING)) AS ref, {count('p.text')} AS cnt0 FROM {bare} p WHERE {count('p.text')} > 0"
     found = f"{nodes} UNION ALL {pages}"
     return [*capped(found, WARNING, "Private-use characters without a replacement text.", 5, None, 1, HIGH, items="s.cnt0"), rows(counted(DOCS, found), PASS, "No private-use characters lack a replacement text.", "s.n0 = 0", "0", branch=2)]
 
@@ -155,9 +158,9 @@ def form_fields(d) -> list[str]:
     tip, name = f"NOT {filled(d, 'tooltip')}", f"(NOT {filled(d, 'name')} OR {strip(d, 'name')} = 'UnnamedField')"
     docs = counted(DOCS, "SELECT * FROM $form_fields", f"SELECT * FROM $form_fields WHERE {tip} OR {name}")
     return [
-        rows(f"(SELECT * FROM $form_fields WHERE {tip})", FAIL, "The form field has no tooltip.", page="s.page", ref="concat('FormField ''', s.name, '''')", severity=HIGH, branch=1, pos="s.ord * 2"),
-        rows(f"(SELECT * FROM $form_fields WHERE {name})", FAIL, "The form field has no name.", page="s.page", ref="'FormField'", severity=HIGH, branch=1, pos="s.ord * 2 + 1"),
-        rows(docs, PASS, "Form fields have tooltips and names.", "s.n0 = 0 OR s.n0 > s.n1", "s.n0 - s.n1", branch=2),
+        rows(f"(SELECT * FROM $form_fields WHERE {tip})", FAIL, "The form field has no tooltip.", page="s.page", ref="concat('FormField ''', s.name, '''')", severity=HIGH, branch=1, pos="s.ord"),
+        rows(f"(SELECT * FROM $form_fields WHERE {name})", FAIL, "The form field has no name.", page="s.page", ref="'FormField'", severity=HIGH, branch=2, pos="s.ord"),
+        rows(docs, PASS, "Form fields have tooltips and names.", "s.n0 = 0 OR s.n0 > s.n1", "s.n0 - s.n1", branch=3),
     ]
 
 
@@ -175,14 +178,14 @@ def document_language(d) -> list[str]:
     lang = strip(d, "s.language")
     ok = d.matches(lang, BCP47)
     return [
-        rows("$documents", FAIL, "The document names no language.", f"NOT {filled(d, 's.language')}", severity=HIGH),
-        rows("$documents", WARNING, "The document's language is not a BCP 47 tag.", f"{filled(d, 's.language')} AND NOT {ok}"),
-        rows(text_units(d), PASS, "The document's language is valid.", f"{filled(d, 's.language')} AND {ok}", "greatest(s.text_units, 1)"),
+        rows("$documents", FAIL, "The document names no language.", f"NOT {truthy('s.language')}", severity=HIGH),
+        rows("$documents", WARNING, "The document's language is not a BCP 47 tag.", f"{truthy('s.language')} AND NOT {ok}"),
+        rows(text_units(d), PASS, "The document's language is valid.", f"{truthy('s.language')} AND {ok}", "greatest(s.text_units, 1)"),
     ]
 
 
 def structure_language(d) -> list[str]:
-    bad = f"SELECT n.doc_id, n.pos, n.page, n.tag FROM $nodes n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE {truthy('n.lang')} AND NOT {d.matches(strip(d, 'n.lang'), BCP47)}"
+    bad = f"SELECT n.doc_id, n.pos, n.page, n.tag FROM $nodes n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE {truthy('n.lang')} AND NOT {d.matches('n.lang', BCP47)}"
     return [rows(f"({bad})", FAIL, "The element's language is not a BCP 47 tag.", page="coalesce(nullif(s.page, 0), 1)", ref="concat('<', s.tag, '>')", branch=1, pos="s.pos"), rows(counted(WITH_TREE, bad), PASS, "Languages of elements are valid.", "s.n0 = 0", branch=2)]
 
 

@@ -69,6 +69,76 @@ def test_fonts(spark):
     assert got[3] == [("PASS", 1)] and 4 not in got
 
 
+PAGE = {"width": 612.0, "height": 792.0, "text": "", "links_count": 0, "annotations_count": 0, "has_structure": True, "tab_order_mode": "S", "unmarked": 0, "tagged_ops": 0, "artifact_ops": 0, "tagged_in_artifact": 0}
+
+
+def test_document_settings(spark):
+    c = corpus(spark, {
+        1: {"xmp_dc_title": "T", "language": "en-GB", "stream_text_strings": 7, "tree": ["P"], "bookmarks_count": 2, "embedded_files_count": 3},
+        2: {"xmp_metadata_present": False, "xmp_dc_title": "T", "pdfua_identifier_present": False, "display_doc_title": False, "has_suspects": True, "has_structure_tree": False, "page_count": 21},
+        3: {"xmp_dc_title": " \t", "language": "  ", "tree": [("Span", {"lang": "en"}), ("Span", {"lang": " en", "page": 4}), ("Span", {"lang": "english!"})], "page_count": 20},
+        4: {"language": " fr ", "has_structure_tree": False}, 5: {"language": "x", "tree": []},
+    }, pages=[{"doc_id": 4, "page_number": n, **PAGE, "text": "un deux"} for n in (1, 2)])
+    one = lambda check, d: [s for s, _ in outcome(c, check)[d]]
+    assert [one("PDFUA-META-001", d) for d in (1, 2)] == [["PASS"], ["FAIL"]]
+    assert [one("PDFUA-META-002", d) for d in (1, 2, 3)] == [["PASS"], ["FAIL"], ["FAIL"]]
+    assert [one("PDFUA-META-003", d) for d in (1, 2)] == [["PASS"], ["FAIL"]]
+    assert one("PDFUA-SETTINGS-001", 1) == ["PASS", "PASS"] and one("PDFUA-SETTINGS-001", 2) == ["FAIL", "FAIL"]
+    assert {d: x for d, x in outcome(c, "PDFUA-SETTINGS-003").items() if d < 4} == {1: [("PASS", 1)], 2: [("WARNING", 1)], 3: [("PASS", 0)]}
+    assert outcome(c, "PDFUA-EMBEDDED-001")[1] == [("PASS", 3)] and outcome(c, "PDFUA-EMBEDDED-001")[2] == [("NOT APPLICABLE", 0)]
+    # A language of white space is named but no tag; the words of pages count where no strings were read.
+    assert outcome(c, "PDFUA-LANG-001") == {1: [("PASS", 7)], 2: [("FAIL", 1)], 3: [("WARNING", 1)], 4: [("PASS", 4)], 5: [("WARNING", 1)]}
+    assert outcome(c, "PDFUA-LANG-002") == {1: [("PASS", 1)], 3: [("FAIL", 1), ("FAIL", 1)], 5: [("PASS", 1)]}
+    assert [r.page for r in c.rule("PDFUA-LANG-002").where("doc_id = 3").orderBy("pos").collect()] == [4, 1]
+
+
+def test_annotations_forms_artifacts(spark):
+    note = {"is_tagged": False, "subtype": "Link", "page": 1}
+    c = corpus(
+        spark, {1: {"tree": ["P"]}, 2: {"tree": [("Artifact", {"page": 2}), *["artifact"] * 6]}, 3: {"is_tagged": False, "has_structure_tree": False}, 4: {}},
+        pages=[{"doc_id": 1, "page_number": 1, **PAGE, "links_count": 1}, {"doc_id": 1, "page_number": 2, **PAGE, "tab_order_mode": "R"}, *({"doc_id": d, "page_number": n, **PAGE, "tab_order_mode": None} for d in (2, 3) for n in (1, 2))],
+        annotations=[{"doc_id": d, "ord": i, "annot_id": f"a{i}", **note} for d in (2, 3) for i in range(7)] + [{"doc_id": 1, "ord": 0, "annot_id": "p", "subtype": "Popup", "is_tagged": False, "page": 1}],
+        form_fields=[{"doc_id": 1, "ord": 0, "name": "UnnamedField", "tooltip": " "}, {"doc_id": 1, "ord": 1, "name": "n", "tooltip": None}, {"doc_id": 1, "ord": 2, "name": "n", "tooltip": "t"}],
+        artifacts=[{"doc_id": 1, "page_number": 1, "ord": i, "is_inside_tagged": i == 0, "text_snippet": ""} for i in range(3)] + [{"doc_id": 2, "page_number": 1, "ord": 0, "is_inside_tagged": True}],
+    )
+    assert outcome(c, "PDFUA-ANNOT-001") == {1: [("PASS", 1)], 2: [("FAIL", 1)] * 5}
+    assert outcome(c, "PDFUA-ANNOT-002") == {1: [("PASS", 1)], 2: [("FAIL", 1)], 3: [("FAIL", 1)]}
+    # Missing tooltips come before missing names.
+    got = c.rule("PDFUA-FORM-001").where("doc_id = 1").orderBy("branch", "pos").collect()
+    assert [(r.status, r.object_reference, r.items_count) for r in got] == [("FAIL", "FormField 'UnnamedField'", 1), ("FAIL", "FormField 'n'", 1), ("FAIL", "FormField", 1), ("PASS", None, 1)]
+    assert outcome(c, "PDFUA-FORM-001")[4] == [("PASS", 0)]
+    assert outcome(c, "PDFUA-ARTIFACT-001") == {1: [("PASS", 1)], 2: [("FAIL", 1)] * 5, 4: [("PASS", 1)]}
+    assert outcome(c, "PDFUA-ART-003") == {1: [("FAIL", 1), ("PASS", 2)], 2: [("FAIL", 1)], 3: [("PASS", 0)], 4: [("PASS", 0)]}
+
+
+def test_characters(spark):
+    icon, other, far = "\ue001", "\ue002", "\U000f0001"
+    c = corpus(
+        spark, {
+            1: {"tree": [("P", {"text_content": f"a{icon}{far}", "page": 3}), ("P", {"actual_text": "x"}, ("Span", {"text_content": icon})), ("Formula", ("Span", {"text_content": icon})), ("Artifact", {"is_artifact": True, "text_content": icon})]},
+            2: {"has_structure_tree": False}, 3: {"tree": [("P", {"text_content": icon})] * 7},
+        },
+        pages=[{"doc_id": 1, "page_number": 1, **PAGE, "text": icon}, {"doc_id": 2, "page_number": 1, **PAGE, "text": f"{icon}{icon}{other}{far}\ufffd"}, {"doc_id": 2, "page_number": 2, **PAGE, "text": f"{icon}"}, {"doc_id": 2, "page_number": 3, **PAGE, "text": f"{icon} \ufffd"}],
+        artifacts=[{"doc_id": 2, "page_number": n, "ord": i, "is_inside_tagged": False, "text_snippet": s} for n, i, s in ((1, 0, f"top {icon}"), (1, 1, far), (2, 0, icon), (3, 0, ""))],
+    )
+    # Characters that an artifact of the page shows are its own, in documents without structure.
+    assert outcome(c, "PDFUA-UNICODE-001") == {1: [("WARNING", 2)], 2: [("WARNING", 1), ("WARNING", 1)], 3: [("WARNING", 1)] * 5}
+    assert [r.page for r in c.rule("PDFUA-UNICODE-001").where("doc_id < 3").orderBy("doc_id", "pos").collect()] == [3, 1, 3]
+    assert outcome(c, "PDFUA-UNICODE-002") == {1: [("PASS", 0)], 2: [("FAIL", 2)], 3: [("PASS", 0)]}
+
+
+def test_syntax(spark):
+    c = corpus(
+        spark, {1: {"tree": ["P"]}, 2: {"pdf_version": "x", "is_encrypted": True, "allows_extraction": False, "parent_tree_valid": False, "tree": [("", {}), "P"]}, 3: {"pdf_version": "2.6", "has_structure_tree": False}, 4: {"has_parent_tree": False, "tree": []}},
+        pages=[{"doc_id": 1, "page_number": 1, **PAGE}, {"doc_id": 2, "page_number": 1, **PAGE, "width": 0.0}],
+        form_xobjects=[{"doc_id": 1, "ord": 0, "is_valid": True}, *({"doc_id": 2, "ord": i, "is_valid": i > 1} for i in range(5))],
+    )
+    got = outcome(c, "PDFUA-SYNTAX-001")
+    assert got[1] == [("PASS", 1)] * 4 + [("PASS", 2), ("PASS", 1), ("PASS", 1)]
+    assert got[2] == [("FAIL", 1), ("FAIL", 1), ("FAIL", 1), ("FAIL", 1), ("PASS", 2), ("FAIL", 2), ("PASS", 3), ("FAIL", 1)]
+    assert got[3] == [("FAIL", 1), ("PASS", 1)] and got[4] == [("PASS", 1), ("PASS", 1), ("PASS", 1), ("FAIL", 1)]
+
+
 def test_lists_tables_toc_notes(spark):
     row = ("TR", "TD", "TD")
     c = corpus(spark, {
