@@ -35,7 +35,7 @@ def syntax(d) -> list[str]:
 
 def font_embedding(d) -> list[str]:
     bad = "SELECT * FROM $fonts WHERE NOT is_embedded AND is_used"
-    each = f"(SELECT f.*, p.idx, p.page FROM ({bad}) f JOIN $font_pages p ON p.doc_id = f.doc_id AND p.font_ord = f.ord)"
+    each = f"(SELECT f.*, coalesce(p.idx, 0) AS idx, coalesce(p.page, 1) AS page FROM ({bad}) f LEFT JOIN $font_pages p ON p.doc_id = f.doc_id AND p.font_ord = f.ord)"
     docs = counted("SELECT DISTINCT doc_id FROM $fonts", "SELECT * FROM $fonts", bad)
     return [
         rows(each, FAIL, "The font is not embedded.", items="CASE WHEN s.idx = 0 THEN 1 ELSE 0 END", page="s.page", ref="concat('Font ', s.name)", branch=1, pos="s.ord * 100000 + s.idx"),
@@ -44,7 +44,7 @@ def font_embedding(d) -> list[str]:
 
 
 def font_unicode(d) -> list[str]:
-    used = f"(SELECT f.*, f.has_tounicode OR f.has_standard_encoding OR coalesce(f.encoding IN {one_of(STANDARD_ENCODINGS)}, false) AS mapped, p.page FROM $fonts f LEFT JOIN $font_pages p ON p.doc_id = f.doc_id AND p.font_ord = f.ord AND p.idx = 0 WHERE f.is_used)"
+    used = f"(SELECT f.*, f.has_tounicode OR f.has_standard_encoding OR coalesce({d.replaced('f.encoding', '^/+|/+$', '')} IN {one_of(STANDARD_ENCODINGS)}, false) AS mapped, coalesce(p.page, 1) AS page FROM $fonts f LEFT JOIN $font_pages p ON p.doc_id = f.doc_id AND p.font_ord = f.ord AND p.idx = 0 WHERE f.is_used)"
     good = f"(SELECT doc_id, count(*) AS n FROM {used} u WHERE is_embedded AND mapped GROUP BY doc_id)"
     return [
         rows(used, WARNING, "The font has no mapping to Unicode.", "NOT s.mapped", page="s.page", ref="concat('Font ', s.name)", branch=1, pos="s.ord"),

@@ -81,7 +81,7 @@ PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFD}]"
 TEXT_ROLES = "P SPAN H1 H2 H3 H4 H5 H6 LBODY TH TD QUOTE BIBENTRY".split()
 TEXT_ROLES_WIDE = "P SPAN H1 H2 H3 H4 H5 H6 CAPTION QUOTE BLOCKQUOTE LBODY TH TD BIBENTRY CODE".split()
 LIST_ITEM_DISALLOWED = "P SPAN H1 H2 H3 H4 H5 H6 TABLE DIV SECT FIGURE".split()
-STANDARD_ENCODINGS = ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding", "MacExpertEncoding")
+STANDARD_ENCODINGS = ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding", "PDFDocEncoding")
 GENERIC_TITLES = ("untitled", "microsoft word - document1", "document1", "default")
 
 

@@ -69,6 +69,73 @@ def test_fonts(spark):
     assert got[3] == [("PASS", 1)] and 4 not in got
 
 
+def test_fonts_without_pages_and_mappings(spark):
+    font = {"is_embedded": True, "is_used": True, "has_tounicode": False, "has_standard_encoding": False, "name": "F"}
+    kinds = [{"has_tounicode": True}, {"encoding": "/WinAnsiEncoding"}, {"encoding": "MacRomanEncoding", "is_embedded": False}, {"encoding": "MacExpertEncoding"}, {"is_used": False}, {"has_standard_encoding": True}, {"encoding": "PDFDocEncoding"}]
+    c = corpus(
+        spark, {1: {}, 2: {}, 3: {}},
+        fonts=[{"doc_id": 1, "ord": i, **font, **k} for i, k in enumerate(kinds)] + [{"doc_id": 2, "ord": 0, **font, "is_used": False}, {"doc_id": 3, "ord": 0, **font}],
+        font_pages=[{"doc_id": 3, "font_ord": 0, "idx": i, "page": p} for i, p in enumerate((6, 8))],
+    )
+    # A font whose pages are not known counts for the first page.
+    assert [(r.status, r.items_count, r.page) for r in c.rule("PDFUA-FONT-001").where("doc_id = 1").orderBy("branch", "pos").collect()] == [("FAIL", 1, 1), ("PASS", 6, None)]
+    assert outcome(c, "PDFUA-FONT-002") == {1: [("WARNING", 1), ("PASS", 4)], 3: [("WARNING", 1)]}
+    assert [r.page for r in c.rule("PDFUA-FONT-002").where("status = 'WARNING'").orderBy("doc_id").collect()] == [1, 6]
+
+
+def test_alternative_text(spark):
+    fig = lambda **k: ("Figure", k)
+    c = corpus(
+        spark, {
+            1: {"tree": [fig(alt_text="A red barn at dusk"), fig(alt_text="", actual_text="described"), fig(page=3), fig(alt_text="IMG_1.png"), fig(alt_text=" Photo "), fig(alt_text="ab"), ("Formula", {"alt_text": " "})]},
+            2: {"tree": ["P"]}, 3: {"is_tagged": False, "tree": [fig()]}, 4: {"tree": ["P"]}, 5: {"tree": ["P"]},
+        },
+        images=[{"doc_id": 4, "ord": i, "image_id": f"i{i}", "page": 1, "is_artifact": i == 0, "has_alt": i == 1, "structure_element_id": "n" if i == 2 else None} for i in range(10)] + [{"doc_id": 5, "ord": 0, "image_id": "z", "page": 1, "is_artifact": True, "has_alt": False}],
+        links=[{"doc_id": 1, "ord": 0, "text": "t"}, {"doc_id": 1, "ord": 1, "uri": "u"}, {"doc_id": 1, "ord": 2, "text": ""}],
+    )
+    got = outcome(c, "PDFUA-ALT-001")
+    assert got[1] == [("FAIL", 1)] * 2 + [("WARNING", 1)] * 3 + [("PASS", 4)] and got[2] == [("PASS", 1)] and 3 not in got
+    assert got[4] == [("FAIL", 1)] * 5 and 5 not in got
+    marks = c.rule("PDFUA-ALT-001").where("doc_id = 1 AND status = 'FAIL'").orderBy("pos").collect()
+    assert [(r.page, r.object_reference.split(" ")[0]) for r in marks] == [(3, "<Figure"), (1, "<Formula")]
+
+
+def test_guidelines(spark):
+    c = corpus(
+        spark, {
+            1: {"xmp_dc_title": "T", "language": "en", "tree": [("Figure", {"alt_text": "a"}), ("Figure", {"actual_text": " ", "has_area": True, "page": 2}), ("Figure", {"is_artifact": True, "has_explicit_bbox": True}), "H2", ("L", ("LI", "LBody"), ("LI", "Span", "Lbl")), ("Table", ("TR", "TD")), ("P", {"lang": "fr", "text_content": "deux mots"})]},
+            2: {"is_tagged": False, "has_structure_tree": False, "xmp_metadata_present": False, "display_doc_title": False},
+            3: {"has_structure_tree": False}, 4: {"is_tagged": False, "has_structure_tree": False},
+        },
+        pages=[{"doc_id": 1, "page_number": n, **PAGE, "unmarked": n - 1, "has_structure": n == 1, "tab_order_mode": m} for n, m in ((1, "S"), (2, "W"), (3, "W"))] + [{"doc_id": 2, "page_number": 1, **PAGE, "text": "one\ntwo\n", "height": 0.0}],
+        page_mcids=[{"doc_id": 1, "page_number": 1, "ord": i, "mcid": i} for i in range(4)],
+        images=[{"doc_id": d, "ord": i, "image_id": f"i{i}", "page": 1, "is_artifact": i == 0, "has_alt": i == 1} for d in (1, 2, 3, 4) for i in range(3)],
+        links=[{"doc_id": 1, "ord": 0, "page": 2}, {"doc_id": 2, "ord": 0, "page": 7}],
+        form_fields=[{"doc_id": 1, "ord": 0, "name": "f", "tooltip": "t", "page": 1}, {"doc_id": 1, "ord": 1, "name": "g", "tooltip": "", "page": 1}],
+    )
+    tally = lambda check, d: sorted(outcome(c, check).get(d, []))
+    # Graphics of a tagged tree count, else images where the document is tagged or has no pages.
+    assert tally("WCAG-1.1.1", 1) == [("FAIL", 1), ("FAIL", 1), ("PASS", 1), ("PASS", 1)] and tally("WCAG-1.1.1", 2) == []
+    assert tally("WCAG-1.1.1", 3) == tally("WCAG-1.1.1", 4) == [("FAIL", 1), ("PASS", 1)]
+    # Page 1: marked content, order. Pages 2 and 3: unmarked. A table, three figures, a heading, two list items.
+    assert tally("WCAG-1.3", 1) == sorted([("PASS", 4), ("PASS", 1), ("FAIL", 1), ("FAIL", 2), ("FAIL", 1), ("FAIL", 1), ("PASS", 1), ("PASS", 1), ("PASS", 1), ("PASS", 1), ("FAIL", 1)])
+    assert tally("WCAG-1.3", 2) == [("FAIL", 1), ("FAIL", 5), ("PASS", 1)] and tally("WCAG-1.3", 3) == []
+    assert tally("WCAG-1.4", 1) == tally("WCAG-1.4", 2) == [("MANUAL REVIEW", 1)] and tally("WCAG-1.4", 4) == []
+    assert tally("WCAG-2.4", 1) == [("FAIL", 1), ("PASS", 1), ("PASS", 1), ("PASS", 1)] and tally("WCAG-2.4", 2) == [("FAIL", 1)] * 3 + [("PASS", 1)]
+    # Two words, one graphic that is described, and the language itself.
+    assert tally("WCAG-3.1", 1) == [("PASS", 1), ("PASS", 4)] and tally("WCAG-3.1", 2) == [("FAIL", 2)] and tally("WCAG-3.1", 4) == [("FAIL", 1)]
+    assert tally("WCAG-4.1", 1) == [("PASS", 1)] * 8 and tally("WCAG-4.1", 2) == [("FAIL", 1)] and tally("WCAG-4.1", 4) == [("PASS", 1)] * 2
+
+
+def test_list_and_table_counts(spark):
+    good, bad = ("L", ("LI", "Lbl", "LBody")), ("L", ("LI", "Span"))
+    c = corpus(spark, {1: {"tree": [good, ("L", ("LI", "LBody"), ("LI", "LBody"))]}, 2: {"tree": [bad] * 8}, 3: {"tree": [good, bad]}, 4: {"tree": [("Table", ("TR", "TH")), ("Table", ("TR", "TD"))]}, 5: {"has_structure_tree": False}})
+    got = outcome(c, "PDFUA-LIST-001")
+    assert got[1] == [("PASS", 3)] and got[2] == [("FAIL", 0)] * 6 and got[3] == [("FAIL", 0), ("PASS", 0)] and got[5] == [("PASS", 0)]
+    got = outcome(c, "PDFUA-TABLE-001")
+    assert got[4] == [("PASS", 1), ("FAIL", 1)] and got[1] == got[5] == [("PASS", 0)]
+
+
 PAGE = {"width": 612.0, "height": 792.0, "text": "", "links_count": 0, "annotations_count": 0, "has_structure": True, "tab_order_mode": "S", "unmarked": 0, "tagged_ops": 0, "artifact_ops": 0, "tagged_in_artifact": 0}
 
 
