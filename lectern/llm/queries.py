@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
+from . import ann, lloyd, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
 from .common import table
 
 
@@ -60,8 +60,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components by three rounds of plain Lloyd over whole numbers."""
+    return lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann]
+    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann, op11_lloyd]
     return {f.__name__: f for f in ops}
 
 
@@ -81,5 +86,23 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, m.component_id FROM sizes s
 """
 
 
+def _lloyd_sql(rounds: int = 3) -> str:
+    """op11 round by round, a row a component; floors of quotients come from whole numbers alone."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM kept)",
+        "first AS (SELECT rid, row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), embedding) - 1 AS c FROM kept QUALIFY c < 16)",
+        "c0 AS MATERIALIZED (SELECT f.c, x.i, x.v FROM first f JOIN x USING (rid))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT x.rid, c.c, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c ON c.i = x.i GROUP BY x.rid, c.c)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, min(d) AS d, arg_min(c, (d, c)) AS c FROM d{r} GROUP BY rid)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT a.c, x.i, sum(x.v) AS s, count(*) AS n FROM a{r} a JOIN x USING (rid) GROUP BY a.c, x.i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, c.i, CAST(CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c AND m.i = c.i)")
+    steps.append(f"told AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"WITH {', '.join(steps)} SELECT k.vec_id, CAST(a.c AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, t.centroid_sha256 FROM a{rounds} a JOIN kept k USING (rid) JOIN told t ON t.c = a.c"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL}
+    return {"op5_ngram_jaccard": OP5_SQL, "op11_lloyd": _lloyd_sql()}
