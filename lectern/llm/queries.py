@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lloyd, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
+from . import ann, hamerly, lloyd, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
 from .common import table
 
 
@@ -65,8 +65,13 @@ def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in 8 parts of 16 entries, codebooks fitted by six rounds of Hamerly's Lloyd."""
+    return hamerly.coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann, op11_lloyd]
+    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann, op11_lloyd, op12_hamerly]
     return {f.__name__: f for f in ops}
 
 
@@ -104,5 +109,25 @@ def _lloyd_sql(rounds: int = 3) -> str:
     return f"WITH {', '.join(steps)} SELECT k.vec_id, CAST(a.c AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, t.centroid_sha256 FROM a{rounds} a JOIN kept k USING (rid) JOIN told t ON t.c = a.c"
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """op12 round by round, a row a component; q is the part."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) % 8 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "flat AS (SELECT rid, len(embedding) // 8 AS size, unnest(range(len(embedding))) AS p, CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM kept)",
+        "x AS MATERIALIZED (SELECT rid, CAST(p // size AS INT) AS q, CAST(p % size AS INT) AS i, v FROM flat)",
+        "first AS (SELECT rid, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS c FROM kept QUALIFY c < 16)",
+        "c0 AS MATERIALIZED (SELECT f.c, x.q, x.i, x.v FROM first f JOIN x USING (rid))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT x.rid, x.q, c.c, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c ON c.q = x.q AND c.i = x.i GROUP BY x.rid, x.q, c.c)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, q, min(d) AS d, arg_min(c, (d, c)) AS c FROM d{r} GROUP BY rid, q)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT a.c, x.q, x.i, sum(x.v) AS s, count(*) AS n FROM a{r} a JOIN x USING (rid, q) GROUP BY a.c, x.q, x.i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, c.q, c.i, CAST(CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c AND m.q = c.q AND m.i = c.i)")
+    steps.append(f"told AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY q, c, i)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"codes AS (SELECT rid, string_agg(lower(printf('%02x', c)), '' ORDER BY q) AS code, sum(d) AS error FROM a{rounds} GROUP BY rid)")
+    return f"WITH {', '.join(steps)} SELECT k.vec_id, z.code, CAST(z.error AS BIGINT) AS error, CAST(sum(z.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, t.codebooks_sha256 FROM codes z JOIN kept k USING (rid), told t"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL, "op11_lloyd": _lloyd_sql()}
+    return {"op5_ngram_jaccard": OP5_SQL, "op11_lloyd": _lloyd_sql(), "op12_hamerly": _codes_sql()}

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lectern.llm import integers, lloyd
+from lectern.llm import hamerly, integers, lloyd
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, cluster int"
@@ -83,3 +83,70 @@ def test_lloyd_on_odd_rows(spark, more):
     for k, rounds in ((5, 3), (1, 1), (200, 2)):
         assert lloyd_rows(df, k=k, dims=4, scale=64, rounds=rounds) == brute_lloyd(rows, k, 4, 64, rounds)
     assert lloyd.clustered(df, dims=9).count() == 0 and lloyd.clustered(df.where("false")).count() == 0
+
+
+def brute_codes(rows, parts, k, scale, rounds):
+    """By length of vector: codes, errors and the entries' digest, every distance worked out."""
+    kept = [(i, v, label) for i, v, label, *_ in rows if v is not None and len(v) % parts == 0 and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for d in {len(v) for _, v, _ in kept}:
+        own = sorted(((i, v, label) for i, v, label in kept if len(v) == d), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        size = d // parts
+        cut = [[floored(v[m * size : (m + 1) * size], scale) for m in range(parts)] for _, v, _ in own]
+        books = [[c[m] for c in cut[:k]] for m in range(parts)]
+        codes = lambda: [[nearest(c[m], books[m]) for m in range(parts)] for c in cut]  # noqa: B023, E731
+        for _ in range(rounds):
+            now = codes()
+            for m in range(parts):
+                for e in range(len(books[m])):
+                    mine = [c[m] for c, n in zip(cut, now) if n[m][1] == e]
+                    if mine:
+                        books[m][e] = [sum(x) // len(mine) for x in zip(*mine)]
+        sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+        out += [(i, "".join(f"{c:02x}" for _, c in n), sum(s for s, _ in n), label, sha) for (i, _, label), n in zip(own, codes())]
+    of = {}
+    for _, _, error, label, _ in out:
+        of[label] = of.get(label, 0) + error
+    long = lambda x: x if x < 2**63 else None
+    return sorted(((i, code, long(error), long(of[label]), sha) for i, code, error, label, sha in out), key=str)
+
+
+def codes_of(df, **more):
+    return sorted(((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in hamerly.coded(df, **more).collect()), key=str)
+
+
+def test_hamerly(embeddings):
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in embeddings.collect()]
+    scans = []
+    assert codes_of(embeddings, scans=scans) == brute_codes(rows, 8, 16, 4096, 6)
+    # Bounds must spare scans, more of them as the entries come to rest.
+    assert scans[0] == 8 * len(rows) and scans[-1] < scans[1] < scans[0]
+
+
+@pytest.mark.parametrize("more", [(), [(200, [1e30, -1e30, 2e25, 0.0], 1), (201, [1e30, 0.0, 3.0, 0.0], 2), (202, [5e6, 0.0, 3.0, 0.0], 3)]])
+def test_hamerly_on_odd_rows(spark, more):
+    """Small grids make ties of most distances; magnitudes up to 1e30 leave the long."""
+    rows = odd_vectors(4, [*more, (300, [0.25, 0.5], 3), (301, [0.75, -0.5], 3)])
+    df = spark.createDataFrame([(i, v, *x) for i, v, *x in rows], SCHEMA.replace("float", "double")).repartition(3)
+    for parts, entries, rounds in ((2, 5, 4), (1, 1, 2), (2, 300, 2)):
+        entries = min(entries, 256)
+        assert codes_of(df, parts=parts, entries=entries, rounds=rounds, scale=4096) == brute_codes(rows, parts, entries, 4096, rounds)
+    assert hamerly.coded(df.where("false")).count() == 0
+
+
+def test_hamerly_decides_as_whole_numbers_do():
+    """Random entries, moved at random: the bounds never keep a code that a scan would change."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 8):
+        x = rng.integers(-40, 40, (400, size))
+        entries = rng.integers(-40, 40, (7, size))
+        part = hamerly.Part(x)
+        part.round(entries, np.zeros(7))
+        for step in range(30):
+            now = entries + rng.integers(-3, 4, entries.shape) * (rng.random(entries.shape) < 0.3) // (1 + step // 8)
+            book = hamerly.Book([now], [entries])
+            part.round(now, book.moves[0])
+            entries = now
+            assert part.codes.tolist() == hamerly.scan(x, entries)[0].tolist()
