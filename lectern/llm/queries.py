@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, hamerly, lloyd, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, warc, wrappers
+from . import ann, hamerly, lloyd, mixing, ngram_jaccard, pii, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, sharding, warc, wrappers
 from .common import table
 
 
@@ -70,8 +70,13 @@ def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.coded(table(spark, sf_dir, "embeddings"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight contiguous shards of all documents, near equal in bytes."""
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann, op11_lloyd, op12_hamerly]
+    ops = [op1_mixing, op2_wrappers, op3_quality_rules, op4_pii, op5_ngram_jaccard, op6_secrets, op7_warc, op8_sentencepiece, op9_pu_quality, op10_ann, op11_lloyd, op12_hamerly, op13_sharding]
     return {f.__name__: f for f in ops}
 
 
@@ -129,5 +134,18 @@ def _codes_sql(rounds: int = 6) -> str:
     return f"WITH {', '.join(steps)} SELECT k.vec_id, z.code, CAST(z.error AS BIGINT) AS error, CAST(sum(z.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, t.codebooks_sha256 FROM codes z JOIN kept k USING (rid), told t"
 
 
+#: op13 by a running sum over all documents; checksums byte by byte, with the table of the polynomial 0xEDB88320.
+OP13_SQL = r"""
+WITH RECURSIVE
+bits AS (SELECT CAST(range AS UBIGINT) AS b, CAST(range AS UBIGINT) AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+sized AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, list_concat([CAST(4294967295 AS UBIGINT)], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(concat('0x', h) AS UBIGINT))) AS bytes FROM documents),
+sums AS (SELECT doc_id, size, CAST(xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32 FROM sized, crc),
+run AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through, sum(size) OVER () AS whole, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS rank FROM sums),
+cut AS (SELECT *, CAST((2 * through - size) * 8 // (2 * whole) AS INT) AS shard FROM run)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL, "op11_lloyd": _lloyd_sql(), "op12_hamerly": _codes_sql()}
+    return {"op5_ngram_jaccard": OP5_SQL, "op11_lloyd": _lloyd_sql(), "op12_hamerly": _codes_sql(), "op13_sharding": OP13_SQL}
