@@ -135,7 +135,8 @@ class Scan:
     """The best candidates of one block of queries, while codes stream past."""
 
     def __init__(self, qid: np.ndarray, q: np.ndarray, books: np.ndarray, keep: int):
-        self.qid, self.q, self.books, self.keep = qid, q, books, keep
+        # A query's own scale changes nothing in its order, and keeps its tables within four bytes.
+        self.qid, self.q, self.books, self.keep = qid, q / np.abs(q).max(axis=1, keepdims=True), books, keep
         self.rid, self.score = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32)
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.rows = 0
@@ -154,7 +155,7 @@ class Scan:
         best = []
         for a in range(0, len(self.q), 128):
             rough = scan(self.q[a : a + 128], packed, self.books)
-            rough[rid == self.qid[a : a + 128, None]] = -np.inf  # a query's own row
+            rough[rid == self.qid[a : a + 128, None]] = -np.inf  # a query's own row, left out by found()
             rough = np.hstack([self.score[a : a + 128], rough])
             ids = np.hstack([self.rid[a : a + 128], np.broadcast_to(rid, (len(rough), len(rid)))])
             if rough.shape[1] > self.keep:
@@ -166,7 +167,7 @@ class Scan:
     def found(self) -> pa.RecordBatch:
         """query, candidate, rough score; row numbers."""
         self.flush()
-        ok = np.isfinite(self.score)
+        ok = self.rid != self.qid[:, None]
         qid = np.repeat(self.qid, ok.sum(1))
         return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(self.rid[ok]), pa.array(self.score[ok])], names=["query", "rid", "rough"])
 
@@ -176,13 +177,24 @@ def _books(clean: DataFrame, sample: int) -> DataFrame:
     first = W.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id", "rid")
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"d": [f.d.iloc[0]], "books": [train(np.array(f.sort_values("rid").v.tolist(), np.float64)).tobytes()]})
+        x = np.array(f.sort_values("rid").v.tolist(), np.float64)
+        # Codes are of vectors in units of the sample's largest component, so no magnitude is lost.
+        unit = np.abs(x).max()
+        return pd.DataFrame({"d": [f.d.iloc[0]], "books": [np.float64(unit).tobytes() + train(x / unit).tobytes()]})
 
     return clean.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("d", "rid", "v").groupBy("d").applyInPandas(one, "d int, books binary")
 
 
-def _book(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(-1, 16, DIMS)
+def _book(data: bytes) -> tuple[float, np.ndarray]:
+    """The unit that vectors are measured in, and the codebooks."""
+    whole = np.frombuffer(data, np.float64)
+    return whole[0], whole[1:].reshape(-1, 16, DIMS)
+
+
+def _measured(v: list, unit: float) -> np.ndarray:
+    """Vectors in the unit; what is far beyond the sample is cut where squares still are numbers."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.array(v, np.float64) / unit, -1e100, 1e100)
 
 
 def _codes(clean: DataFrame, books: DataFrame) -> DataFrame:
@@ -193,8 +205,8 @@ def _codes(clean: DataFrame, books: DataFrame) -> DataFrame:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def row(d: int, part: list) -> pd.DataFrame:
-            ids = np.array([i for i, _ in part], np.int64)
-            return pd.DataFrame({"d": [d], "ids": [ids.tobytes()], "codes": [pack(encode(np.array([v for _, v in part], np.float64), book_of[d])).tobytes()]})
+            ids, (unit, book) = np.array([i for i, _ in part], np.int64), book_of[d]
+            return pd.DataFrame({"d": [d], "ids": [ids.tobytes()], "codes": [pack(encode(_measured([v for _, v in part], unit), book)).tobytes()]})
 
         for i, d, v in frames:
             part = held.setdefault(d, [])
@@ -214,7 +226,7 @@ def _codes(clean: DataFrame, books: DataFrame) -> DataFrame:
         return clean.select("rid", "d", "v").mapInPandas(run, schema)
 
     def run_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[float, np.ndarray]] = {}
 
         def rows():
             for f in frames:
@@ -270,7 +282,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 if kind.as_py() == 0:
                     if now is not None:
                         yield now.found()
-                    now = Scan(at, np.frombuffer(rows.as_py(), np.float64).reshape(len(at), -1), _book(book.as_py()), keep)
+                    now = Scan(at, np.frombuffer(rows.as_py(), np.float64).reshape(len(at), -1), _book(book.as_py())[1], keep)
                 else:
                     now.add(at, np.frombuffer(rows.as_py(), np.uint8).reshape(len(at), -1))
         if now is not None:
