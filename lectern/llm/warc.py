@@ -3,7 +3,7 @@
 Each derivative has an id of its own, names the response it came from in WARC-Refers-To, keeps the
 response's URI and date, and carries digests of its own block.  The metadata record's JSON holds the
 source's WARC and HTTP headers and digests, and the page's title, language and links; the conversion
-record holds the page's visible text.  Ids are drawn from content, so a task that runs again writes
+record, which only textual responses have, holds the page's visible text.  Ids are drawn from content, so a task that runs again writes
 the same records.
 """
 
@@ -15,6 +15,7 @@ import hashlib
 import io
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,6 +60,59 @@ def parse_header(header: str) -> list[tuple[str, str]]:
     return out
 
 
+def grouped(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Fields by name, all of them: the values of a name that repeats stand in a list, in order."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in fields:
+        have = out.get(k)
+        out[k] = v if have is None else [*have, v] if isinstance(have, list) else [have, v]
+    return out
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The body of chunks; what does not look like chunks stays as it is."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0:
+            return b"".join(out) if out else body
+        if size == 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def decoded(payload: bytes, fields: list[tuple[str, str]]) -> bytes | None:
+    """A payload without its transfer and content encodings, the last one first; None where one is not known or broken."""
+    said = lambda name: [x.strip().lower() for k, v in fields if k.lower() == name for x in v.split(",") if x.strip()]
+    for encoding in reversed([*said("content-encoding"), *said("transfer-encoding")]):
+        try:
+            if encoding == "chunked":
+                payload = _unchunked(payload)
+            elif encoding in ("gzip", "x-gzip"):
+                payload = zlib.decompressobj(31).decompress(payload)
+            elif encoding == "deflate":
+                payload = zlib.decompressobj(15 if payload[:1] == b"\x78" else -15).decompress(payload)
+            elif encoding != "identity":
+                return None
+        except zlib.error:
+            return None
+    return payload
+
+
+def textual(kind: str, payload: bytes) -> str | None:
+    """html, plain or None: what a payload of this type is; without a type, what it looks like."""
+    mime = kind.partition(";")[0].strip().lower()
+    if mime in ("text/html", "application/xhtml+xml") or not mime and b"\0" not in payload:
+        return "html"
+    return "plain" if mime.startswith("text/") or mime in ("application/json", "application/xml") or mime.endswith(("+xml", "+json")) else None
+
+
 def response(page_id: int | None, url: str | None, body: str | None, date: str | None = None) -> tuple[str, bytes]:
     """The response record of a captured page: WARC header and HTTP message."""
     payload = (body or "").encode()
@@ -69,19 +123,24 @@ def response(page_id: int | None, url: str | None, body: str | None, date: str |
 
 
 def derivatives(header: str, block: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response, in the columns of RECORD after page_id."""
+    """The metadata record of one response, and of a textual one the conversion record, in the columns of RECORD after page_id.
+
+    The text is that of the body without its transfer and content encodings; digests and lengths are
+    those of the payload as it was captured."""
     source = parse_header(header)
     get = {k.lower(): v for k, v in source}
     head, _, payload = block.partition(b"\r\n\r\n")
     http = head.decode("utf-8", "replace")
     fields = parse_header(http)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
-    charset = kind.lower().partition("charset=")[2].strip("\"' ;") or "utf-8"
+    charset = kind.lower().partition("charset=")[2].partition(";")[0].strip("\"' ;") or "utf-8"
+    body = decoded(payload, fields)
+    form = None if body is None else textual(kind, body)
     try:
-        text = payload.decode(charset, "replace")
+        text = body.decode(charset, "replace") if form else ""
     except LookupError:
-        text = payload.decode("utf-8", "replace")
-    page = Page(text, links=True)
+        text = body.decode("utf-8", "replace")
+    page = Page(text if form == "html" else "", links=True)
     ref, uri, date = get.get("warc-record-id", ""), get.get("warc-target-uri", ""), get.get("warc-date", NO_DATE)
     digest = get.get("warc-payload-digest") or sha1(payload)
     envelope = {
@@ -90,12 +149,12 @@ def derivatives(header: str, block: bytes) -> list[tuple]:
             "WARC-Header-Length": str(len(header.encode())),
             "Block-Digest": get.get("warc-block-digest") or sha1(block),
             "Actual-Content-Length": str(len(block)),
-            "WARC-Header-Metadata": dict(source),
+            "WARC-Header-Metadata": grouped(source),
             "Payload-Metadata": {
                 "Actual-Content-Type": kind,
                 "HTTP-Response-Metadata": {
                     "Response-Message": dict(zip(("Version", "Status", "Reason"), http.split(CRLF, 1)[0].split(" ", 2))),
-                    "Headers": dict(fields),
+                    "Headers": grouped(fields),
                     "Entity-Digest": digest,
                     "Entity-Length": str(len(payload)),
                     "HTML-Metadata": {"Head": {"Title": page.title, "Language": page.lang}, "Links": [{"path": "A@/href", "url": u} for u, _ in page.links]},
@@ -104,7 +163,10 @@ def derivatives(header: str, block: bytes) -> list[tuple]:
         }
     }
     made = []
-    for what, mime, content in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain", "\n".join(b for b, _ in page.blocks))):
+    derived = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False))]
+    if form:
+        derived.append(("conversion", "text/plain", text if form == "plain" else "\n".join(b for b, _ in page.blocks)))
+    for what, mime, content in derived:
         raw = content.encode()
         own, mark = record_id(what, ref, digest), sha1(raw)
         out = [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", ref), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", mark)]
@@ -182,6 +244,6 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def written(derived: DataFrame, path: str) -> None:
-    """Write records as gzipped WARC files through Spark's own writer, a file a partition."""
-    whole = F.concat("header", F.lit(CRLF), "block", F.lit(CRLF + CRLF))
-    derived.select(whole.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    """Write records as WARC files through Spark's own writer, a gzipped file a partition; a record ends with two CRLF and nothing else."""
+    whole = F.concat("header", F.lit(CRLF), "block", F.lit(CRLF))
+    derived.select(whole.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).text(path)

@@ -520,6 +520,68 @@ def test_nearest(spark):
     assert ann.nearest(long).count() == 40
 
 
+@pytest.mark.parametrize("scale", [1e25, 1e-25, 1.0])
+def test_ann_of_any_magnitude(spark, scale):
+    """All components finite, far from one: lists are whole and in the order of the exact products."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4)) * scale
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 20, 40):
+        want = sorted(((-float(ann.exact(x[q], x[i : i + 1])[0]), i) for i in range(60) if i != q))[:20]
+        assert got[q] == [(i, -s) for s, i in want]
+    far = spark.createDataFrame([(0, [2e25, 1.0]), (1, [3e25, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in ann.nearest(far).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def http_response(fields, body, extra=()):
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + body
+    return warc.lines([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), *extra, ("Content-Length", str(len(block)))]), block
+
+
+def test_warc_headers_and_bodies(spark, tmp_path):
+    import gzip
+    import json
+    import zlib as z
+
+    page = b"<title>t</title><p>Words \xe9"
+    chunks = lambda b: b"".join(b"%x;a=b\r\n%s\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    html_type = ("Content-Type", "text/html; charset=latin-1")
+    cases = {
+        "plain": ([html_type, ("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("Set-Cookie", "c")], page),
+        "gzip": ([html_type, ("Content-Encoding", "gzip")], gzip.compress(page)),
+        "deflate": ([html_type, ("Content-Encoding", "deflate")], z.compress(page)),
+        "chunked": ([html_type, ("Transfer-Encoding", "chunked")], chunks(page)),
+        "both": ([html_type, ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")], chunks(gzip.compress(page))),
+    }
+    for name, (fields, body) in cases.items():
+        made = warc.derivatives(*http_response(fields, body, [("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>")]))
+        assert [m[0] for m in made] == ["metadata", "conversion"] and made[1][-1] == "Words é", name
+        meta = json.loads(made[0][-1])["Envelope"]
+        assert meta["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:1>", "<urn:2>"] and meta["Payload-Metadata"]["HTTP-Response-Metadata"]["Entity-Length"] == str(len(body))
+    headers = json.loads(warc.derivatives(*http_response(*cases["plain"]))[0][-1])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]
+    assert headers["Set-Cookie"] == ["a=1", "b=2", "c"] and headers["Content-Type"] == html_type[1]
+    kinds = lambda fields, body: [m[0] for m in warc.derivatives(*http_response(fields, body))]
+    assert kinds([("Content-Type", "image/png")], b"\x89PNG\0\1") == ["metadata"] == kinds([html_type, ("Content-Encoding", "br")], b"x") == kinds([html_type, ("Content-Encoding", "gzip")], b"no gzip")
+    assert warc.derivatives(*http_response([("Content-Type", "text/plain")], b"a <b> c"))[1][-1] == "a <b> c"
+    df = spark.createDataFrame([(1, "http://a/", "<p>x" * 100_000, "e"), (2, None, None, "f"), (1, "http://a/", "<p>x" * 100_000, "e")], "page_id long, url string, html string, header string")
+    found = warc.built(df).collect()
+    assert len(found) == 6 and max(r.content_length for r in found if r.record_type == "conversion") == 2 * 100_000 - 1
+    warc.written(warc.built(df).coalesce(1), f"file://{tmp_path}/w")
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in tmp_path.glob("w/*.gz"))
+    # Read by a plain reader: header up to the empty line, block of the stated length, two CRLF.
+    at = n = 0
+    while at < len(whole):
+        end = whole.index(b"\r\n\r\n", at)
+        size = int(dict(warc.parse_header(whole[at:end].decode()))["Content-Length"])
+        at = end + 4 + size
+        assert whole[at : at + 4] == b"\r\n\r\n"
+        at, n = at + 4, n + 1
+    assert n == 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
