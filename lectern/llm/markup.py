@@ -24,6 +24,8 @@ AWAY_WORDS = frozenset(
     "comment comments reply replies respond discussion disqus pagination pager paging toolbar tools copyright legal "
     "complementary contentinfo".split()
 )
+#: Those of the words that have another sense inside a text: there they do not decide alone.
+WEAK_WORDS = frozenset("header masthead search form widget widgets tools toolbar rail legal copyright alert dialog register trending discussion follow".split())
 PARTS = frozenset("area bar block bottom box boxes button buttons container content count form group holder inner item items label left link links list listing main menu module outer panel posts right row section slot stories strip text thread title top unit widget wrap wrapper".split())
 MODIFIERS = frozenset("with has no not without is js show hide before after".split())
 OWN = frozenset("article entry post story section content".split())
@@ -39,23 +41,27 @@ def attributes(tag: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(tag)}
 
 
-def marks_away(token: str) -> bool:
-    """Whether a class, id or role names something beside the text.
+def marks_away(token: str) -> str:
+    """"!" if a class, id or role names something beside the text, "~" if it does by a weak word, else "".
 
     Its last word tells ("cookie-notice", "reader-comments"), or its first if parts of pages follow
     ("comment-list"); "with-sidebar", "more-text" and "entry-header" name nothing of the kind."""
     words = WORDS.findall(token)
     if not words or words[0].lower() in MODIFIERS:
-        return False
+        return ""
     first, last = words[0].lower(), words[-1].lower()
     if last == "header" and first in OWN or first == "skip" and last not in ("link", "links", "nav"):
-        return False
-    return last in AWAY_WORDS or first == "skip" and len(words) > 1 or first in AWAY_WORDS and all(w.lower() in PARTS for w in words[1:])
+        return ""
+    if last in AWAY_WORDS and last not in WEAK_WORDS or first == "skip" and len(words) > 1:
+        return "!"
+    if first in AWAY_WORDS and all(w.lower() in PARTS for w in words[1:]):
+        return "~" if first in WEAK_WORDS else "!"
+    return "~" if last in WEAK_WORDS else ""
 
 
 def key_of(name: str, tag: str) -> str:
     """An element's kind: its name with its classes (figures in them blanked), "!" if class, id or role
-    mark it as no main text, "^" if they mark it as an article's body, "*" as the main element.
+    mark it as no main text, "~" if weak words alone do, "^" if they mark it as an article's body, "*" as the main element.
 
     Ids themselves are left out, so that a site has no more kinds than its templates have."""
     if "=" not in tag:
@@ -64,8 +70,8 @@ def key_of(name: str, tag: str) -> str:
     classes = sorted(set(a.get("class", "").split()))
     more = "".join(f".{DIGITS.sub('0', c)}" for c in classes)
     role = a.get("role", "").lower()
-    if any(map(marks_away, (*classes, a.get("id", ""), role))):
-        more += "!"
+    marks = set(map(marks_away, (*classes, a.get("id", ""), role)))
+    more += "!" if "!" in marks else "~" if "~" in marks else ""
     if a.get("itemprop", "").lower() == "articlebody" or role == "article":
         more += "^"
     if role == "main":

@@ -12,8 +12,12 @@ where the pages are and only wrappers travel.
 A page's main text is read off its match with the host's wrapper.  Each block lands in a slot, and
 the slot's place decides: inside the article element (else the main element, else anywhere), under
 no element that the page marks as navigation, header, footer, sidebar, notice, advert, form or
-comments, and not a constant of the template.  Without an article, slots that mostly hold links go
-too.  Marks above an article do not count, but an article in a sidebar gives way to one outside.
+comments, and not a constant of the template.  Where several blocks share a slot, as paragraphs do,
+the slot's sketch of texts and their pages tells which of them the template repeats.  Without an article,
+slots that mostly hold links go too, but for a paragraph or heading that is none.  Inside an article
+words of classes and ids that have another sense there ("header", "search") decide only about blocks that
+are constants or mostly links.  Marks above an article do not count, but an article in a sidebar gives
+way to one outside.
 """
 
 from __future__ import annotations
@@ -36,12 +40,19 @@ from .markup import Page
 BROADCAST_BYTES = 16 << 20
 #: A slot of one text on at least so many pages is the template's: outside an article, and inside one.
 CONSTANT_PAGES, CONSTANT_IN_ARTICLE = 3, 8
+#: A text among others in a slot is the template's on such a share of the slot's pages.
+CONSTANT_SHARE = 0.4
+#: Texts of a slot whose pages are counted (the rest by the frequent-items rule: a count lacks at most a
+#: SKETCH-th of all), and blocks of a page that are, from either end of a slot.
+SKETCH, ENDS = 48, 8
 #: Items of a sequence; longer ones become bags.
 LONGEST = 128
 #: Elements that are not main text, and those of them that an article does not stand in.
 AWAY_TAGS = frozenset("nav header footer aside form menu dialog button fieldset label search".split())
 ABOVE_TAGS = frozenset("nav footer aside menu dialog".split())
 SLOT, BAG = "#", "*"
+#: Elements whose text is read for itself.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 
 def host_of(url: str | None) -> str:
@@ -53,7 +64,7 @@ class Item:
     """A part of a wrapper: an element, a group "(keys)", a slot SLOT or a bag BAG.
 
     stat, of slots: [pages, blocks, characters, of them in links, hash of the text or None if it
-    varies]; at, of slots of a single page: the numbers of its blocks."""
+    varies, pages by hash of text]; at, of slots of a single page: the numbers of its blocks."""
 
     __slots__ = ("key", "kids", "optional", "repeated", "stat", "at")
 
@@ -70,13 +81,32 @@ def deep() -> None:
         sys.setrecursionlimit(1_000_000)
 
 
+def marked(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text)[:12]
+
+
+def _counted(a: dict[str, int], b: dict[str, int], same_page: bool) -> dict[str, int]:
+    """Pages by text of two parts: of a page the first and last texts, of several the frequent ones."""
+    if same_page:
+        keys = list(dict.fromkeys((*a, *b)))
+        return dict.fromkeys(keys if len(keys) <= 2 * ENDS else keys[:ENDS] + keys[-ENDS:], 1)
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = out.get(k, 0) + n
+    if len(out) > SKETCH:
+        less = sorted(out.values(), reverse=True)[SKETCH]
+        out = {k: n - less for k, n in out.items() if n > less}
+    return out
+
+
 def shape(children: list, blocks: list) -> list[Item]:
     """A page's sequence of children as items, repeats folded."""
     items = []
     for c in children:
         if isinstance(c, int):
             text, linked = blocks[c]
-            items.append(Item(SLOT, [], stat=[1, 1, len(text), min(linked, len(text)), xxhash.xxh3_64_hexdigest(text)], at=[c]))
+            mark = marked(text)
+            items.append(Item(SLOT, [], stat=[1, 1, len(text), min(linked, len(text)), mark, {mark: 1}], at=[c]))
         else:
             items.append(Item(c[0], shape(c[1], blocks)))
     return _folded(items)
@@ -126,7 +156,7 @@ def _merged(x: Item, y: Item, same_page: bool) -> Item:
     stat = at = None
     if x.stat is not None:
         a, b = x.stat, y.stat
-        stat = [max(a[0], b[0]) if same_page else a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None]
+        stat = [max(a[0], b[0]) if same_page else a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, _counted(a[5], b[5], same_page)]
         at = x.at + y.at if same_page and x.at is not None and y.at is not None else None
     if x.key == BAG:
         return _bag([x, y], same_page)[0]
@@ -246,27 +276,29 @@ class Wrapper:
 
 
 def _name(key: str) -> str:
-    return re.split(r"[.!^*]", key, maxsplit=1)[0]
+    return re.split(r"[.!~^*]", key, maxsplit=1)[0]
 
 
 class Place:
     """Where an item stands: inside an article or main element, and whether something marks it as no main text
-    anywhere above, since the article, since the main element, or above the article by its tag."""
+    anywhere above, since the article, since the main element, or above the article by its tag; weak: since
+    the article by a weak word alone; prose: straight in a paragraph or heading."""
 
-    __slots__ = ("article", "main", "off", "off_article", "off_main", "above")
+    __slots__ = ("article", "main", "off", "off_article", "off_main", "above", "weak", "prose")
 
-    def __init__(self, article=False, main=False, off=False, off_article=False, off_main=False, above=False):
-        self.article, self.main, self.off, self.off_article, self.off_main, self.above = article, main, off, off_article, off_main, above
+    def __init__(self, article=False, main=False, off=False, off_article=False, off_main=False, above=False, weak=False, prose=False):
+        self.article, self.main, self.off, self.off_article, self.off_main, self.above, self.weak, self.prose = article, main, off, off_article, off_main, above, weak, prose
 
     def under(self, key: str) -> Place:
         name = _name(key)
-        marked = "!" in key
-        away = name in AWAY_TAGS or marked
-        if name == "header" and not marked and (self.article or self.main):
+        within = self.article or self.main
+        away = name in AWAY_TAGS or "!" in key or "~" in key and not within
+        if name == "header" and "!" not in key and within:
             away = False  # an article's header is its own
         return Place(
             self.article or name == "article" or "^" in key, self.main or name == "main" or key.endswith("*"), self.off or away,
             self.off_article or self.article and away, self.off_main or self.main and away, self.above or not self.article and name in ABOVE_TAGS,
+            self.weak or within and "~" in key and name != "header", name in PROSE,
         )
 
 
@@ -293,22 +325,31 @@ def main_text(page: Page, wrapper: Wrapper | None) -> str:
     deep()
     if not page.blocks:
         return ""
-    own = shape(page.root[1], page.blocks)
-    known = landed(wrapper.items if wrapper is not None and wrapper.items is not None else own, own)
+    shaped = shape(page.root[1], page.blocks)
+    known = landed(wrapper.items if wrapper is not None and wrapper.items is not None else shaped, shaped)
+
+    def constant(row: tuple[int, Place, Item], pages: int) -> bool:
+        seen = row[2].stat
+        return seen[4] is not None and seen[0] >= pages or seen[5].get(marked(page.blocks[row[0]][0]), 0) >= max(pages, CONSTANT_SHARE * seen[0])
+
+    def linked(row: tuple[int, Place, Item]) -> bool:
+        text, links = page.blocks[row[0]]
+        return 2 * links > len(text)
 
-    def constant(slot: Item, pages: int) -> bool:
-        return slot.stat[4] is not None and slot.stat[0] >= pages
+    def own(row: tuple[int, Place, Item]) -> bool:
+        return not constant(row, CONSTANT_IN_ARTICLE) and not (row[1].weak and (constant(row, CONSTANT_PAGES) or linked(row)))
 
     regions = [lambda p: p.article and not p.off_article and not p.above, lambda p: p.article and not p.off_article, lambda p: p.main and not p.off_main]
     for region in regions:
         inside = [r for r in known if region(r[1])]
-        own_text = [r for r in inside if not constant(r[2], CONSTANT_IN_ARTICLE)]
-        if sum(len(page.blocks[r[0]][0]) for r in own_text) * 2 < sum(len(page.blocks[r[0]][0]) for r in inside):
+        own_text = [r for r in inside if own(r)]
+        size = lambda rows: sum(len(page.blocks[r[0]][0]) for r in rows)
+        if 2 * size(own_text) < size(inside) and 2 * len(own_text) < len(inside):
             own_text = inside  # pages that repeat each other, not a template
         if own_text:
             return _text(page, own_text)
     near = [r for r in known if not r[1].off]
-    loose = [r for r in near if not constant(r[2], CONSTANT_PAGES) and r[2].stat[3] * 2 <= r[2].stat[2]]
+    loose = [r for r in near if not constant(r, CONSTANT_PAGES) and (r[2].stat[3] * 2 <= r[2].stat[2] or r[1].prose and not linked(r))]
     return _text(page, loose or near)
 
 

@@ -403,13 +403,30 @@ def test_wrappers_lose_nothing():
     assert texts_of("<aside><article>teaser</article></aside><article>story</article>", "<aside><article>teaser</article></aside>") == ["story", "teaser"]
 
 
+def test_wrappers_decide_by_block():
+    """A slot of several blocks: what the template repeats goes, what is a page's own stays, also next to links."""
+    assert texts_of("<article><header class='header'><h1>Title</h1></header><p>Body</p><section class='widgets'><p>of all sizes</p></section><div id='search'>for truth</div><div class='comments'>c</div></article>") == ["Title\n\nBody\n\nof all sizes\n\nfor truth"]
+    linked = [f"<div><h1>T{i}</h1><p><a>all linked {i}</a></p><p>own words {i}</p></div>" for i in range(5)]
+    assert texts_of(*linked) == [f"T{i}\n\nown words {i}" for i in range(5)]
+    letter = "<p>Sign up for our newsletter today.</p>"
+    own = [[f"paragraph {i} {j}" for j in range(i % 5 + 2)] for i in range(30)]
+    pages = [f"<article><h1>Title {i}</h1>" + "".join(f"<p>{x}</p>" for x in p) + letter + "</article>" for i, p in enumerate(own)]
+    assert texts_of(*pages) == ["\n\n".join([f"Title {i}", *p]) for i, p in enumerate(own)]
+    # The same without an article, and a passage that a quarter of the pages share stays.
+    pages = [f"<div><p>{'shared by some' if i % 4 == 0 else f'lead {i}'}</p><p>own {i}</p><p>own too {i}</p>{letter}</div>" for i in range(40)]
+    want = [f"{'shared by some' if i % 4 == 0 else f'lead {i}'}\n\nown {i}\n\nown too {i}" for i in range(40)]
+    assert texts_of(*pages) == want
+    bare = [wrappers.main_text(markup.Page(x, tree=True), None) for x in pages]
+    assert all(b != w for b, w in zip(bare, want))  # it is the host's wrapper that decides
+
+
 def test_wrappers_drop_the_template():
     pages = [f"<div class=top><a href=/>Home</a> <a href=/b>B</a></div><div><h1>Title {i}</h1><p>para {i}</p><p>always</p><p>other {i * 7}</p></div><div>all rights reserved</div>" for i in range(6)]
-    assert texts_of(*pages) == [f"Title {i}\n\npara {i}\n\nalways\n\nother {i * 7}" for i in range(6)]
+    assert texts_of(*pages) == [f"Title {i}\n\npara {i}\n\nother {i * 7}" for i in range(6)]  # also among others of its kind
     pages = [f"<article><h1>Title {i}</h1><div>sign up for our letter</div><section><p>para {i} of the story</p><p>other {i * 7}</p></section><div class='comment-list'><p>reader {i}</p></div><form>f</form></article>" for i in range(9)]
     assert texts_of(*pages) == [f"Title {i}\n\npara {i} of the story\n\nother {i * 7}" for i in range(9)]
     for token, gone in {"ad": 1, "cookie-notice": 1, "sidebarLeft": 1, "comments-area": 1, "with-sidebar": 0, "more-text": 0, "headline": 0, "entry-header": 0, "site-header": 1, "skip-link": 1, "adjust": 0, "": 0}.items():
-        assert markup.marks_away(token) == bool(gone), token
+        assert bool(markup.marks_away(token)) == bool(gone), token
 
 
 def test_warc(spark, tmp_path):
