@@ -17,7 +17,7 @@ def syntax(d) -> list[str]:
     forms = counted(DOCS, "SELECT * FROM $form_xobjects", "SELECT * FROM $form_xobjects WHERE NOT is_valid")
     return [
         rows("$documents", PASS, "The version is within the supported range.", ok, branch=1),
-        rows("$documents", FAIL, "The version is malformed or out of range.", f"NOT {ok}", severity=HIGH, branch=1),
+        rows("$documents", FAIL, "The version is malformed or out of range.", f"NOT {ok}", severity=HIGH, branch=1, evidence="concat('Version: ', coalesce(s.pdf_version, 'none'))"),
         rows("$documents", FAIL, "Encryption bars assistive technology from the text.", "s.is_encrypted AND NOT s.allows_extraction", severity=CRITICAL, branch=2),
         rows("$documents", PASS, "Security settings let assistive technology read.", "NOT (s.is_encrypted AND NOT s.allows_extraction)", branch=2),
         rows(pages, PASS, "The page's media box is valid.", "s.sized", page="s.page_number", branch=3, pos="s.page_number * 2"),
@@ -47,7 +47,7 @@ def font_unicode(d) -> list[str]:
     used = f"(SELECT f.*, f.has_tounicode OR f.has_standard_encoding OR coalesce({d.replaced('f.encoding', '^/+|/+$', '')} IN {one_of(STANDARD_ENCODINGS)}, false) AS mapped, coalesce(p.page, 1) AS page FROM $fonts f LEFT JOIN $font_pages p ON p.doc_id = f.doc_id AND p.font_ord = f.ord AND p.idx = 0 WHERE f.is_used)"
     good = f"(SELECT doc_id, count(*) AS n FROM {used} u WHERE is_embedded AND mapped GROUP BY doc_id)"
     return [
-        rows(used, WARNING, "The font has no mapping to Unicode.", "NOT s.mapped", page="s.page", ref="concat('Font ', s.name)", branch=1, pos="s.ord"),
+        rows(used, WARNING, "The font has no mapping to Unicode.", "NOT s.mapped", page="s.page", ref="concat('Font ', s.name)", branch=1, pos="s.ord", evidence="concat('Encoding: ', coalesce(s.encoding, 'none'))"),
         rows(good, PASS, "Embedded fonts map to Unicode.", items="s.n", branch=2),
     ]
 

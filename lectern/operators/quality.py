@@ -19,12 +19,12 @@ def _is(tag: str) -> str:
 
 def heading_hierarchy(d) -> list[str]:
     first = f"SELECT n.doc_id, n.tag, n.node_id, n.level, n.page FROM $headings n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE n.before IS NULL AND n.level <> 1"
-    skips = f"SELECT n.doc_id, n.pos, {PAGE1}, {REF} FROM $headings n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE n.level > n.before + 1"
+    skips = f"SELECT n.doc_id, n.pos, {PAGE1}, {REF}, concat('Level ', CAST(n.level AS STRING), ' after level ', CAST(n.before AS STRING)) AS quote FROM $headings n JOIN $documents t ON t.doc_id = n.doc_id AND t.has_structure_tree WHERE n.level > n.before + 1"
     docs = counted(WITH_TREE, "SELECT * FROM $headings", first, skips)
     return [
         rows(docs, WARNING, "There are no numbered headings.", "s.n0 = 0", confidence="0.8", branch=1),
         rows(f"({first})", WARNING, "The first heading is not H1.", page="coalesce(nullif(s.page, 0), 1)", ref=NAMED, confidence="0.85", branch=2),
-        *capped(skips, WARNING, "A heading level is skipped.", 5, "sum", 3, MEDIUM, "0.85", "0.85"),
+        *capped(skips, WARNING, "A heading level is skipped.", 5, "sum", 3, MEDIUM, "0.85", "0.85", evidence="s.quote"),
         rows(docs, PASS, "Heading levels are consistent.", "s.n0 > 0 AND s.n1 = 0 AND s.n2 = 0", branch=4),
     ]
 
@@ -42,14 +42,14 @@ def table_regularity(d) -> list[str]:
 
 def link_labels(d) -> list[str]:
     text = strip(d, "coalesce(text, '')")
-    vague = f"SELECT doc_id, ord AS pos, page, CAST(NULL AS STRING) AS ref FROM $links WHERE {d.matches(text, VAGUE_LINK)}"
-    bare = f"SELECT doc_id, ord, page FROM $links WHERE {text} LIKE 'http://%' OR {text} LIKE 'https://%' OR {text} LIKE 'www.%'"
-    one = f"(SELECT doc_id, page FROM (SELECT b.*, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM ({bare}) b) r WHERE rn = 1)"
+    vague = f"SELECT doc_id, ord AS pos, page, CAST(NULL AS STRING) AS ref, concat('Text: \"', {text}, '\"') AS quote FROM $links WHERE {d.matches(text, VAGUE_LINK)}"
+    bare = f"SELECT doc_id, ord, page, concat('Text: \"', {text}, '\"') AS quote FROM $links WHERE {text} LIKE 'http://%' OR {text} LIKE 'https://%' OR {text} LIKE 'www.%'"
+    one = f"(SELECT doc_id, page, quote FROM (SELECT b.*, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM ({bare}) b) r WHERE rn = 1)"
     docs = counted(DOCS, "SELECT * FROM $links", vague, bare)
     return [
         rows(docs, PASS, "There are no links.", "s.n0 = 0", branch=0),
-        *capped(vague, WARNING, "The link's label says too little.", 5, None, 1, confidence="0.9"),
-        rows(one, WARNING, "Links are labelled with their address.", page="s.page", confidence="0.9", branch=2),
+        *capped(vague, WARNING, "The link's label says too little.", 5, None, 1, confidence="0.9", evidence="s.quote"),
+        rows(one, WARNING, "Links are labelled with their address.", page="s.page", confidence="0.9", branch=2, evidence="s.quote"),
         rows(docs, PASS, "Link labels are meaningful.", "s.n0 > 0 AND s.n1 = 0 AND s.n2 = 0", branch=3),
     ]
 
@@ -78,9 +78,9 @@ def toc_destinations(d) -> list[str]:
 
 def alt_on_text(d) -> list[str]:
     text = f"SELECT n.* FROM {TREE} WHERE n.std_up IN {one_of(TEXT_ROLES)}"
-    bad = f"SELECT n.doc_id, n.pos, {PAGE1}, {REF} FROM ({text}) n WHERE {filled(d, 'n.alt_text')} AND length({strip(d, 'coalesce(n.text_content, chr(32))')}) > 1"
+    bad = f"SELECT n.doc_id, n.pos, {PAGE1}, {REF}, concat('Alternative text: \"', n.alt_text, '\"') AS quote FROM ({text}) n WHERE {filled(d, 'n.alt_text')} AND length({strip(d, 'coalesce(n.text_content, chr(32))')}) > 1"
     docs = counted(f"SELECT DISTINCT doc_id FROM ({text}) x", bad)
-    return [*capped(bad, WARNING, "A text element has an alternative text.", 5, "sum", 1, MEDIUM), rows(docs, PASS, "No text element has an alternative text.", "s.n0 = 0", "0", branch=2)]
+    return [*capped(bad, WARNING, "A text element has an alternative text.", 5, "sum", 1, MEDIUM, evidence="s.quote"), rows(docs, PASS, "No text element has an alternative text.", "s.n0 = 0", "0", branch=2)]
 
 
 def alt_validity(d) -> list[str]:
@@ -89,11 +89,11 @@ def alt_validity(d) -> list[str]:
     images = f"SELECT i.doc_id, 1000000000000 + i.ord AS pos, coalesce(nullif(i.page, 0), 1) AS page, concat('<Image id=''', i.image_id, '''>') AS ref, {strip(d, 'i.alt_text')} AS alt FROM $images i LEFT JOIN ({graphics}) g ON g.doc_id = i.doc_id AND g.node_id = i.structure_element_id WHERE NOT i.is_artifact AND g.doc_id IS NULL AND {truthy('i.alt_text')}"
     both = f"{nodes} UNION ALL {images}"
     short = f"length(alt) <= 2 AND NOT {d.matches('alt', r'^[\p{L}\p{N}]+$')}"
-    bad = f"SELECT doc_id, pos, page, ref, CASE WHEN alt = '' THEN 'HIGH' ELSE 'MEDIUM' END AS sev FROM ({both}) b WHERE alt = '' OR {d.matches('alt', FILE_NAME)} OR {d.matches('alt', PLACEHOLDER_QUALITY)} OR ({short})"
+    bad = f"SELECT doc_id, pos, page, ref, concat('Alternative text: \"', alt, '\"') AS quote, CASE WHEN alt = '' THEN 'HIGH' ELSE 'MEDIUM' END AS sev FROM ({both}) b WHERE alt = '' OR {d.matches('alt', FILE_NAME)} OR {d.matches('alt', PLACEHOLDER_QUALITY)} OR ({short})"
     ranked = f"(SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.pos) AS rn, count(*) OVER (PARTITION BY f.doc_id) AS cnt FROM ({bad}) f)"
     docs = counted(f"SELECT DISTINCT doc_id FROM ({both}) x", both, bad)
     return [
-        rows(ranked, WARNING, "An alternative text is empty, a file name or a placeholder.", "s.rn <= 5", page="s.page", ref="s.ref", severity="(s.sev)", branch=1, pos="s.rn"),
+        rows(ranked, WARNING, "An alternative text is empty, a file name or a placeholder.", "s.rn <= 5", page="s.page", ref="s.ref", severity="(s.sev)", branch=1, pos="s.rn", evidence="s.quote"),
         rows(ranked, WARNING, "Further alternative texts are poor.", "s.rn = 6", "s.cnt - 5", severity=MEDIUM, branch=1, pos="6"),
         rows(docs, PASS, "Alternative texts are valid.", "s.n0 > s.n1", "s.n0 - s.n1", branch=2),
     ]
@@ -131,8 +131,8 @@ def notes_in_paragraphs(d) -> list[str]:
 def artifacted_body(d) -> list[str]:
     text = strip(d, "coalesce(text_snippet, '')")
     words = d.size(d.kept(d.found("txt", f"[^{SPACE[1:]}+"), "w", f"length(w) > 1 AND {d.matches('w', r'^\p{L}+$')}"))
-    bad = f"SELECT doc_id, CAST(page_number AS BIGINT) * 100000 + ord AS pos, page_number AS page, CAST(NULL AS STRING) AS ref FROM (SELECT a.*, {text} AS txt FROM $artifacts a) x WHERE txt <> '' AND txt NOT LIKE 'Artifact in Form XObject%' AND NOT {d.matches('txt', PAGINATION)} AND NOT {d.matches('txt', MATH_OR_CODE)} AND length(txt) > 20 AND {words} >= 4"
-    return capped(bad, WARNING, "Body text is marked as an artifact.", 5, "sum", 1, HIGH)
+    bad = f"SELECT doc_id, CAST(page_number AS BIGINT) * 100000 + ord AS pos, page_number AS page, CAST(NULL AS STRING) AS ref, concat('Content: \"', txt, '\"') AS quote FROM (SELECT a.*, {text} AS txt FROM $artifacts a) x WHERE txt <> '' AND txt NOT LIKE 'Artifact in Form XObject%' AND NOT {d.matches('txt', PAGINATION)} AND NOT {d.matches('txt', MATH_OR_CODE)} AND length(txt) > 20 AND {words} >= 4"
+    return capped(bad, WARNING, "Body text is marked as an artifact.", 5, "sum", 1, HIGH, evidence="s.quote")
 
 
 def link_completeness(d) -> list[str]:
@@ -173,8 +173,8 @@ def list_items(d) -> list[str]:
 def alt_semantics(d) -> list[str]:
     figures = f"SELECT n.*, {REF}, {strip(d, 'n.alt_text')} AS alt FROM {TREE} WHERE n.std_up = 'FIGURE'"
     words = d.size(d.found("alt", f"[^{SPACE[1:]}+"))
-    bad = f"SELECT doc_id, pos, coalesce(nullif(page, 0), 1) AS page, ref FROM ({figures}) f WHERE {truthy('alt')} AND ({d.matches('alt', REDUNDANT_ALT)} OR ({words} < 3 AND length(alt) < 15))"
-    return [*capped(bad, WARNING, "An alternative text says little.", 5, None, 1), rows(counted(DOCS, bad), PASS, "Alternative texts are meaningful.", "s.n0 = 0", branch=2)]
+    bad = f"SELECT doc_id, pos, coalesce(nullif(page, 0), 1) AS page, ref, concat('Alternative text: \"', alt, '\"') AS quote FROM ({figures}) f WHERE {truthy('alt')} AND ({d.matches('alt', REDUNDANT_ALT)} OR ({words} < 3 AND length(alt) < 15))"
+    return [*capped(bad, WARNING, "An alternative text says little.", 5, None, 1, evidence="s.quote"), rows(counted(DOCS, bad), PASS, "Alternative texts are meaningful.", "s.n0 = 0", branch=2)]
 
 
 def readability_of(d, source: str) -> str:

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, PySparkException, PythonException, SparkRuntimeException, UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.sql import Duck, Spark, bound, quoted, tables_in
 from lectern.operators import pdfua, quality, wcag
 from lectern.operators.base import COLUMNS
-from lectern.schema import ENTITIES, ERROR, HIGH, RULES, Rule
+from lectern.schema import BOXED, ENTITIES, ERROR, HIGH, REMEDIES, RULES, Rule
 
 from .derive import derived
 
 EVALUATORS = {**pdfua.RULES, **wcag.RULES, **quality.RULES}
 #: Columns of findings.
-FINDINGS = "doc_id, rule_ord, check_id, name, category, standard, branch, pos, status, severity, items_count, page, object_reference, confidence, machine_testable, manual_review_required, message"
+FINDINGS = "doc_id, rule_ord, check_id, name, category, standard, branch, pos, status, severity, items_count, page, object_reference, confidence, machine_testable, manual_review_required, message, evidence, remediation, x0, y0, x1, y1"
 
-FINDINGS_SCHEMA = "doc_id long, rule_ord int, check_id string, name string, category string, standard string, branch int, pos long, status string, severity string, items_count long, page int, object_reference string, confidence double, machine_testable boolean, manual_review_required boolean, message string"
+FINDINGS_SCHEMA = "doc_id long, rule_ord int, check_id string, name string, category string, standard string, branch int, pos long, status string, severity string, items_count long, page int, object_reference string, confidence double, machine_testable boolean, manual_review_required boolean, message string, evidence string, remediation string, x0 double, y0 double, x1 double, y1 double"
 
 
 def rule_sql(d, check_id: str) -> str | None:
@@ -29,14 +32,20 @@ def rule_sql(d, check_id: str) -> str | None:
         return None
     r: Rule = RULES[check_id]
     union = " UNION ALL ".join(f"SELECT {COLUMNS} FROM ({s}) r{i}" for i, s in enumerate(selects))
+    # What a rule does not quote is told by where the finding stands.
+    place = "CASE WHEN object_reference IS NOT NULL AND page IS NOT NULL THEN concat(object_reference, ', page ', CAST(page AS STRING)) WHEN object_reference IS NOT NULL THEN object_reference WHEN page IS NOT NULL THEN concat('Page ', CAST(page AS STRING)) ELSE concat('Items: ', CAST(items_count AS STRING)) END"
+    box = ", ".join(f"{'b.' + x if check_id in BOXED else 'CAST(NULL AS DOUBLE)'} AS {x}" for x in ("x0", "y0", "x1", "y1"))
+    named = d.replaced("u.object_reference", "^.*id='([^']*)'.*$", d.group(1))
+    boxes = f" LEFT JOIN $node_boxes b ON b.doc_id = u.doc_id AND b.node_id = {named} AND u.status <> 'PASS'" if check_id in BOXED else ""
     return (
-        f"SELECT doc_id, {r.ord} AS rule_ord, {quoted(r.check_id)} AS check_id, {quoted(r.name)} AS name, {quoted(r.category)} AS category, {quoted(r.standard)} AS standard, branch, pos, status, coalesce(severity, {quoted(r.severity)}) AS severity, "
-        f"items_count, page, object_reference, confidence, {str(r.machine_testable).lower()} AND NOT manual AS machine_testable, manual AS manual_review_required, message FROM ({union}) u"
+        f"SELECT u.doc_id, {r.ord} AS rule_ord, {quoted(r.check_id)} AS check_id, {quoted(r.name)} AS name, {quoted(r.category)} AS category, {quoted(r.standard)} AS standard, branch, pos, status, coalesce(severity, {quoted(r.severity)}) AS severity, "
+        f"items_count, page, object_reference, confidence, {str(r.machine_testable).lower()} AND NOT manual AS machine_testable, manual AS manual_review_required, message, coalesce(evidence, {place}) AS evidence, "
+        f"CASE WHEN status IN ('PASS', 'NOT APPLICABLE') THEN CAST(NULL AS STRING) ELSE {quoted(REMEDIES[check_id])} END AS remediation, {box} FROM ({union}) u{boxes}"
     )
 
 
 #: Derived tables in an order in which each can read those before it.
-WAVES = [["nf", "headings", "table_view", "list_view", "roles", "mcid_refs"], ["node_roles", "flags"]]
+WAVES = [["nf", "headings", "table_view", "list_view", "roles", "mcid_refs", "node_boxes"], ["node_roles", "flags"]]
 
 
 class Corpus:
@@ -96,7 +105,8 @@ class Corpus:
 
         Each rule is a job of its own that writes its part of a findings table under path, a few at a
         time: one plan of all rules would take longer to plan than to run, and this way a rule that
-        fails, in planning or running, gives an ERROR finding a document and harms no other."""
+        fails, in planning or evaluation, gives an ERROR finding a document and harms no other.  What is
+        no fault of a rule (lost executors, full disks, memory) fails the whole audit."""
         for name in [*self.frames, *self._derived]:
             self.view(name)
 
@@ -107,6 +117,8 @@ class Corpus:
                 if found is not None:
                     found.select(*FINDINGS.split(", ")).write.mode("overwrite").parquet(part)
             except Exception as e:
+                if not _of_the_rule(e):
+                    raise
                 self._error(r, e).select(*FINDINGS.split(", ")).write.mode("overwrite").parquet(part)
 
         jobs = [(c, lambda c=c: self.rule(c), RULES[c]) for c in (rules if rules is not None else RULES)]
@@ -116,10 +128,28 @@ class Corpus:
         return self.spark.read.schema(FINDINGS_SCHEMA).parquet(f"{path}/*")
 
     def _error(self, r: Rule, e: Exception) -> DataFrame:
-        values = {"rule_ord": F.lit(r.ord), "check_id": F.lit(r.check_id), "name": F.lit(r.name), "category": F.lit(r.category), "standard": F.lit(r.standard), "branch": F.lit(0), "pos": F.lit(0).cast("long"), "status": F.lit(ERROR), "severity": F.lit(HIGH), "items_count": F.lit(1).cast("long"), "page": F.lit(None).cast("int"), "object_reference": F.lit(None).cast("string"), "confidence": F.lit(0.5), "machine_testable": F.lit(True), "manual_review_required": F.lit(False), "message": F.lit(f"The rule could not be evaluated: {str(e)[:200]}")}
+        values = {"rule_ord": F.lit(r.ord), "check_id": F.lit(r.check_id), "name": F.lit(r.name), "category": F.lit(r.category), "standard": F.lit(r.standard), "branch": F.lit(0), "pos": F.lit(0).cast("long"), "status": F.lit(ERROR), "severity": F.lit(HIGH), "items_count": F.lit(1).cast("long"), "page": F.lit(None).cast("int"), "object_reference": F.lit(None).cast("string"), "confidence": F.lit(0.5), "machine_testable": F.lit(True), "manual_review_required": F.lit(False), "message": F.lit(f"The rule could not be evaluated: {str(e)[:200]}"), "evidence": F.lit(type(e).__name__), "remediation": F.lit("Report the error and evaluate the document again."), **{x: F.lit(None).cast("double") for x in ("x0", "y0", "x1", "y1")}}
         return self.frames["documents"].select("doc_id", *[v.alias(k) for k, v in values.items()])
 
 
+#: What Spark raises where an expression cannot be planned or evaluated, and its JVM names inside failed jobs.
+RULE_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, PythonException, SparkRuntimeException, UnsupportedOperationException)
+RULE_CAUSES = re.compile(r"\b(AnalysisException|Spark(Arithmetic|ArrayIndexOutOfBounds|DateTime|IllegalArgument|NumberFormat|Runtime|UnsupportedOperation)Exception|PythonException|ArithmeticException|NumberFormatException)\b")
+OTHER_CAUSES = re.compile(r"ExecutorLostFailure|OutOfMemoryError|No space left|FetchFailed|IOException|FileNotFoundException|TaskKilled|SparkContext was shut down")
+
+
+def _of_the_rule(e: Exception) -> bool:
+    """Whether evaluating the rule failed, and not what it ran on."""
+    said = str(e)
+    if OTHER_CAUSES.search(said):
+        return False
+    if isinstance(e, RULE_ERRORS):
+        return True
+    if isinstance(e, (PySparkException, Py4JError)):
+        return bool(RULE_CAUSES.search(said))
+    return not isinstance(e, (OSError, MemoryError))
+
+
 def ansi(text: str, entities: dict[str, str], base: tuple[str, ...] = ()) -> str:
     """text as a self-contained query for an ANSI engine: its tables, and theirs, as common table expressions.
 

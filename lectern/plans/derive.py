@@ -124,5 +124,15 @@ def mcid_refs() -> str:
 FROM $node_mcids m JOIN $nodes n ON n.doc_id = m.doc_id AND n.node_id = m.node_id"""
 
 
+def node_boxes() -> str:
+    """Nodes with the union of their marks' boxes, as plans.locate gives it: the i-th mark of a page has the box of its i-th block of text."""
+    blocks = "SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY first_ord) AS i, x0, y0, x1, y1 FROM (SELECT doc_id, page_number, block, min(ord) AS first_ord, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM $spans GROUP BY doc_id, page_number, block) b"
+    marks = "SELECT doc_id, page_number, mcid, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY ord, mcid) AS i FROM (SELECT doc_id, page_number, mcid, min(ord) AS ord FROM $page_mcids GROUP BY doc_id, page_number, mcid) m"
+    refs = "SELECT m.doc_id, m.node_id, m.mcid, m.is_entry, max(CASE WHEN m.is_entry THEN 1 ELSE 0 END) OVER (PARTITION BY m.doc_id, m.node_id) AS entries, nullif(m.explicit_page, 0) AS own_page, nullif(n.page, 0) AS node_page FROM $node_mcids m JOIN $nodes n ON n.doc_id = m.doc_id AND n.node_id = m.node_id"
+    used = f"SELECT doc_id, node_id, mcid, CASE WHEN entries = 1 THEN coalesce(own_page, node_page) ELSE node_page END AS page FROM ({refs}) r WHERE is_entry OR entries = 0"
+    return f"""SELECT u.doc_id, u.node_id, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1 FROM ({used}) u JOIN ({marks}) m ON m.doc_id = u.doc_id AND m.page_number = u.page AND m.mcid = u.mcid
+JOIN ({blocks}) b ON b.doc_id = m.doc_id AND b.page_number = m.page_number AND b.i = m.i WHERE b.x0 > 0 OR b.y0 > 0 OR b.x1 > 0 OR b.y1 > 0 GROUP BY u.doc_id, u.node_id"""
+
+
 def derived(d) -> dict[str, str]:
-    return {"nf": features(), "headings": headings(), "table_view": table_view(d), "list_view": list_view(), "roles": roles(d), "node_roles": node_roles(), "flags": flags(d), "mcid_refs": mcid_refs()}
+    return {"nf": features(), "headings": headings(), "table_view": table_view(d), "list_view": list_view(), "roles": roles(d), "node_roles": node_roles(), "flags": flags(d), "mcid_refs": mcid_refs(), "node_boxes": node_boxes()}

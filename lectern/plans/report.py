@@ -23,16 +23,18 @@ def totals() -> str:
 
 
 def batch_summary() -> str:
-    """One row a document as a batch scan lists it."""
-    return f"SELECT t.doc_id, d.filename, d.is_tagged, t.passed, t.warned, t.failed, t.compliance_score, {BAND} AS band, 'Success' AS status FROM ({totals()}) t JOIN $documents d ON d.doc_id = t.doc_id"
+    """One row a file as a batch scan lists it; files that could not be read stand there with zeros and their error."""
+    read = f"SELECT t.doc_id, d.filename, d.is_tagged, t.passed, t.warned, t.failed, t.compliance_score, {BAND} AS band, 'Success' AS status FROM ({totals()}) t JOIN $documents d ON d.doc_id = t.doc_id"
+    none = "CAST(0 AS BIGINT)"
+    return f"{read} UNION ALL SELECT doc_id, filename, false, {none}, {none}, {none}, CAST(0.0 AS DOUBLE), 'red', concat('Error: ', message) FROM $errors"
 
 
 def document_info() -> str:
     """The document's facts beside counts of its elements; the root is no tag."""
     n = lambda t, w="true": f"LEFT JOIN (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM ${t} WHERE {w} GROUP BY doc_id) {t} ON {t}.doc_id = d.doc_id"
-    parts = [("nodes", "tag <> 'StructTreeRoot' OR tag IS NULL"), ("fonts", "true"), ("images", "true"), ("links", "true"), ("form_fields", "true"), ("annotations", "true")]
-    cols = ", ".join(f"coalesce({t}.n, 0) AS {t}_count" for t, _ in parts)
-    return f"SELECT d.doc_id, d.filename, d.pdf_version, d.page_count, coalesce(nullif(d.title, ''), 'Untitled') AS title, coalesce(nullif(d.language, ''), 'Not specified') AS language, d.is_tagged, d.is_encrypted, d.bookmarks_count, {cols} FROM $documents d " + " ".join(n(t, w) for t, w in parts)
+    parts = [("nodes", "tag <> 'StructTreeRoot' OR tag IS NULL"), ("fonts", "true"), ("images", "true"), ("links", "true"), ("form_fields", "true"), ("annotations", "true"), ("table_view", "true")]
+    cols = ", ".join(f"coalesce({t}.n, 0) AS {'tables' if t == 'table_view' else t}_count" for t, _ in parts)
+    return f"SELECT d.doc_id, d.filename, d.filepath, d.filesize, d.pdf_version, d.page_count, coalesce(nullif(d.title, ''), 'Untitled') AS title, coalesce(d.author, '') AS author, d.display_doc_title, d.pdfua_identifier_present AS pdfua_declared, coalesce(nullif(d.language, ''), 'Not specified') AS language, d.is_tagged, d.is_encrypted, d.bookmarks_count, {cols} FROM $documents d " + " ".join(n(t, w) for t, w in parts)
 
 
 def _seed(standard: str) -> str:
@@ -46,8 +48,7 @@ def _case(x: str, moves: dict[str, str], other: str) -> str:
 def matrix(standard: str) -> str:
     """Every category of a standard for every document, with items passed, warned, failed and left to a person."""
     if standard == "PDF/UA":
-        moved = _case("category", PDFUA_MOVES, "category")
-        target = f"CASE WHEN category = 'Annotations' THEN CASE WHEN check_id = 'PDFUA-ANNOT-002' THEN 'Document settings' ELSE 'Content' END WHEN check_id LIKE 'PDFUA-UNICODE-%' THEN 'Natural language' WHEN {moved} IN {one_of(CATEGORIES[standard])} THEN {moved} ELSE 'Content' END"
+        target = _pdfua_category()
         # Failures of font embedding count once a font, however many pages they are listed for.
         once = "row_number() OVER (PARTITION BY doc_id, check_id, CASE WHEN status IN ('FAIL', 'ERROR') THEN coalesce(nullif(object_reference, ''), message) END, status IN ('FAIL', 'ERROR') ORDER BY branch, pos)"
         found = f"SELECT doc_id, {target} AS category, status, items_count FROM (SELECT f.*, CASE WHEN check_id = 'PDFUA-FONT-001' AND status IN ('FAIL', 'ERROR') THEN {once} ELSE 1 END AS nth FROM $findings f WHERE lower(standard) = 'pdf/ua') x WHERE nth = 1"
@@ -94,20 +95,33 @@ def rollup() -> str:
     return "SELECT standard, category, status, CAST(count(*) AS BIGINT) AS findings, CAST(sum(items_count) AS BIGINT) AS items FROM $findings GROUP BY GROUPING SETS ((standard, category, status), (standard, status), (status))"
 
 
+#: The matrix category of a PDF/UA finding.
+def _pdfua_category() -> str:
+    moved = _case("category", PDFUA_MOVES, "category")
+    return f"CASE WHEN category = 'Annotations' THEN CASE WHEN check_id = 'PDFUA-ANNOT-002' THEN 'Document settings' ELSE 'Content' END WHEN check_id LIKE 'PDFUA-UNICODE-%' THEN 'Natural language' WHEN {moved} IN {one_of(CATEGORIES['PDF/UA'])} THEN {moved} ELSE 'Content' END"
+
+
 def search(text: str = "", statuses: tuple[str, ...] = (), standard: str = "", category: str = "", rules: tuple[str, ...] = ()) -> str:
-    """Findings that meet all conditions given; text is looked for, in lower case, in id, category, name and message."""
+    """Findings that meet all conditions given; a category means the raw one or that of the standard's matrix; text is looked for, in lower case, in id, category, name, message and evidence."""
     cond = ["true"]
     if statuses:
         cond.append(f"status IN {one_of(statuses)}")
     if standard:
         cond.append(f"lower(standard) = {quoted(standard.lower())}")
     if category:
-        cond.append(f"(lower(category) = {quoted(category.lower())} OR (lower(standard) = 'wcag' AND substr(category, 1, 3) = {quoted(category[:3])}))")
+        cond.append(f"(lower(category) = {quoted(category.lower())} OR (lower(standard) = 'wcag' AND substr(category, 1, 3) = {quoted(category[:3])}) OR (lower(standard) = 'pdf/ua' AND lower({_pdfua_category()}) = {quoted(category.lower())}))")
     if rules:
         cond.append(f"check_id IN {one_of(rules)}")
     if text:
-        cond.append(f"instr(lower(concat_ws(' ', check_id, category, name, message)), {quoted(text.lower())}) > 0")
-    return f"SELECT doc_id, check_id, branch, pos, status, severity, items_count, page, object_reference, message FROM $findings WHERE {' AND '.join(cond)}"
+        cond.append(f"instr(lower(concat_ws(' ', check_id, category, name, message, evidence)), {quoted(text.lower())}) > 0")
+    return f"SELECT doc_id, check_id, branch, pos, status, severity, items_count, page, object_reference, message, evidence, remediation FROM $findings WHERE {' AND '.join(cond)}"
+
+
+def drilldown_counts() -> str:
+    """How many findings, problems and items a drill-down into each category of the PDF/UA matrix shows."""
+    found = f"SELECT doc_id, {_pdfua_category()} AS category, status, items_count FROM $findings WHERE lower(standard) = 'pdf/ua'"
+    sums = f"SELECT doc_id, category, count(*) AS findings, count(CASE WHEN status IN {one_of(PROBLEMS)} THEN 1 END) AS problems, sum(items_count) AS items FROM ({found}) f GROUP BY doc_id, category"
+    return f"SELECT d.doc_id, c.ord, c.category, CAST(coalesce(s.findings, 0) AS BIGINT) AS findings, CAST(coalesce(s.problems, 0) AS BIGINT) AS problems, CAST(coalesce(s.items, 0) AS BIGINT) AS items FROM $documents d CROSS JOIN {_seed('PDF/UA')} c LEFT JOIN ({sums}) s ON s.doc_id = d.doc_id AND s.category = c.category"
 
 
 def problems() -> str:
@@ -167,15 +181,16 @@ def comparison(engine: str, oracle: str) -> str:
 
     First on the same page, equal statuses before unequal ones; then across pages in the same two
     steps; what is left is missing from the engine, found by it alone, or an omission of the oracle.
-    Pairing in order is pairing by rank, so each step is a join."""
+    Pairing in order is pairing by rank, so each step is a join.  Text for an ANSI engine; Spark takes
+    the steps of plans.compare."""
     key = "doc_id, category, check_name"
     side = lambda x: f"SELECT {key}, page, coalesce(page, -1) AS pg, status, ord FROM ({x}) x"
-    ctes = [f"e0 AS ({side(engine)})", f"o0 AS ({side(oracle)})"]
+    ctes = [f"e0 AS MATERIALIZED ({side(engine)})", f"o0 AS MATERIALIZED ({side(oracle)})"]
     steps = [("pg, status", "ord", "MATCH"), ("pg", "ord", "STATUS_MISMATCH"), ("status", "pg, ord", "MATCH"), ("", "pg, ord", "STATUS_MISMATCH")]
     out = []
     for k, (more, order, result) in enumerate(steps):
         part = f"{key}, {more}" if more else key
-        ctes += [f"{s}r{k} AS (SELECT x.*, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS rn FROM {s}{k} x)" for s in "eo"]
+        ctes += [f"{s}r{k} AS MATERIALIZED (SELECT x.*, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS rn FROM {s}{k} x)" for s in "eo"]
         on = " AND ".join(f"e.{c} = o.{c}" for c in [*part.split(", "), "rn"])
         page = "e.page" if k < 2 else "coalesce(e.page, o.page)"
         out.append(f"SELECT e.doc_id, {page} AS page, e.category, e.check_name, '{result}' AS classification, o.status AS oracle_status, e.status AS engine_status FROM er{k} e JOIN or{k} o ON {on}")
@@ -191,3 +206,39 @@ def comparison(engine: str, oracle: str) -> str:
 
 def comparison_rollup(engine: str, oracle: str) -> str:
     return f"SELECT doc_id, category, classification, CAST(count(*) AS BIGINT) AS n FROM ({comparison(engine, oracle)}) c GROUP BY GROUPING SETS ((doc_id, classification), (category, classification), (classification))"
+
+
+#: How a document's font findings relate to the oracle's, tested in this order.
+FONT_MATCH = (
+    ("oracle_font_failed = engine_font_failed AND oracle_font_warned = engine_font_warned", "MATCH"),
+    ("engine_font_failed > oracle_font_failed AND oracle_font_failed > 0", "ENGINE_FOUND_ADDITIONAL_OCCURRENCES"),
+    ("engine_font_failed < oracle_font_failed", "ENGINE_MISSED_FAILURES"),
+    ("oracle_font_passed > 0 AND engine_font_failed > 0", "STATUS_DISAGREEMENT"),
+)
+
+
+def font_match(oracle: str) -> str:
+    """One row a document: the oracle's records by status, those of its fonts, the engine's findings of font
+    embedding, all its findings and items, and how the two say of fonts relate.
+
+    Records of the oracle and findings are added up apart, each to the document, before they meet."""
+    by = lambda name, status, cond="true": f"count(CASE WHEN status IN ({status}) AND {cond} THEN 1 END) AS {name}"
+    statuses = (("passed", "'PASS'"), ("failed", "'FAIL'"), ("warned", "'WARNING'"), ("info", "'INFO', 'MANUAL REVIEW'"))
+    fonts = "category = 'Fonts' AND check_name = 'Font Embedding'"
+    said = ", ".join([*(by(f"oracle_{n}", s) for n, s in statuses), *(by(f"oracle_font_{n}", s, fonts) for n, s in statuses)])
+    embedding = "check_id = 'PDFUA-FONT-001'"
+    engine = (("passed", "'PASS'"), ("failed", "'FAIL', 'ERROR'"), ("warned", "'WARNING'"))
+    found = ", ".join([f"count(CASE WHEN {embedding} THEN 1 END) AS engine_font_records", *(by(f"engine_font_{n}", s, embedding) for n, s in (*engine, ("info", "'MANUAL REVIEW'"))), *(by(f"engine_{n}", s) for n, s in engine)])
+    names = [f"oracle_{k}" for k in ("total", *(n for n, _ in statuses))] + ["oracle_font_total"] + [f"oracle_font_{n}" for n, _ in statuses] + ["engine_font_records"] + [f"engine_font_{n}" for n in ("passed", "failed", "warned", "info")] + [f"engine_{n}" for n, _ in engine]
+    counts = ", ".join(f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}" for n in names)
+    one = f"""SELECT d.doc_id, d.page_count, d.is_tagged, {counts} FROM $documents d
+LEFT JOIN (SELECT doc_id, count(*) AS oracle_total, count(CASE WHEN {fonts} THEN 1 END) AS oracle_font_total, {said} FROM ({oracle}) o GROUP BY doc_id) o ON o.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, {found} FROM $findings GROUP BY doc_id) e ON e.doc_id = d.doc_id"""
+    status = "CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for cond, name in FONT_MATCH) + " ELSE 'EVALUATION_DIFFERENCE' END"
+    return f"SELECT x.*, {status} AS font_match, t.findings_count, t.total_checks AS items_total, t.passed AS items_passed, t.failed AS items_failed, t.warned AS items_warned, t.compliance_score FROM ({one}) x JOIN ({totals()}) t ON t.doc_id = x.doc_id"
+
+
+def merged_categories() -> str:
+    """Category counts of the four standards of a document by name: what stands under one name in several is added up."""
+    each = " UNION ALL ".join(f"SELECT doc_id, category, passed, warned, failed, manual FROM ({matrix(s)}) m{i}" for i, s in enumerate(CATEGORIES))
+    return f"SELECT doc_id, category, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(warned) AS BIGINT) AS warned, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(manual) AS BIGINT) AS manual FROM ({each}) c GROUP BY doc_id, category"

@@ -31,6 +31,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing will read again."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stamp(spark: SparkSession, path: str, names: list[str]) -> tuple:
     """What tells whether tables under path are still the same: their sizes and times."""
     jvm = spark.sparkContext._jvm

@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern import oracles
 from lectern.functions.sql import Duck, Spark, bound, strip, tables_in
 from lectern.operators import quality, reading
-from lectern.plans import compare, marks, report
-from lectern.plans.audit import EVALUATORS, FINDINGS, ansi, rule_sql
+from lectern.plans import compare, locate, marks, report
+from lectern.plans.audit import EVALUATORS, FINDINGS, Corpus, ansi, rule_sql
 from lectern.plans.stage import written
 from lectern.sources import pdf, pdf_writer, star
 from lectern.sources.load import audited_corpus, prepared_corpus, table
@@ -73,6 +74,10 @@ def _star() -> dict[str, Callable[[object], str]]:
     out["finding_drilldown"] = lambda d: report.search(standard="wcag", category="2.4 Navigable")
     out["problem_navigation"] = lambda d: report.problems()
     out["oracle_comparison"] = lambda d: report.comparison(report.engine_records(), ORACLE)
+    out["drilldown_mapped"] = lambda d: report.search(standard="pdf/ua", category="Structure elements")
+    out["drilldown_counts"] = lambda d: report.drilldown_counts()
+    out["font_match"] = lambda d: report.font_match(ORACLE)
+    out["merged_categories"] = lambda d: report.merged_categories()
     out["comparison_rollup"] = lambda d: report.comparison_rollup(report.engine_records(), ORACLE)
     return out
 
@@ -124,6 +129,39 @@ def pdf_marked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir)["page_mcids"].select("doc_id", "page_number", "mcid", "text")
 
 
+def _said(c: Corpus) -> DataFrame:
+    """Readable texts of all nodes."""
+    return reading.texts(c.sql("SELECT * FROM $nf"))
+
+
+def _shown(c: Corpus) -> DataFrame:
+    """Findings that name a page, with what tells where on it they are."""
+    return c.sql("SELECT doc_id, check_id, name, category, message, object_reference, evidence, page, x0, y0, x1, y1 FROM $findings WHERE page IS NOT NULL")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Boxes as four columns each."""
+    cols = [[f"{n}.{x} AS {n}_{x}" for x in ("x0", "y0", "x1", "y1")] if k.startswith("struct") else [n] for n, k in df.dtypes]
+    return df.selectExpr(*[x for c in cols for x in c])
+
+
+#: Queries that are functions of a corpus; their oracles are written by hand (lectern.oracles).
+PLACES = {
+    "mark_boxes": locate.mark_boxes,
+    "node_texts": locate.node_texts,
+    "formula_islands": locate.formula_islands,
+    "drawing_clusters": locate.drawing_clusters,
+    "ruled_tables": locate.ruled_tables,
+    "page_locators": lambda c: _flat(locate.page_locators(c)),
+    "node_geometry": lambda c: locate.node_geometry(c, _said(c)),
+    "figure_boxes": locate.figure_boxes,
+    "text_evidence": lambda c: locate.text_evidence(c, _shown(c)),
+    "located_findings": lambda c: locate.located(c, _shown(c), _said(c)),
+}
+#: Those that read findings.
+OF_FINDINGS = ("text_evidence", "located_findings")
+
+
 #: What the files were made of, so what reading them must give: ranks of elements, and their texts
 #: (content under an artifact's tag is none).
 PDF_ORACLES = {
@@ -147,6 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = lambda spark, sf_dir, t=text: _run_star(spark, sf_dir, t)
     for name, text in _plain().items():
         out[name] = lambda spark, sf_dir, t=text: _run_plain(spark, sf_dir, t)
+    for name, made in PLACES.items():
+        corpus = audited_corpus if name in OF_FINDINGS else prepared_corpus
+        out[name] = lambda spark, sf_dir, f=made, c=corpus: f(c(spark, sf_dir))
     out["reading_order"] = lambda spark, sf_dir: reading.reading(prepared_corpus(spark, sf_dir))
     out["reading_totals"] = lambda spark, sf_dir: reading.totals(reading.reading(prepared_corpus(spark, sf_dir)))
     out["reading_transcript"] = lambda spark, sf_dir: reading.transcript(reading.reading(prepared_corpus(spark, sf_dir)))
@@ -161,5 +202,5 @@ def oracle_sql() -> dict[str, str]:
     d = Duck()
     known = {**star.ENTITIES, "findings": findings_sql(d)}
     out = {name: ansi(text(d), known) for name, text in _star().items()}
-    out |= {name: ansi(text, known) for name, text in PDF_ORACLES.items()}
+    out |= {name: ansi(text, known) for name, text in (PDF_ORACLES | oracles.texts() | oracles.by_hand()).items()}
     return out | {name: bound(text(d), {t: t for t in tables_in(text(d))}) for name, text in _plain().items()}

@@ -27,6 +27,12 @@ ENTITIES = {
     "annotations": "doc_id long, ord int, annot_id string, subtype string, page int, is_tagged boolean",
     "form_xobjects": "doc_id long, ord int, is_valid boolean",
     "role_map": "doc_id long, custom_tag string, mapped_tag string",
+    # What stands where on a page, from its upper left corner; boxes of the kind layout are in user space, from the lower left.
+    "spans": "doc_id long, page_number int, ord int, block int, font string, size double, text string, x0 double, y0 double, x1 double, y1 double",
+    "drawings": "doc_id long, page_number int, ord int, x0 double, y0 double, x1 double, y1 double",
+    "boxes": "doc_id long, kind string, page_number int, ord int, node_id string, x0 double, y0 double, x1 double, y1 double",
+    # Files of a scan that could not be read.
+    "errors": "doc_id long, filename string, kind string, message string",
     "parent_tree": "doc_id long, sp_id int, is_array boolean, idx int, is_null boolean, target_obj int, target_tag string",
 }
 
@@ -168,6 +174,80 @@ CATALOGUE = [
 ]
 RULES = {r.check_id: r for r in CATALOGUE}
 
+#: Rules whose findings show the box of the node that their reference names.
+BOXED = ("PDFUA-UNICODE-001", "PDFUA-TREE-001", "PDFUA-STRUCT-001", "PDFUA-STRUCT-002", "PDFUA-FIG-001", "PDFUA-ALT-001", "WCAG-1.1.1", "QUAL-ALT-001", "QUAL-WHITE-001", "QUAL-TEXT-001", "QUAL-LINK-002")
+
+#: What to do about a rule's problems.
+REMEDIES = {
+    "PDFUA-SYNTAX-001": "Save the file anew with a tool that writes valid PDF, and let security settings admit assistive technology.",
+    "PDFUA-FONT-001": "Embed every font, at least the glyphs in use.",
+    "PDFUA-FONT-002": "Give the font a mapping to Unicode, or use one that has a standard encoding.",
+    "PDFUA-UNICODE-001": "Replace private-use characters, or give their element a replacement text.",
+    "PDFUA-UNICODE-002": "Mend the encoding that gives replacement characters.",
+    "PDFUA-CONTENT-001": "Tag the document: export it with structure from the program it was written in.",
+    "PDFUA-CONTENT-002": "Tag the content, or mark it as an artifact.",
+    "PDFUA-CONTENT-004": "Take tagged content out of artifacts.",
+    "PDFUA-CONTENT-005": "Name all marked content in the structure tree.",
+    "PDFUA-CONTENT-006": "Take references to marked content that is not there out of the structure tree.",
+    "PDFUA-CONTENT-007": "Do not nest marked content that has identifiers.",
+    "PDFUA-ARTIFACT-001": "Take decoration out of the structure tree.",
+    "PDFUA-ART-003": "Move artifacts out of tagged content.",
+    "PDFUA-ANNOT-001": "Put the annotation into the structure tree.",
+    "PDFUA-ANNOT-002": "Set the tab order of pages with annotations to that of the structure.",
+    "PDFUA-FORM-001": "Give the field a name and a tooltip that say what it is for.",
+    "PDFUA-EMBEDDED-001": "Describe embedded files, and check that they are accessible too.",
+    "PDFUA-LANG-001": "Set the document's language.",
+    "PDFUA-LANG-002": "Mark the language with a valid code.",
+    "PDFUA-TREE-001": "Move the element to where its kind may stand.",
+    "PDFUA-TREE-002": "Write the parent tree anew from the structure tree.",
+    "PDFUA-STRUCT-001": "Use a standard type, and nest it as the standard allows.",
+    "PDFUA-FIG-001": "Give the figure a bounding box of four numbers.",
+    "PDFUA-LIST-001": "Build lists of items with labels and bodies.",
+    "PDFUA-TABLE-001": "Mark header cells, and make rows equally wide.",
+    "PDFUA-STRUCT-002": "Take empty elements out, or give them their content.",
+    "PDFUA-ROLE-001": "Map every type of your own to a standard one, without circles.",
+    "PDFUA-ALT-001": "Write an alternative text that says what is to be seen.",
+    "PDFUA-META-001": "Add a stream of metadata.",
+    "PDFUA-META-002": "Put the title into the metadata.",
+    "PDFUA-META-003": "Add the identifier of the standard to the metadata.",
+    "PDFUA-SETTINGS-001": "Let the window show the title in place of the file name.",
+    "PDFUA-SETTINGS-003": "Add bookmarks.",
+    "WCAG-1.1.1": "Give graphics and fields alternative texts.",
+    "WCAG-1.2": "Provide captions or a transcript.",
+    "WCAG-1.3": "Express structure in tags, not by looks.",
+    "WCAG-1.4": "Check contrast and use of colour by eye.",
+    "WCAG-2.1": "Make everything reachable by keyboard.",
+    "WCAG-2.2": "Let readers take their time.",
+    "WCAG-2.3": "Take out what flashes.",
+    "WCAG-2.4": "Add a title, bookmarks and an order to follow.",
+    "WCAG-2.5": "Allow other ways of input.",
+    "WCAG-3.1": "Set the language of the document and of its parts.",
+    "WCAG-3.2": "Let pages behave alike.",
+    "WCAG-3.3": "Label fields, and say what went wrong.",
+    "WCAG-4.1": "Give elements roles that assistive technology knows.",
+    "QUAL-HEAD-001": "Begin with a first-level heading and skip no level.",
+    "QUAL-STRUCT-001": "Take empty containers out, or fill them.",
+    "QUAL-TABLE-001": "Complete the rows of the table.",
+    "QUAL-LINK-001": "Label links by where they lead.",
+    "QUAL-BOUND-001": "Move the content onto the page.",
+    "QUAL-TOC-001": "Link contents entries.",
+    "QUAL-TOC-002": "Let contents entries lead to their headings.",
+    "QUAL-TEXT-001": "Take alternative texts off text.",
+    "QUAL-ALT-001": "Describe the graphic in words of its own.",
+    "QUAL-NOTE-001": "Refer to the note from the text.",
+    "QUAL-NOTE-002": "Give the note a label.",
+    "QUAL-NOTE-003": "Move the note out of the paragraph.",
+    "QUAL-ART-001": "Tag text that is to be read.",
+    "QUAL-LINK-002": "Put the link's content into its element.",
+    "QUAL-WHITE-001": "Take elements of white space only out.",
+    "QUAL-TITLE-001": "Set a title that says what the document is, and let it be shown.",
+    "QUAL-BOOKMARK-001": "Make bookmarks of the headings.",
+    "QUAL-LIST-001": "Build list items of a label and a body.",
+    "AI-ALT-001": "Say in a sentence what matters in the graphic.",
+    "AI-READ-001": "Shorten sentences and prefer common words.",
+    "AI-OUTLINE-001": "Add bookmarks that follow the headings.",
+}
+
 #: Matrix categories in their order (fixed values), and where findings go.
 CATEGORIES = {
     "PDF/UA": ["PDF Syntax (ISO 32000-1)", "Fonts", "Content", "Embedded Files", "Natural language", "Structure elements", "Structure tree", "Role mapping", "Alternative Descriptions", "Metadata", "Document settings"],

@@ -15,7 +15,7 @@ from lectern.schema import CATEGORIES, PROBLEMS
 from lectern.sources import pdf_writer
 
 VERSION = "0.1.0"
-CSV_COLUMNS = ["check_id", "name", "category", "standard", "status", "severity", "message", "page", "object_reference", "items_count", "confidence"]
+CSV_COLUMNS = ["check_id", "name", "category", "standard", "status", "severity", "message", "page", "object_reference", "items_count", "confidence", "evidence", "remediation"]
 
 #: Buttons that show the rows of one status; FAIL does not show ERROR.
 HTML_HEAD = (
@@ -33,7 +33,8 @@ def json_reports(corpus: Corpus, findings: DataFrame) -> DataFrame:
     corpus._views.pop("findings", None)
     totals = corpus.sql(report.totals())
     summary = totals.select("doc_id", F.struct(F.col("findings_count").alias("total_checks"), F.col("total_checks").alias("items_total"), "passed", "warned", "failed", F.col("manual").alias("manual_review"), "not_applicable", "compliance_score").alias("summary"))
-    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule_ord", "branch", "pos", *CSV_COLUMNS))).alias("findings"))
+    box = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
+    listed = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule_ord", "branch", "pos", *CSV_COLUMNS, box.alias("bounding_box")))).alias("findings"))
     whole = corpus.frames["documents"].select("doc_id", F.struct("filename", "title", "page_count", "language", "is_tagged").alias("document")).join(summary, "doc_id").join(listed, "doc_id", "left")
     for standard in CATEGORIES:
         rows = corpus.sql(report.matrix(standard)).groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("ord", "category", "passed", "warned", "failed", "manual"))).alias(standard))

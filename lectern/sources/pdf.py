@@ -22,7 +22,7 @@ from lectern.plans.stage import written
 from lectern.schema import ENTITIES, STANDARD_ENCODINGS, STANDARD_TYPES
 
 #: What else a file gives: bookmarks in order with their level, and why a file could not be read.
-MORE = {"bookmarks": "doc_id long, ord int, level int, title string, parent int", "errors": "doc_id long, filename string, kind string, message string"}
+MORE = {"bookmarks": "doc_id long, ord int, level int, title string, parent int"}
 TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\x00\t\n\f\r ]*)*(<<|>>|\[|\]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|\(|<[0-9A-Fa-f\x00\t\n\f\r ]*>|[+-]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*][A-Za-z0-9'\"*]*|[{}>)])")
 OBJECT = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+obj\b")
 REFERENCE = re.compile(rb"[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+R(?![A-Za-z0-9])")
@@ -697,15 +697,7 @@ def extracted(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def pdf_corpus(spark: SparkSession, folder: str) -> tuple[Corpus, DataFrame]:
-    """The corpus of the PDF files straight in a folder (any case of the suffix), and the errors of those that cannot be read."""
+    """The corpus of the PDF files straight in a folder (any case of the suffix), and the errors of those that cannot be read (its entity errors)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     frames = extracted(files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
-    errors = frames.pop("errors")
-    return Corpus(spark, frames), errors
-
-
-def scan_rows(summary: DataFrame, errors: DataFrame) -> DataFrame:
-    """A folder scan: the batch summary of what was read, and zeros with the error of what was not."""
-    zero = {f.name: F.lit(0).cast(f.dataType) for f in summary.schema if f.name in ("passed", "warned", "failed", "compliance_score")}
-    bad = errors.select("doc_id", "filename", F.lit(False).alias("is_tagged"), *[v.alias(k) for k, v in zero.items()], F.lit("red").alias("band"), F.concat(F.lit("Error: "), "message").alias("status"))
-    return summary.unionByName(bad.select(*summary.columns))
+    return Corpus(spark, frames), frames["errors"]

@@ -85,5 +85,5 @@ def test_folder_scan(spark, tmp_path):
     corpus.frames["findings"] = corpus.audited(f"file://{tmp_path}/f", rules=["PDFUA-META-001", "PDFUA-LANG-001"])
     from lectern.plans import report
 
-    rows = {r.filename: r.status for r in pdf.scan_rows(corpus.sql(report.batch_summary()), errors).collect()}
+    rows = {r.filename: r.status for r in corpus.sql(report.batch_summary()).collect()}
     assert rows == {"good.PDF": "Success", "deep.pdf": "Success", "report.pdf": "Success", "bad.pdf": "Error: not a PDF file", "locked.pdf": "Error: encrypted"}
