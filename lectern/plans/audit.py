@@ -73,15 +73,17 @@ class Corpus:
         """A SELECT over entities and derived tables ($name)."""
         return self.spark.sql(bound(text, {t: self.view(t) for t in tables_in(text)}))
 
-    def written(self, path: str, threads: int = 8) -> Corpus:
-        """The same corpus from tables under path: entities first, then what is derived from them, for rules to share."""
+    def written(self, path: str, threads: int = 8, but: tuple[str, ...] = ()) -> Corpus:
+        """The same corpus from tables under path: entities first, then what is derived from them, for rules to share.
+
+        but: entities that stay as they are."""
 
         def write(frame: DataFrame, name: str) -> None:
             frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
         with ThreadPoolExecutor(threads) as pool:
-            list(pool.map(lambda x: write(x[1], x[0]), [(n, f) for n, f in self.frames.items() if n in ENTITIES]))
-        whole = Corpus(self.spark, {n: self.spark.read.schema(f.schema).parquet(f"{path}/{n}") for n, f in self.frames.items() if n in ENTITIES})
+            list(pool.map(lambda x: write(x[1], x[0]), [(n, f) for n, f in self.frames.items() if n in ENTITIES and n not in but]))
+        whole = Corpus(self.spark, {n: f if n in but else self.spark.read.schema(f.schema).parquet(f"{path}/{n}") for n, f in self.frames.items() if n in ENTITIES})
         for wave in WAVES:
             views = [(n, whole.sql(whole._derived[n])) for n in wave]
             with ThreadPoolExecutor(threads) as pool:
@@ -92,9 +94,9 @@ class Corpus:
         return whole
 
     @staticmethod
-    def stored(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    def stored(spark: SparkSession, path: str, but: tuple[str, ...] = ()) -> dict[str, DataFrame]:
         """Frames of the tables that written left under path."""
-        return {n: spark.read.parquet(f"{path}/{n}") for n in [*ENTITIES, *(n for w in WAVES for n in w)]}
+        return {n: spark.read.parquet(f"{path}/{n}") for n in [*(n for n in ENTITIES if n not in but), *(n for w in WAVES for n in w)]}
 
     def rule(self, check_id: str) -> DataFrame | None:
         text = rule_sql(self.dialect, check_id)

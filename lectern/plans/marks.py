@@ -23,13 +23,21 @@ def framed(ops: str, key: str, order: str) -> str:
 def marked_content(ops: str) -> str:
     """Content operators (doc_id, seq, op: tagged, artifact, close, text, paint) with where they stand.
 
-    in_tagged and in_artifact: an open frame of that kind; innermost: the last open tagged frame."""
+    in_tagged and in_artifact: an open frame of that kind; innermost: the last open tagged frame around
+    the operator, by the place where it was opened.  Tagged frames stand in levels of their own: one that
+    is opened registers at its level, and every operator asks for the last one registered at the level
+    that is open around it."""
     stepped = f"SELECT x.*, CASE WHEN op IN ('tagged', 'artifact') THEN 1 WHEN op = 'close' THEN -1 ELSE 0 END AS step FROM ({ops}) x"
     f = framed(stepped, "doc_id", "seq")
     kinds = f"SELECT f.*, o.op AS opened_op FROM ({f}) f LEFT JOIN ({ops}) o ON o.doc_id = f.doc_id AND o.seq = f.opened"
     run = f"OVER (PARTITION BY doc_id ORDER BY seq {_ROWS})"
     live = lambda k: f"sum(CASE WHEN op = '{k}' THEN 1 WHEN opened_op = '{k}' THEN -1 ELSE 0 END) {run} - CASE WHEN op = '{k}' THEN 1 ELSE 0 END > 0"
-    return f"SELECT doc_id, seq, op, depth, opened, {live('tagged')} AS in_tagged, {live('artifact')} AS in_artifact FROM ({kinds}) k"
+    tagged = f"sum(CASE WHEN op = 'tagged' THEN 1 WHEN opened_op = 'tagged' THEN -1 ELSE 0 END) {run} - CASE WHEN op = 'tagged' THEN 1 ELSE 0 END"
+    placed = f"SELECT doc_id, seq, op, depth, opened, {live('tagged')} AS in_tagged, {live('artifact')} AS in_artifact, CAST({tagged} AS BIGINT) AS around FROM ({kinds}) k"
+    asks = f"SELECT p.*, p.around AS level, 1 AS asks FROM ({placed}) p UNION ALL SELECT p.*, p.around + 1, 0 FROM ({placed}) p WHERE op = 'tagged'"
+    last = f"max(CASE WHEN asks = 0 THEN seq END) OVER (PARTITION BY doc_id, level ORDER BY seq {_ROWS})"
+    found = f"SELECT a.*, CASE WHEN around > 0 THEN {last} END AS innermost FROM ({asks}) a"
+    return f"SELECT doc_id, seq, op, depth, opened, in_tagged, in_artifact, innermost FROM ({found}) f WHERE asks = 1"
 
 
 def operation_counts(ops: str) -> str:

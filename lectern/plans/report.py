@@ -5,7 +5,7 @@ Everything is SQL over $findings and the entities; see lectern.functions.sql for
 from __future__ import annotations
 
 from lectern.functions.sql import filled, one_of, quoted, strip
-from lectern.schema import AI_MOVES, CATEGORIES, ORACLE_NAMES, PDFUA_MOVES, PROBLEMS, QUALITY_OF
+from lectern.schema import AI_MOVES, CATEGORIES, HEADINGS, ORACLE_NAMES, PDFUA_MOVES, PROBLEMS, QUALITY_OF
 
 _SUM = "CAST(coalesce(sum(CASE WHEN {cond} THEN items_count ELSE 0 END), 0) AS BIGINT)"
 PASSED, WARNED = _SUM.format(cond="status = 'PASS'"), _SUM.format(cond="status = 'WARNING'")
@@ -131,9 +131,46 @@ def problems() -> str:
     return f"SELECT doc_id, check_id, page, status, n, n % total + 1 AS next_n, (n + total - 2) % total + 1 AS previous_n FROM ({listed}) x"
 
 
-def tag_tree() -> str:
-    """The tree as lines: tag, what it stands for, the first 60 characters of a text for it."""
-    return "SELECT doc_id, pos, depth, CASE WHEN tag = standard_tag THEN tag ELSE concat(tag, ' (', coalesce(standard_tag, ''), ')') END AS label, substr(coalesce(nullif(alt_text, ''), nullif(actual_text, ''), title, ''), 1, 60) AS snippet FROM $nodes"
+def tag_tree(d) -> str:
+    """The tree as lines: tag, what it stands for, the first 60 characters of a text for it, its language and attributes.
+
+    Attributes: marked content, placement, the layout box (or that there is a box), then what else the element has."""
+    marks = f"SELECT doc_id, node_id, {d.joined('CAST(mcid AS STRING)', ', ', 'ord, mcid')} AS mcids FROM $node_mcids GROUP BY doc_id, node_id"
+    number = lambda x: f"CAST(CAST(round({x}, 2) AS DECIMAL(18,2)) AS STRING)"
+    box = "concat('Struct /BBox: [', " + ", ', ', ".join(number(f"b.{x}") for x in ("x0", "y0", "x1", "y1")) + ", ']')"
+    rest = ", ".join(f"CASE WHEN {c} <> '' THEN concat('{k}: ', {c}) END" for k, c in (("O", "n.attr_o"), ("Type", "n.attr_type"), ("Ref", "n.attr_ref"), ("Dest", "n.attr_dest")))
+    dump = f"concat_ws('; ', CASE WHEN m.mcids IS NOT NULL THEN concat('MCIDs: [', m.mcids, ']') END, CASE WHEN n.placement <> '' THEN concat('Placement: /', n.placement) END, CASE WHEN b.node_id IS NOT NULL THEN {box} WHEN n.has_explicit_bbox THEN 'Explicit /BBox: Present in attributes' END, {rest})"
+    label = "CASE WHEN n.tag = n.standard_tag THEN n.tag ELSE concat(n.tag, ' (', coalesce(n.standard_tag, ''), ')') END"
+    return f"""SELECT n.doc_id, n.pos, n.depth, {label} AS label, substr(coalesce(nullif(n.alt_text, ''), nullif(n.actual_text, ''), n.title, ''), 1, 60) AS snippet, coalesce(nullif(n.lang, ''), 'Default') AS language, coalesce(nullif({dump}, ''), 'No special attributes.') AS attributes
+FROM $nodes n LEFT JOIN ({marks}) m ON m.doc_id = n.doc_id AND m.node_id = n.node_id LEFT JOIN (SELECT * FROM $boxes WHERE kind = 'layout') b ON b.doc_id = n.doc_id AND b.node_id = n.node_id"""
+
+
+def inventory() -> str:
+    """How many elements of each kind a document has; headings are those of its structure tree."""
+    kinds = [("Fonts", "$fonts", "true"), ("Images", "$images", "true"), ("Tables", "$table_view", "true"), ("Links", "$links", "true"), ("Form Fields", "$form_fields", "true"), ("Headings", "$nodes", f"upper(standard_tag) IN {one_of(HEADINGS)}")]
+    counts = " UNION ALL ".join(f"SELECT doc_id, {i + 1} AS ord, count(*) AS n FROM {t} WHERE {w} GROUP BY doc_id" for i, (_, t, w) in enumerate(kinds))
+    names = ["Pages", *(k for k, _, _ in kinds), "Bookmarks"]
+    seed = " UNION ALL ".join(f"SELECT {i} AS ord, {quoted(k)} AS kind" for i, k in enumerate(names))
+    return f"SELECT d.doc_id, k.ord, k.kind, CAST(CASE k.ord WHEN 0 THEN d.page_count WHEN {len(names) - 1} THEN d.bookmarks_count ELSE coalesce(c.n, 0) END AS BIGINT) AS n FROM $documents d CROSS JOIN ({seed}) k LEFT JOIN ({counts}) c ON c.doc_id = d.doc_id AND c.ord = k.ord"
+
+
+#: Pages of a font that its row shows.
+FONT_PAGES = 8
+
+
+def elements(d) -> str:
+    """The rows of the element views: kind, place in its list, page, name, and what else the row shows in one text."""
+    yes = lambda x: f"CASE WHEN {x} THEN 'Yes' ELSE 'No' END"
+    pages = f"SELECT doc_id, font_ord, {d.joined('CAST(page AS STRING)', ', ', 'idx')} AS pages FROM (SELECT * FROM $font_pages WHERE idx < {FONT_PAGES}) p GROUP BY doc_id, font_ord"
+    text = lambda x: f"CAST({x} AS STRING)"
+    views = [
+        f"SELECT f.doc_id, 'Fonts' AS kind, f.ord, CAST(NULL AS INT) AS page, f.name, concat_ws(' | ', {yes('f.is_embedded')}, {yes('f.has_tounicode')}, coalesce(f.encoding, ''), coalesce(p.pages, '')) AS shown FROM $fonts f LEFT JOIN ({pages}) p ON p.doc_id = f.doc_id AND p.font_ord = f.ord",
+        f"SELECT doc_id, 'Images', ord, page, image_id, concat_ws(' | ', {yes('has_alt')}, coalesce(nullif(alt_text, ''), '(None)'), {yes('is_artifact')}) FROM $images",
+        f"SELECT doc_id, 'Tables', pos, page, table_id, concat_ws(' | ', {text('n_rows')}, {text('n_cols')}, {yes('has_headers')}, {text('n_th')}, {text('n_td')}, CASE WHEN is_regular THEN 'Yes' ELSE 'Irregular' END) FROM $table_view",
+        "SELECT doc_id, 'Links', ord, page, coalesce(text, ''), coalesce(uri, '') FROM $links",
+        "SELECT doc_id, 'Forms', ord, page, name, coalesce(nullif(tooltip, ''), '(Missing Tooltip)') FROM $form_fields",
+    ]
+    return " UNION ALL ".join(views)
 
 
 def metadata_sheet(d) -> str:

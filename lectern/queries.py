@@ -59,7 +59,9 @@ def _star() -> dict[str, Callable[[object], str]]:
     out["html_report_filter"] = lambda d: report.search(statuses=("FAIL",))
     out["problem_list"] = lambda d: report.search(statuses=("FAIL", "WARNING", "ERROR"))
     out["document_info"] = lambda d: report.document_info()
-    out["tag_tree"] = lambda d: report.tag_tree()
+    out["tag_tree"] = report.tag_tree
+    out["inventory"] = lambda d: report.inventory()
+    out["element_rows"] = report.elements
     out["metadata_sheet"] = lambda d: report.metadata_sheet(d)
     out["batch_summary"] = lambda d: report.batch_summary()
     out["totals"] = lambda d: report.totals()

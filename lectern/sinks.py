@@ -87,7 +87,8 @@ def pdf_reports(corpus: Corpus, findings: DataFrame) -> DataFrame:
 
 
 def write_csv(findings: DataFrame, path: str) -> None:
-    """CSV with a byte-order mark on the header's first name, as spreadsheet programs want it; no page is "Doc"."""
+    """CSV for spreadsheet programs, in one file a partition, each with a header that begins with the mark they look for;
+    no page is "Doc".  For one file, give findings in one partition."""
     page = F.when(F.coalesce(F.col("page"), F.lit(0)) == 0, "Doc").otherwise(F.col("page").cast("string"))
     rows = findings.select(*[(page.alias("page") if c == "page" else F.col(c)) for c in CSV_COLUMNS])
     rows.withColumnRenamed(CSV_COLUMNS[0], "﻿" + CSV_COLUMNS[0]).write.mode("overwrite").option("header", True).csv(path)

@@ -26,3 +26,24 @@ def test_parents_at_any_depth(spark, tmp_path):
 
 def test_oracle_text_is_kept():
     assert "WHEN 16 THEN max(CASE WHEN depth = 15" in marks.html_nodes(Duck())
+
+
+def test_marked_content_against_a_stack(spark):
+    """Where operators stand, and the innermost tagged frame around them; closes of nothing are ignored."""
+    import random
+
+    rng, rows, want = random.Random(1), [], {}
+    for doc in range(6):
+        stack = []
+        for seq in range(200):
+            op = rng.choice(["tagged", "tagged", "artifact", "close", "close", "close" if doc else "text", "text", "paint"])
+            rows.append((doc, seq, op))
+            if op == "close" and stack:
+                closed = stack.pop()
+            inside = [s for k, s in stack if k == "tagged"]
+            want[doc, seq] = (bool(inside), any(k == "artifact" for k, _ in stack), inside[-1] if inside else None)
+            if op in ("tagged", "artifact"):
+                stack.append((op, seq))
+    spark.createDataFrame(rows, "doc_id long, seq long, op string").createOrReplaceTempView("marked_ops")
+    got = {(r.doc_id, r.seq): (r.in_tagged, r.in_artifact, r.innermost) for r in spark.sql(marks.marked_content("SELECT * FROM marked_ops")).collect()}
+    assert got == want and closed
