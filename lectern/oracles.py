@@ -128,7 +128,6 @@ seen AS (SELECT t.doc_id, t.page_number, t.needle, min(s.x0) AS x0, min(s.y0) AS
 told AS MATERIALIZED (SELECT * FROM (SELECT n.fid, n.nth, n.needle, s.x0, s.y0, s.x1, s.y1, s.n, row_number() OVER (PARTITION BY n.fid ORDER BY n.nth) AS rn FROM needles n JOIN seen s ON s.doc_id = n.doc_id AND s.page_number = n.page_number AND s.needle = n.needle) z WHERE rn = 1)"""
 
 _HAS = lambda word, *cols: " OR ".join(f"contains(lower(coalesce({c}, '')), '{word}')" for c in cols)
-_NORMAL = "{c}"
 
 
 def _located() -> str:
