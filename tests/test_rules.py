@@ -1,5 +1,7 @@
 """Rules on hand-built documents, each with the outcome its definition asks for."""
 
+import os
+
 import pytest
 from pyspark.sql import types as T
 
@@ -296,3 +298,16 @@ def test_against_second_engine(spark, name):
     at = [[x[0] for x in r.description].index(n) for n in names]
     key = lambda row: tuple((v is None, str(v)) for v in row)
     assert sorted((tuple(x[n] for n in names) for x in got.collect()), key=key) == sorted((tuple(x[i] for i in at) for x in r.fetchall()), key=key)
+
+
+def test_queries_make_what_they_read(spark, tmp_path):
+    """A query writes the tables that it reads and those they are made of, once, and no others."""
+    from lectern.sources import load
+
+    sf = tmp_path / "sf0.001"
+    sf.symlink_to("/root/testdata/sf0.001")
+    runs = __import__("__spark_entry__").queries()
+    for name, want in (("metadata_sheet", {"documents"}), ("image_occurrences", {"documents", "lines", "images"}), ("ancestor_flags", {"documents", "lines", "images", "tree", "nodes", "node_mcids", "nf", "flags"})):
+        assert runs[name](spark, str(sf)).count() > 0
+        path, made = load._prepared(spark, str(sf))
+        assert set(made) == want == {x for x in os.listdir(path.removeprefix("file://"))}
