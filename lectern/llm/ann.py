@@ -2,11 +2,13 @@
 
 A vector is coded in four bits for each of its subspaces of DIMS dimensions.  Codewords and codes
 minimise the anisotropic loss: the residual's part along the vector itself weighs ETA times the part
-across it, since for a query with a large inner product only the former changes the score much.  A
-query's table holds its inner products with all 16 codewords of each subspace; a scan of the codes
-adds up table entries, and the best scanned candidates are scored exactly on the original vectors.
+across it, since for a query with a large inner product only the former changes the score much.  What
+the code leaves is coded FINER times more, in 16 even levels of its own largest component, so that
+rows which share a code (dense groups, near copies) still differ.  A scan decodes a block of codes
+once and multiplies it with a block of queries; the best scanned candidates are scored exactly on the
+original vectors.
 
-Only codes travel to the scans (half a byte a subspace): a task holds one block of queries, the codes
+Only codes travel to the scans (half a byte a component and step): a task holds one block of queries, the codes
 of at most PART vectors stream past it, and the KEEP best of each query go on as row numbers.  Those
 alone are joined with their vectors for reranking.  Every code is scanned for every query, as recall
 asks where vectors do not cluster; so work grows with queries times vectors, but no task, row or
@@ -30,6 +32,7 @@ from .common import staged
 #: Production parameters.
 TOP = 20
 DIMS = 1
+FINER = 2
 ETA = 2.5
 SAMPLE = 5_000
 ROUNDS = 6
@@ -110,19 +113,44 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def scan(queries: np.ndarray, packed: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Approximate inner products (queries, rows): for each byte of code one look-up in the sums of two tables."""
-    q = _padded(queries, books.shape[2]).reshape(len(queries), *books.shape[::2])
-    tables = np.einsum("qmd,mkd->qmk", q, books).astype(np.float32)
-    if tables.shape[1] % 2:
-        tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-    out = np.zeros((len(queries), len(packed)), np.float32)
-    for b in range(packed.shape[1]):
-        both = (tables[:, 2 * b + 1, :, None] + tables[:, 2 * b, None, :]).reshape(len(queries), 256)
-        out += both[:, packed[:, b]]
+def unpack(packed: np.ndarray, m: int) -> np.ndarray:
+    out = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out[:, :m]
+
+
+def coded(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Bytes (rows, width): the codes, then for each of FINER steps a scale and what the steps before leave, in 16 even levels of it."""
+    x = _padded(x, books.shape[2])
+    codes = encode(x, books)
+    parts = [pack(codes)]
+    rest = x - books[np.arange(len(books)), codes].reshape(x.shape)
+    for _ in range(FINER):
+        scale = np.clip(np.abs(rest).max(axis=1, keepdims=True), 1e-30, 1e30).astype(np.float32)
+        level = np.clip(np.rint((rest / scale + 1) * 7.5), 0, 15).astype(np.uint8)
+        rest = rest - (level / 7.5 - 1) * scale
+        parts += [scale.view(np.uint8), pack(level)]
+    return np.hstack(parts)
+
+
+def decoded(rows: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors (rows, dimensions) that coded bytes stand for."""
+    m, dims = len(books), books.shape[0] * books.shape[2]
+    at = -(-m // 2)
+    out = books.astype(np.float32)[np.arange(m), unpack(rows[:, :at], m)].reshape(len(rows), -1)
+    for _ in range(FINER):
+        scale = np.ascontiguousarray(rows[:, at : at + 4]).view(np.float32)
+        half = -(-dims // 2)
+        out += (unpack(rows[:, at + 4 : at + 4 + half], dims) * np.float32(1 / 7.5) - 1) * scale
+        at += 4 + half
     return out
 
 
+def scan(queries: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Approximate inner products (queries, rows) with decoded vectors."""
+    return _padded(queries, found.shape[1]).astype(np.float32) @ found.T
+
+
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products in double precision, added up in the order of the components."""
     total = np.zeros(len(rows))
@@ -152,12 +180,22 @@ class Scan:
             return
         rid, packed = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.rows = [], 0
-        best = []
+        vectors, best = decoded(packed, self.books), []
         for a in range(0, len(self.q), 128):
-            rough = scan(self.q[a : a + 128], packed, self.books)
+            rough = scan(self.q[a : a + 128], vectors)
             rough[rid == self.qid[a : a + 128, None]] = -np.inf  # a query's own row, left out by found()
-            rough = np.hstack([self.score[a : a + 128], rough])
-            ids = np.hstack([self.rid[a : a + 128], np.broadcast_to(rid, (len(rough), len(rid)))])
+            held, score = self.rid[a : a + 128], self.score[a : a + 128]
+            if score.shape[1] < self.keep:
+                ids = np.broadcast_to(rid, rough.shape)
+            else:
+                # Only what beats the last of those held can change them.
+                r, c = np.nonzero(rough > score.min(axis=1, keepdims=True))
+                n = np.bincount(r, minlength=len(rough))
+                place = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+                more, ids = np.full((len(rough), n.max()), -np.inf, np.float32), np.full((len(rough), n.max()), -1, np.int64)
+                more[r, place], ids[r, place] = rough[r, c], rid[c]
+                rough = more
+            rough, ids = np.hstack([score, rough]), np.hstack([held, ids])
             if rough.shape[1] > self.keep:
                 at = np.argpartition(-rough, self.keep - 1, axis=1)[:, : self.keep]
                 rough, ids = np.take_along_axis(rough, at, 1), np.take_along_axis(ids, at, 1)
@@ -206,7 +244,7 @@ def _codes(clean: DataFrame, books: DataFrame) -> DataFrame:
 
         def row(d: int, part: list) -> pd.DataFrame:
             ids, (unit, book) = np.array([i for i, _ in part], np.int64), book_of[d]
-            return pd.DataFrame({"d": [d], "ids": [ids.tobytes()], "codes": [pack(encode(_measured([v for _, v in part], unit), book)).tobytes()]})
+            return pd.DataFrame({"d": [d], "ids": [ids.tobytes()], "codes": [coded(_measured([v for _, v in part], unit), book).tobytes()]})
 
         for i, d, v in frames:
             part = held.setdefault(d, [])

@@ -605,3 +605,15 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and {r.doc_id for r in out} <= ids and all(r.n_tokens > 50 for r in out)
+
+
+def test_ann_in_dense_groups(spark):
+    """Rows of tight groups share all four-bit codes; their true neighbours are found all the same."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(6, 64))[np.arange(3000) % 6] + 0.01 * rng.normal(size=(3000, 64))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = x[::20] @ x.T
+    near[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    want = {20 * q: set(np.argsort(-near[q])[:20].tolist()) for q in range(150)}
+    got = ann.nearest(df).collect()
+    assert len(got) == 3000 and sum(r.vec_id in want[r.query_id] for r in got) >= 0.95 * 3000
