@@ -311,3 +311,17 @@ def test_queries_make_what_they_read(spark, tmp_path):
         assert runs[name](spark, str(sf)).count() > 0
         path, made = load._prepared(spark, str(sf))
         assert set(made) == want == {x for x in os.listdir(path.removeprefix("file://"))}
+
+
+def test_a_matrix_evaluates_the_rules_of_its_standard(spark, tmp_path):
+    """Other rules are left to the reports that read them, and the matrix is what it is over the findings of all."""
+    from lectern.sources import load
+
+    sf = tmp_path / "sf0.001"
+    sf.symlink_to("/root/testdata/sf0.001")
+    got = __import__("__spark_entry__").queries()["category_matrix_heuristics"](spark, str(sf)).collect()
+    path, _ = load._prepared(spark, str(sf))
+    assert load._AUDITED[path] == {c for c in RULES if RULES[c].standard == "AI"}
+    more = load.prepared_corpus(spark, str(sf))
+    more.frames["findings"] = more.audited(f"file://{tmp_path}/f", rules=[*load._AUDITED[path], "WCAG-1.3", "PDFUA-META-001"])
+    assert sorted(got) == sorted(more.sql(report.matrix("AI")).collect()) and any(r.passed + r.warned + r.failed + r.manual for r in got)
