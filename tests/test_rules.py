@@ -325,3 +325,19 @@ def test_a_matrix_evaluates_the_rules_of_its_standard(spark, tmp_path):
     more = load.prepared_corpus(spark, str(sf))
     more.frames["findings"] = more.audited(f"file://{tmp_path}/f", rules=[*load._AUDITED[path], "WCAG-1.3", "PDFUA-META-001"])
     assert sorted(got) == sorted(more.sql(report.matrix("AI")).collect()) and any(r.passed + r.warned + r.failed + r.manual for r in got)
+
+
+def test_decoding_anomalies_make_no_features(spark, tmp_path):
+    """Neither features nor the tree are written for the anomalies, whose flags are those of the table."""
+    from lectern.sources import load
+
+    sf = tmp_path / "sf0.001"
+    sf.symlink_to("/root/testdata/sf0.001")
+    runs = __import__("__spark_entry__").queries()
+    got = {tuple(r) for r in runs["decoding_anomalies"](spark, str(sf)).collect()}
+    path, made = load._prepared(spark, str(sf))
+    assert set(made) == {"documents", "lines", "nodes"} == set(os.listdir(path.removeprefix("file://")))
+    corpus = load.prepared_corpus(spark, str(sf))
+    text = __import__("lectern.queries").queries._star()["decoding_anomalies"](corpus.dialect)
+    assert got == {tuple(r) for r in corpus.sql(text).collect()}
+    assert {x for _, _, x in got} == {True, False}
